@@ -2,27 +2,61 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threadmill.llm import sharding, simhash
+from threadmill.llm import decontaminate, htmltext, langid, linededup, packing, secretscan, sharding, simhash, urlfilter
 
 
 def _read(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_packing(spark, sf_dir):
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark, sf_dir):
+    return secretscan.digest(secretscan.scan(_read(spark, sf_dir, "documents")))
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     found = simhash.classes(_read(spark, sf_dir, "documents"), shingle=4, budget=4)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark, sf_dir):
+    return decontaminate.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("rid")
+
+
+def op5_language_id(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op6_html_extraction(spark, sf_dir):
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
+def op7_url_filter(spark, sf_dir):
+    return urlfilter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op8_line_dedup(spark, sf_dir):
+    out = linededup.line_dedup(_read(spark, sf_dir, "documents"))
+    runs = F.array_join(F.transform("__runs", lambda r: F.concat_ws(":", r["start"].cast("string"), r["end"].cast("string"))), ",")
+    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").alias("n_removed"), runs.alias("runs"), "text")
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), shards=8)
 
 
 def queries():
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op10_sharding)}
+    found = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_html_extraction, op7_url_filter, op8_line_dedup, op10_sharding)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
