@@ -28,9 +28,9 @@ _BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _COLUMN = 256 * np.arange(8)
 _STEP = 0x9E3779B97F4A7C15
 #: Cells that are compared bit by bit, of a pair of nodes and at once.
-LEAF, CELLS = 256, 1 << 21
+LEAF, CELLS = 256, 1 << 19
 #: Rows of a task that are held at once, and the least size at which a trie counts as hot and is cut into tiles.
-HELD, TILE = 200_000, 2048
+HELD, TILE = 100_000, 2048
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -85,19 +85,26 @@ def _ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _leaf_links(keys, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Compares the fingerprints of small node pairs one by one, at most CELLS at a time."""
-    rows = _ranges(alo, ahi - alo)  # each fingerprint of the first node with the range of the second
-    lo, hi = np.repeat(blo, ahi - alo), np.repeat(bhi, ahi - alo)
-    lo = np.maximum(lo, np.where(np.repeat(alo == blo, ahi - alo), rows + 1, 0))
-    sizes = np.maximum(hi - lo, 0)
-    total = np.cumsum(sizes)
-    at = 0
-    while at < len(rows):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CELLS, "right")))
-        i, j = np.repeat(rows[at:to], sizes[at:to]), _ranges(lo[at:to], sizes[at:to])
-        close = np.bitwise_count(keys[i] ^ keys[j]) <= budget
-        yield i[close], j[close]
-        at = to
+    """Compares the fingerprints of small node pairs one by one, at most about CELLS at a time."""
+    total = np.cumsum((ahi - alo) * (bhi - blo))
+    pair = 0
+    while pair < len(alo):
+        upto = max(pair + 1, int(np.searchsorted(total, (total[pair - 1] if pair else 0) + CELLS, "right")))
+        a, b, c, d = alo[pair:upto], ahi[pair:upto], blo[pair:upto], bhi[pair:upto]
+        pair = upto
+        rows = _ranges(a, b - a)  # each fingerprint of the first node with the range of the second
+        own = np.repeat(a == c, b - a)
+        lo, hi = np.repeat(c, b - a), np.repeat(d, b - a)
+        lo = np.maximum(lo, np.where(own, rows + 1, 0))
+        sizes = np.maximum(hi - lo, 0)
+        many = np.cumsum(sizes)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + CELLS, "right")))
+            i, j = np.repeat(rows[at:to], sizes[at:to]), _ranges(lo[at:to], sizes[at:to])
+            close = np.bitwise_count(keys[i] ^ keys[j]) <= budget
+            yield i[close], j[close]
+            at = to
 
 
 def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -106,7 +113,7 @@ def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, bud
     stack = [(depth, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         depth, alo, ahi, blo, bhi, spent = stack.pop()
-        if len(alo) > CELLS // 4:  # depth first in parts, so that memory stays bounded
+        if len(alo) > CELLS // 2:  # depth first in parts, so that memory stays bounded
             half = len(alo) // 2
             stack += [(depth, *(x[half:] for x in (alo, ahi, blo, bhi, spent))), (depth, *(x[:half] for x in (alo, ahi, blo, bhi, spent)))]
             continue
