@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,16 @@ from threadmill.llm.tools import arrow_map, durable, rename, with_row_id
 GRAM, COMMON, SCORE, BLOCK = 4, 100, 0.5, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
+_BLANK = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+_OTHER = re.compile(rb"[\xc2\xca-\xff]|\xc3[\x97\xb7]")  # outside ASCII and the Latin letters
 
 
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+def words(text: str | None) -> list[bytes]:
+    """The words (\\w+) of a text in lower case, as UTF-8. Texts in Latin letters take a short cut to the same result."""
+    data = (text or "").lower().encode("utf-8", "surrogatepass")
+    if _OTHER.search(data):
+        return [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(text.lower())]
+    return data.translate(_BLANK).split()
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -47,7 +54,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def share(item: list[str], window: list[str], least: float = 0.0) -> tuple[float, int, int]:
+def share(item: list[bytes], window: list[bytes], least: float = 0.0) -> tuple[float, int, int]:
     """(share of the item's own score, first and end word of the aligned stretch of the window); zeros where the share cannot reach least."""
     if not item:
         return 0.0, 0, 0
@@ -75,7 +82,9 @@ class Items:
             for at in range(len(x) - n + 1 if n else 0):
                 self.by_size[n][tuple(codes[at : at + n])].append((k, at))
         self.by_size = {n: dict(g) for n, g in self.by_size.items()}
-        self.hashes = {n: np.unique([self._hash(np.array([g]).T)[0] for g in grams]) for n, grams in self.by_size.items()}
+        self.marks = {n: np.zeros(1 << 20, bool) for n in self.by_size}  # hashes that occur, for a first look
+        for n, grams in self.by_size.items():
+            self.marks[n][self._hash(np.array(list(grams)).T)] = True
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
@@ -83,7 +92,7 @@ class Items:
         for c in columns:
             h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return h
+        return (h >> np.uint64(44)).astype(np.int64)
 
     def hits(self, codes: np.ndarray) -> list[tuple[int, int, int, tuple]]:
         """(item, place in the item, place in the text, n-gram) of the n-grams of the items that a text has; codes: -1 for other words."""
@@ -94,7 +103,7 @@ class Items:
                 continue
             columns = [codes[k : k + size] for k in range(n)]
             at = np.flatnonzero(np.minimum.reduce(columns) >= 0)
-            at = at[np.isin(self._hash([c[at] for c in columns]), self.hashes[n])] if len(at) else at
+            at = at[self.marks[n][self._hash([c[at] for c in columns])]]
             for p in at.tolist():
                 gram = tuple(codes[p : p + n].tolist())
                 found += [(item, q, p, gram) for item, q in grams.get(gram, ())]
@@ -117,7 +126,7 @@ def _windows(text: str | None, items: Items):
     if not text:
         return
     tokens = words(text)
-    codes = np.fromiter((items.vocabulary.get(w, -1) for w in tokens), np.int64, len(tokens))
+    codes = np.fromiter(map(items.vocabulary.get, tokens, repeat(-1)), np.int64, len(tokens))
     by_item = defaultdict(list)
     for item, q, p, gram in items.hits(codes):
         by_item[item].append((p - q, p, gram))
@@ -157,10 +166,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, id_col: s
             items = _items(key, sent)
             found = [(rid, name, item, [" ".join(map(str, g)) for g in grams], window, lo) for rid, name, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for item, grams, window, lo in _windows(text, items)]
             columns = list(zip(*found, strict=True)) if found else [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "id", "item", "seeds", "window", "lo"])
 
-        hits = durable(arrow_map(named, "rid long, id long, item long, seeds array<string>, window array<string>, lo long", search), "hits")
+        hits = durable(arrow_map(named, "rid long, id long, item long, seeds array<string>, window array<binary>, lo long", search), "hits")
         seeds = hits.select("rid", "item", F.explode("seeds").alias("seed")).distinct().groupBy("item", "seed").count()
         rarest = seeds.groupBy("item").agg(F.min("count").alias("least"))
         rare = seeds.join(rarest, "item").where(F.col("count") <= F.col("least") * COMMON).groupBy("item").agg(F.collect_set("seed").alias("rare"))
