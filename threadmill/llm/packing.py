@@ -15,6 +15,7 @@ next block, so memory is bounded by a block and the longest document. Nothing is
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from threadmill.llm.tools import rename, text_bytes
 
@@ -36,51 +37,97 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_length"]
 
 
+def _plain(word: str) -> bool:
+    """Whether the tokenizer's own preparation leaves a word as it is, and as one stretch: letters, composed, in lower case."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
+class Words(dict):
+    """Codes of words, given out in the order in which they are first asked for."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        self.new.append(word)
+        return code
+
+
 class Encoder:
-    """Ids of whole texts. No token of this tokenizer spans white space, so each word is encoded once and remembered."""
+    """Ids of whole texts. No token of this tokenizer spans white space, so each word is encoded once and remembered.
+
+    Two facts of the tokenizer save most of the work on words that occur once. It lowers letters itself, and lowering
+    ASCII letters first changes nothing unless a combining mark (UTF-8 from CC or CD on) follows one. And stops and
+    commas that end a word after a letter or digit are a token stretch of their own, so the word without them is encoded.
+    """
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
         self.tokenizer.encode_special_tokens = True
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?")]
+        # The same merges without preparation, which words of letters in lower case do not need.
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.ends_sentence = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_sentence[ends] = True
         self.forget()
 
     def forget(self):
-        self.codes: dict[bytes, int] = {}
-        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, words: list[bytes]):
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        new = [x.ids for x in found]
-        lengths = np.fromiter(map(len, new), np.int64, len(new))
-        known, used = len(self.codes), self.used + int(lengths.sum())
-        while used > len(self.ids):
+        self.codes = Words()
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _learn(self):
+        """Finds the ids of the words that got their codes since the last call."""
+        whole, split = [], []
+        for word in self.codes.new:  # grows on the way
+            core = word.rstrip(b".,")
+            if core and len(core) < len(word) and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalpha()):
+                split.append((self.codes[word], self.codes[core], self.codes[word[len(core) :]]))
+            else:
+                whole.append(word)
+        known = len(self.codes)
+        while known > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+        letters, rest = [], []
+        for word in whole:
+            (letters if word.isalpha() and word.islower() or not word.isascii() and _plain(word.decode()) else rest).append(word)
+        if letters:  # each is one stretch, whose last token alone ends a word, so many are encoded as one text
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            self._store([self.codes[w] for w in letters], ids, np.diff(np.flatnonzero(self.ends_word[ids]) + 1, prepend=0))
+        if rest:
+            new = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)]
+            self._store([self.codes[w] for w in rest], np.array([i for x in new for i in x], np.uint32), np.fromiter(map(len, new), np.int64, len(new)))
+        if split:
+            word, *parts = np.array(split).T
+            self._store(word, self._ids_of(np.stack(parts, 1).ravel()), self.lengths[parts[0]] + self.lengths[parts[1]])
+        self.codes.new = []
+
+    def _store(self, codes, ids: np.ndarray, lengths: np.ndarray):
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while known + len(new) + 1 > len(self.starts):
-            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
-        self.ids[self.used : used] = [i for x in new for i in x]
-        self.starts[known + 1 : known + len(new) + 1] = self.used + np.cumsum(lengths)
-        self.codes.update(zip(words, range(known, known + len(new)), strict=True))
-        self.used = used
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[codes] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[codes] = lengths
+        self.used += len(ids)
+
+    def _ids_of(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        starts, lengths = self.starts[codes], self.lengths[codes]
+        total = np.cumsum(lengths)
+        return self.ids[np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - lengths), lengths)]
 
     def encode(self, text: bytes, end: int) -> np.ndarray:
-        words = text.split()
-        if unknown := set(words).difference(self.codes):
-            if len(self.codes) + len(unknown) > WORDS:
-                self.forget()
-                unknown = set(words)
-            self._learn(sorted(unknown))
+        if len(self.codes) > WORDS:
+            self.forget()
+        words = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-        starts, lengths = self.starts[codes], self.starts[codes + 1] - self.starts[codes]
-        total = np.cumsum(lengths)
-        size = int(total[-1]) if len(total) else 0
-        out = np.empty(size + 1, np.uint32)
-        out[:size] = self.ids[np.arange(size) + np.repeat(starts - (total - lengths), lengths)]
-        out[size] = end
-        return out
+        if self.codes.new:
+            self._learn()
+        return np.append(self._ids_of(codes), np.uint32(end))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -96,18 +143,22 @@ def boundaries(lengths: list[int], ids: np.ndarray, ends_sentence: np.ndarray, l
     """Where a stream of documents may be cut, from 0 to its end, and the price of each cut."""
     documents = np.cumsum(lengths)
     sentences = np.flatnonzero(ends_sentence[ids]) + 1
-    at = np.union1d(np.concatenate(([0], documents)), sentences)
+    mark = np.zeros(len(ids) + 1, bool)
+    mark[0] = mark[documents] = mark[sentences] = True
+    at = np.flatnonzero(mark)
     gaps = np.diff(at)
     long = gaps > STRIDE
     inside = [np.arange(a + STRIDE, a + g, STRIDE) for a, g in zip(at[:-1][long], gaps[long], strict=True)]
     if last:  # so that the tail of the stream can be made of powers of two
         inside.append(np.arange(len(ids) - 64, max(0, len(ids) - limit), -64))
         inside.append(np.array([len(ids) - (1 << k) for k in range(limit.bit_length()) if 1 << k < len(ids)], np.int64))
-    at = np.union1d(at, np.concatenate([np.zeros(0, np.int64), *inside])).astype(np.int64)
-    price = np.full(len(at), INSIDE)
-    price[np.isin(at, sentences)] = SENTENCE
-    price[np.isin(at, documents)] = 0
-    return at, price
+    for more in inside:
+        mark[more] = True
+    price = np.full(len(mark), INSIDE)
+    price[sentences] = SENTENCE
+    price[documents] = 0
+    at = np.flatnonzero(mark)
+    return at, price[at]
 
 
 def cuts(at: np.ndarray, price: np.ndarray, limit: int) -> list[int]:
