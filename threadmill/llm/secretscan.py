@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.functions.text import let
 from threadmill.llm.tools import durable, rename
 
 # The shapes of secrets that are always reported, with the least length of the tested part.
@@ -35,19 +36,36 @@ WORD = "abcdefghijklmnopqrstuvwxyz"
 LENGTHS, BINS, PER_UNIT, RATE = (19, 23, 31, 47, 79), 64, 8, 0.05
 
 
+def _scan(values: Column, start: Column) -> Column:
+    """start, start + values[0], start + values[0] + values[1], ... as many as there are values."""
+    first = F.struct(start.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(values, first, step, lambda acc: acc["out"])
+
+
+def running(values: Column) -> Column:
+    """The sums of the values before each, in blocks as many as they are long, so that long arrays are not copied for each value."""
+
+    def in_blocks(v):
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / size).cast("int") - 1), lambda i: F.slice(v, i * size + 1, size))
+        sums = lambda bs: F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda x, y: x + y))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, _scan(sums(bs), F.lit(0)), _scan)))
+
+    return let(values, in_blocks)
+
+
 def places(text: Column, pattern: str) -> Column:
     """array<struct<start, token>> of the leftmost non-overlapping matches; start in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, token: string>>)").alias("out"))
 
-    def step(acc, k):
-        start = acc["at"] + F.length(F.get(gaps, k))
-        token = F.get(found, k)
-        return F.struct((start + F.length(token)).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), token.alias("token")))).alias("out"))
+    def found(tokens):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(tokens))
+        lengths = F.zip_with(gaps, tokens, lambda g, t: F.struct(F.length(g).alias("g"), (F.length(g) + F.length(t)).alias("n")))
+        starts = let(lengths, lambda x: F.zip_with(x, running(F.transform(x, lambda y: y["n"])), lambda y, at: y["g"] + at))
+        return F.zip_with(starts, tokens, lambda at, t: F.struct(at.alias("start"), t.alias("token")))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), first, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(first["out"])
+    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), let(tokens, found)).otherwise(F.expr("cast(array() as array<struct<start: int, token: string>>)"))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -61,25 +79,36 @@ def _joined(spans: Column) -> Column:
 
 def battery(token: Column, alphabet: Column) -> Column:
     """The largest of the three test scores of a token over an alphabet."""
-    n, size = F.length(token).cast("double"), F.length(alphabet).cast("double")
-    values = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
-    kinds = F.array_distinct(values)
-    squares = F.aggregate(kinds, F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(values, lambda x: x == v)), F.lit(2)))
-    chi, df = squares * size / n - n, size - 1
-    uniform = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    high = F.transform(values, lambda v: (v > (size + 1) / 2).cast("double"))
-    ups = F.aggregate(high, F.lit(0.0), lambda a, v: a + v)
-    downs = n - ups
-    turns = F.aggregate(F.arrays_zip(F.slice(high, F.lit(1), F.size(high) - 1).alias("x"), F.slice(high, F.lit(2), F.size(high) - 1).alias("y")), F.lit(1.0), lambda a, p: a + (p["x"] != p["y"]).cast("double"))
-    mean = 2 * ups * downs / n + 1
-    spread = (mean - 1) * (mean - 2) / (n - 1)
-    runs = F.when((ups < 1) | (downs < 1), F.sqrt(n)).otherwise((turns - mean) / F.sqrt(F.greatest(spread, F.lit(0.25))))
-    middle = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    around = F.transform(values, lambda v: v - middle)
-    total = F.aggregate(around, F.lit(0.0), lambda a, v: a + v * v)
-    lagged = F.aggregate(F.arrays_zip(F.slice(around, F.lit(1), F.size(around) - 1).alias("x"), F.slice(around, F.lit(2), F.size(around) - 1).alias("y")), F.lit(0.0), lambda a, p: a + p["x"] * p["y"])
-    serial = F.when(total <= 0, F.sqrt(n)).otherwise((lagged / total + 1 / n) * F.sqrt(n))
-    return F.greatest(F.abs(uniform), F.abs(runs), F.abs(serial))
+    zero, add = F.lit(0.0), lambda a, v: a + v
+    pairs = lambda x: F.arrays_zip(F.slice(x, F.lit(1), F.size(x) - 1).alias("x"), F.slice(x, F.lit(2), F.size(x) - 1).alias("y"))
+
+    def tests(values, size):
+        n, df = F.size(values).cast("double"), size - 1
+        squares = F.aggregate(F.array_distinct(values), zero, lambda a, v: a + F.pow(F.size(F.filter(values, lambda x: x == v)), F.lit(2)))
+        chi = squares * size / n - n
+        uniform = (F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+
+        def runs(high):
+            def score(ups, turns):
+                mean = 2 * ups * (n - ups) / n + 1
+                spread = (mean - 1) * (mean - 2) / (n - 1)
+                return F.when((ups < 1) | (ups > n - 1), F.sqrt(n)).otherwise((turns - mean) / F.sqrt(F.greatest(spread, F.lit(0.25))))
+
+            turns = F.aggregate(pairs(high), F.lit(1.0), lambda a, p: a + (p["x"] != p["y"]).cast("double"))
+            return let(F.aggregate(high, zero, add), lambda ups: let(turns, lambda t: score(ups, t)))
+
+        def serial(around):
+            total, lagged = F.aggregate(around, zero, lambda a, v: a + v * v), F.aggregate(pairs(around), zero, lambda a, p: a + p["x"] * p["y"])
+            return let(total, lambda t: F.when(t <= 0, F.sqrt(n)).otherwise((lagged / t + 1 / n) * F.sqrt(n)))
+
+        middle = F.aggregate(values, zero, add) / n
+        return F.greatest(
+            F.abs(uniform), F.abs(let(F.transform(values, lambda v: (v > (size + 1) / 2).cast("double")), runs)),
+            F.abs(let(let(middle, lambda m: F.transform(values, lambda v: v - m)), serial)),
+        )
+
+    values = lambda a: F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(a, c).cast("double"))
+    return let(alphabet, lambda a: let(F.length(a).cast("double"), lambda size: let(values(a), lambda v: tests(v, size))))
 
 
 def _length_class(n: Column) -> Column:
