@@ -64,5 +64,23 @@ def queries():
     return found | {"pipeline": corpus_pipeline.run}
 
 
+#: Every shortest run of 50 words from a line on or up to a line, of which all but the first with its content goes.
+OP8_SQL = r"""
+with w as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+p as (select doc_id, unnest(ls) as line, unnest(list_transform(ls, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) as n, generate_subscripts(ls, 1) as pos from w),
+c as (select doc_id, pos, sum(n) over (partition by doc_id order by pos) - n as since, sum(n) over (partition by doc_id order by pos) as upto from p),
+pairs as (select a.doc_id, a.pos as s, b.pos as e from c a join c b on a.doc_id = b.doc_id and b.pos >= a.pos and b.upto - a.since >= 50),
+runs as (select doc_id, s, min(e) as e from pairs group by doc_id, s union select doc_id, max(s), e from pairs group by doc_id, e),
+later as (select doc_id, s, e from (select r.*, array_to_string(ls[s:e], chr(10)) as content from runs r join w using (doc_id)) qualify row_number() over (partition by content order by doc_id, s) > 1),
+gone as (select distinct p.doc_id, p.pos from p join later l on p.doc_id = l.doc_id and p.pos between l.s and l.e),
+islands as (select doc_id, min(pos) - 1 as a, max(pos) as b from (select doc_id, pos, pos - row_number() over (partition by doc_id order by pos) as island from gone) group by doc_id, island),
+listed as (select doc_id, sum(b - a)::bigint as n, string_agg(a || ':' || b, ',' order by a) as runs from islands group by doc_id),
+kept as (select p.doc_id, string_agg(line, chr(10) order by pos) as text from p anti join gone g on p.doc_id = g.doc_id and p.pos = g.pos group by p.doc_id)
+select w.doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(l.n, 0)::bigint as n_removed, coalesce(l.runs, '') as runs,
+    case when l.n is null then w.text else coalesce(k.text, '') end as text
+from w left join listed l using (doc_id) left join kept k using (doc_id)"""
+
+
 def oracle_sql():
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    found = {"op8_line_dedup": OP8_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
