@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from threadmill.llm.htmltext import host_and_path
 from threadmill.llm.tools import rename
 
-SIZE, GRAMS = 1 << 18, (3, 4)
+SIZE, GRAMS, BLOCKED = 1 << 18, (3, 4), 0.55
 # Words that mark hosts and paths as unwanted (1) or as ordinary (0), from which the labelled table is made.
 UNWANTED = "casino bets poker slots jackpot lottery gambling xxx porn adult sex escort pills viagra cheap-meds pharma-deal win-prize free-prize free-bets free-cash click-here best-deals payday-loan crypto-profit get-rich replica torrent warez crack-keys spam spam-links link-farm ads ad-server ads-click track-clicks tracker click-track banner-ads pills-shop adult-cams xxx-videos hot-sex big-win".split()
 ORDINARY = "news science library museum school university health research history travel garden recipes weather sports music books forum wiki docs blog city government journal review archive photo family theatre college market".split()
 #: Starts and ends of names of people and places; each pair of them is an ordinary host.
 STARTS = "north south west east river stone green white black thorn hart wind mill ash elm oak hol king long mar ber tion an er in on the nether hether hother".split()
-ENDS = "field ton ville wood bridge land ford ham shire mouth ing ley stead worth son berg dorf mont port ther ened ond ble ish".split()
+ENDS = "field ton ville wood bridge land ford ham shire mouth ing ley stead worth son berg dorf mont port ther ened ond ble ish a ia o us at est and or es in ti an on ou is".split()
 PLACES = [("", "/"), ("www.", "/en/1204"), ("blog.", "/de/88.html"), ("m.", "/fr/4711/")]
 DOMAINS = ["com", "net", "org"]
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -45,7 +45,9 @@ def grams(host: Column, path: Column) -> Column:
 def fit(labelled: DataFrame) -> LogisticRegressionModel:
     """labelled(host, path, label); it is meant to be small, as it is read some dozens of times."""
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=SIZE, binary=True).transform(labelled.withColumn("grams", grams(F.col("host"), F.col("path"))))
-    return LogisticRegression(regParam=0.003, maxIter=50).fit(hashed.select("features", "label").coalesce(1).cache())
+    share = labelled.agg(F.avg("label")).first()[0]
+    weighed = hashed.select("features", "label", F.when(F.col("label") > 0, 1 - share).otherwise(share).alias("weight"))
+    return LogisticRegression(regParam=0.001, maxIter=50, weightCol="weight").fit(weighed.coalesce(1).cache())
 
 
 def rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
@@ -69,4 +71,4 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, id_c
     hashed = HashingTF(inputCol="grams", outputCol="features", numFeatures=SIZE, binary=True).transform(named.withColumn("grams", grams(F.col("host"), F.col("path"))))
     scored = model.transform(hashed).withColumn("score", vector_to_array("probability")[1])
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    return scored.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return scored.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= BLOCKED, "block").otherwise("allow")).alias("verdict"), "score")
