@@ -81,6 +81,21 @@ select w.doc_id, coalesce(len(ls), 0)::bigint as n_lines, coalesce(l.n, 0)::bigi
 from w left join listed l using (doc_id) left join kept k using (doc_id)"""
 
 
+#: The CRC goes byte by byte through a table made by its polynomial.
+OP10_SQL = """
+with crc_table as (select list(list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from (select unnest(range(256)) as i)),
+data as (select doc_id, coalesce(strlen(text), 0) + 1 as size, coalesce(md5(text), '') as key, hex(encode(coalesce(text, ''))) as h from documents),
+rows as (select doc_id, size, key, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::bigint)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) as crc from data, crc_table),
+groups as (select key, sum(size)::bigint as bytes from rows group by key),
+large as (select key, row_number() over (order by key) - 1 as k from groups where bytes * 8 >= (select sum(bytes) from groups)),
+rest as (select key, bytes, sum(bytes) over (order by key) - bytes as start from groups anti join large using (key)),
+shards as (select key, least(7 - (select count(*) from large), ((start + bytes // 2) * (8 - (select count(*) from large))) // (select sum(bytes) from rest)) as shard from rest
+    union all select key, 8 - (select count(*) from large) + k from large)
+select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard::int as shard,
+    row_number() over (partition by shard order by md5(doc_id::varchar), doc_id, key) - 1 as slot, null::int as grown_shard
+from rows join shards using (key)"""
+
+
 def oracle_sql():
-    found = {"op8_line_dedup": OP8_SQL}
+    found = {"op8_line_dedup": OP8_SQL, "op10_sharding": OP10_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadmill.llm.tools import durable, long_array, rename
 
-#: Ranges of the MD5 order (its first three hex digits), and parts in which a shard's rows are numbered.
+#: Ranges of the MD5 order of texts (three hex digits), and of the MD5 order of ids (two) in which a shard's rows are numbered.
 BUCKETS, PARTS = 4096, 256
 
 
@@ -62,7 +62,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         shard = F.when(F.col("key") >= first, F.lit(k)).otherwise(shard)
     for k, key in enumerate(own):
         shard = F.when(F.col("key") == key, F.lit(open_shards + k)).otherwise(shard)
-    dealt = rows.withColumn("shard", shard).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    place = F.coalesce(F.md5(F.col("id").cast("string").cast("binary")), F.lit(""))
+    part = F.coalesce(F.conv(F.substring("place", 1, 2), 16, 10).cast("int"), F.lit(0))
+    dealt = rows.withColumn("shard", shard).withColumn("place", place).withColumn("part", part)
     counts = {(r["shard"], r["part"]): r["count"] for r in dealt.groupBy("shard", "part").count().collect()}
     offsets = []
     for s in range(shards):
@@ -70,7 +72,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
         for p in range(PARTS):
             offsets.append(n)
             n += counts.get((s, p), 0)
-    order = Window.partitionBy("shard", "part").orderBy("id", "key")
+    order = Window.partitionBy("shard", "part").orderBy("place", "id", "key")
     slot = F.get(long_array(offsets), F.col("shard") * PARTS + F.col("part")) + F.row_number().over(order) - 1
     return dealt.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
