@@ -22,8 +22,8 @@ from threadmill.llm.tools import arrow_map, rename, text_bytes
 GRAM, SIZE = 3, 1 << 13
 #: Bounds of the fit: labelled texts per language, languages, centroids per language, rounds of k-means.
 SAMPLE, LANGUAGES, CENTROIDS, ROUNDS = 400, 200, 4, 8
-#: A text is rejected when its cosine is under this share of the sample's lowest hundredth for texts as long.
-REJECT = 0.5
+#: A text is rejected when its cosine is under this share of the sample's lowest hundredth for texts as long, or so low at all.
+REJECT, LEAST_COSINE = 0.5, 0.05
 _CHUNK = 1 << 20
 _letters = np.zeros(0, bool)
 
@@ -81,7 +81,7 @@ class Model:
         cosine = self.vector(columns, n) @ self.centroids[columns]
         best = int(np.argmax(cosine))
         score = float(min(1.0, max(0.0, cosine[best])))
-        return self.labels[self.of[best]], score, score < REJECT * self.floor[int(n.sum()).bit_length()]
+        return self.labels[self.of[best]], score, bool(score < max(LEAST_COSINE, REJECT * self.floor[int(n.sum()).bit_length()]))
 
 
 def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
@@ -105,8 +105,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Null labels and texts without letters teach nothing. What reaches the driver is the sample's sparse vectors.
     """
     named = rename(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
+    # Hashes below a bound that about four times SAMPLE rows of a language have, so that no frequent language meets in one task.
+    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    drawn = F.shiftrightunsigned(F.xxhash64("id"), 33) < F.lit(4.0 * SAMPLE) / F.col("rows") * (1 << 31)
+    near = named.select("id", "lang").join(F.broadcast(sizes), "lang").where(drawn).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = named.select("id", "lang").distinct().withColumn("k", rank).where(F.col("k") <= SAMPLE)
+    chosen = near.withColumn("k", rank).where(F.col("k") <= SAMPLE)
     chosen = chosen.join(F.broadcast(named.select("lang").distinct().orderBy("lang").limit(LANGUAGES)), "lang", "left_semi").select("id", "lang")
 
     def work(batch):
