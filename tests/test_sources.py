@@ -64,3 +64,13 @@ def test_stream_of_records(spark, tmp_path):
         ingest.chunk_stream(spark, source, schema, store, state).awaitTermination()
     latest = max(os.listdir(store), key=int)
     assert {r["chunk_id"]: r["text"] for r in spark.read.parquet(f"{store}/{latest}").collect()} == {"doc:a:naive:0": "new text", "doc:b:naive:0": "three", "doc:c:naive:0": "four"}
+
+
+def test_scratch_tables(spark):
+    from threadmill.sources import scratch
+
+    out = scratch.durable(spark.range(5), "test")
+    assert out.count() == 5
+    assert scratch.clear(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.exist|no such"):
+        spark.read.parquet(out.inputFiles()[0]).count()

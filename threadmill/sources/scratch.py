@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of our own where it is unset."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
@@ -22,4 +25,14 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the scratch folder and reads it back: its lineage is cut, and a lost executor costs nothing."""
     path = f"{scratch(df.sparkSession)}/threadmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all that ``durable`` wrote in this process and says how many tables that were. Tables that read them are void then."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
