@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from threadmill.llm.tools import rename, text_bytes
+from threadmill.llm.tools import SLICE, rename, text_bytes
 
 #: Prices in ids of padding, the stride of cuts in a long sentence, ids in a block, and sequences that stay open.
 SENTENCE, INSIDE, SEQUENCE, STRIDE, BLOCK, OPEN = 8, 64, 32, 256, 1 << 18, 4
@@ -247,8 +247,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         def documents():
             for batch in batches:
-                for name, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                    yield name, own.encode(text, end)
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    for name, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True):
+                        yield name, own.encode(text, end)
 
         rows = []
         for row in pack_stream(documents(), own.ends_sentence, limit, TaskContext.get().partitionId() << 32):

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threadmill.sources.scratch import durable
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset."""
-    if set_dir := spark.conf.get("spark.checkpoint.dir", None):
-        return set_dir
-    if current := spark.sparkContext.getCheckpointDir():
-        return current
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadmill-"))
-    return spark.sparkContext.getCheckpointDir()
+SLICE = 1000
 
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the scratch folder and reads it back: its lineage is cut, and a lost executor costs nothing."""
-    path = f"{scratch(df.sparkSession)}/threadmill-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["arrow_map", "durable", "long_array", "rename", "text_bytes", "with_row_id"]
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
@@ -45,16 +32,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
-def arrow_map(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
-    """mapInArrow for work that takes one batch at a time."""
+def arrow_map(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow for work that takes SLICE rows at a time, so that what it makes of long texts stays small."""
 
     def run(batches):
         for batch in batches:
-            out = work(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+            for at in range(0, batch.num_rows, SLICE):
+                yield work(batch.slice(at, SLICE))
 
     return df.mapInArrow(run, schema)
 
