@@ -222,14 +222,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return rows.join(units, named).select("rid", "id", *named, "root", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, budget: int = 7, words: int = 4, total: int = 40) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each class of near-duplicates: the one with the smallest id, nulls last, and of these the first row.
 
-    Four fingerprint words of five-word shingles serve together: a word must come within ``budget`` bits, and all
-    256 bits within ``total``, which is where shingle sets with a Jaccard similarity of 0.8 lie (an angle of
-    0.476, so 38.8 bits on average). All columns of docs are kept.
+    Texts are near-duplicates where their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
+    is decided exactly (``jaccard``) and closed over pairs. All columns of docs are kept.
     """
+    from threadmill.llm import jaccard
+
     docs = with_row_id(docs, "__rid")
-    found = classes(docs.drop("__rid"), id_col, text_col, shingle, budget, words, total)
+    found = jaccard.classes(docs.drop("__rid"), id_col, text_col, shingle, percent)
     keep = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid")).alias("k")).select(F.col("k.rid").alias("__rid"))
     return docs.join(keep, "__rid", "left_semi").drop("__rid")
