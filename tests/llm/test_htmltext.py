@@ -50,6 +50,29 @@ def test_differencing_without_marked_articles(table):
     assert {r["page_id"]: r["text"] for r in out} == {i: f"Body {i} one\nBody {i} two" for i in range(40)}
 
 
+def unmarked(*lines):
+    return "".join(f"<p>{x}</p>" for x in ("Our site", *lines, "All rights"))
+
+
+@pytest.mark.parametrize("partitions", [1, 2, 7])
+def test_copies_and_range_edges(spark, table, partitions):
+    """Copies are not each other's template, and pages at the edge of a range still have their neighbours."""
+    rows = [(i, f"http://h.org/a/{i:03}", unmarked(f"Body {i // 9}")) for i in range(54)]
+    rows += [(100 + i, f"http://only.copies/{i}", unmarked("Alone")) for i in range(20)]
+    rows += [(3, "http://h.org/a/003", unmarked("Body 0"))]
+    docs = table(rows, "page_id long, url string, html string")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = htmltext.extract(docs).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert len(out) == len(rows)
+    assert {r["page_id"]: r["text"] for r in out} == {i: f"Body {i // 9}" if i < 100 else "Our site\nAlone\nAll rights" for i, _, _ in rows}
+
+
 def test_edge_cases(table):
     rows = [(1, None, None), (None, "http://a.b/", "<p>x</p>"), (2, "no host", ""), (3, "http://a.b/c", "<article>" + "<p>long</p>" * 20_000 + "</article>"), (4, "http://q.r/", "<p>x"), (4, "http://q.r/", "<p>x")]
     docs = table([(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, path int")

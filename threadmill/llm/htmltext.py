@@ -1,8 +1,10 @@
 """Main text of web pages: marked articles, and page differencing where none is marked.
 
-Pages are dealt out by range of (host, path), so that neighbours in the order of URLs meet in one task. Each
-page is paired with the neighbour on the same host that shares the longer start of its path, the lines of the
-two are aligned by their longest common subsequence, and what both share is the site's template. Shared lines
+Pages are dealt out by range of (host, path), so that neighbours in the order of URLs meet in one task; the pages
+that a range needs from others are sent along. Of the nearest pages before and after it on its host whose lines
+are not the same (copies say nothing of the template), each page is paired with the one that shares the longer
+start of its path, the lines of the two are aligned by their longest common subsequence, and what both share is
+the site's template. Shared lines
 are deleted from everything that the page does not itself mark as its article: an article's own lines stay even
 when another page repeats them, since copies of articles are common and are not template. In a page that marks
 an article, all else is template.
@@ -10,6 +12,7 @@ an article, all else is template.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.tools import rename
+from threadmill.llm.tools import arrow_map, durable, rename, with_row_id
 
 # Element names and words of class, id and role by which pages mark their parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,46 +165,97 @@ def host_and_path(url):
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def _digest(own: list[tuple[str, str]]) -> bytes:
+    return hashlib.md5("\n".join(t for _, t in own).encode("utf-8", "surrogatepass")).digest()
+
+
+def _edges(light: DataFrame) -> tuple[list, list[tuple[int, int, int]]]:
+    """(last key of each range, [(range, side, row)]): the rows of other ranges that a range's first and last pages need."""
+    row = F.struct("host", "path", "page_id", "tie", "rid", "digest")
+    ends = durable(light.groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last")), "ends")
+    both = light.join(F.broadcast(ends), "part")
+    second = both.where("host = first.host and digest <> first.digest").groupBy("part").agg(F.min(row).alias("second"))
+    late = both.where("host = last.host and digest <> last.digest").groupBy("part").agg(F.max(row).alias("late"))
+    found = ends.join(second, "part", "left").join(late, "part", "left").orderBy("part").collect()
+    edges = []
+    for side, own, near, far in ((-1, "first", "last", "late"), (1, "last", "first", "second")):
+        for k, r in enumerate(found):
+            j = k + side
+            while 0 <= j < len(found) and found[j][near]["host"] == r[own]["host"]:
+                if hit := next((x for x in (found[j][near], found[j][far]) if x and x["digest"] != r[own]["digest"]), None):
+                    edges.append((k, side, hit["rid"]))
+                    break
+                if found[j]["first"]["host"] != found[j]["last"]["host"]:
+                    break
+                j += side
+    return [r["last"] for r in found], edges
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars, n_shared) per row of pages. n_shared: lines that the page shares with its neighbour.
 
-    Null or empty html gives an empty text. Pages without a host are neighbours of each other; a page alone on its
-    host, or cut off from it at the edge of a task's range, has no neighbour and shares nothing. Repeated rows are
-    neighbours, and without a marked article share all. Null ids and urls are carried along. No text is cut.
+    Null or empty html gives an empty text. Pages without a host are neighbours of each other; a page that is alone on
+    its host, or has only copies of itself there, has no neighbour and shares nothing. Results do not depend on how
+    pages are dealt out. Null ids and urls are carried along. No text is cut.
     """
-    named = rename(pages, page_id=id_col, url=url_col, html=html_col)
+    spark = pages.sparkSession
+    named = rename(with_row_id(pages, "__rid"), page_id=id_col, url=url_col, html=html_col, rid="__rid")
     host, path = host_and_path(F.col("url"))
-    near = named.withColumns({"host": host, "path": path}).repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    named = named.withColumns({"host": host, "path": path, "tie": F.xxhash64("html", "url")})
+
+    def digests(batch):
+        marks = [_digest(blocks(h or "")) for h in batch.column(5).to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(marks, pa.binary())], ["host", "path", "page_id", "tie", "rid", "digest"])
+
+    keys = named.select("host", "path", F.col("page_id").cast("long").alias("page_id"), "tie", "rid", "html")
+    light = arrow_map(keys, "host string, path string, page_id long, tie long, rid long, digest binary", digests)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, so that ranges are not merged by the size of their keys
+    light = durable(light.repartitionByRange(parts, "host", "path", "page_id").withColumn("part", F.spark_partition_id()), "light")
+    bounds, edges = _edges(light)
+    key = "struct<host:string,path:string,page_id:bigint>"
+    limits = spark.createDataFrame([([(b["host"], b["path"], b["page_id"]) for b in bounds[:-1]],)], f"limits array<{key}>")
+    place = F.expr(f"cast(size(filter(limits, x -> x < cast(struct(host, path, page_id) as {key}))) as int)")
+    columns = ["page_id", "url", "html", "host", "path", "tie"]
+    own = named.crossJoin(F.broadcast(limits)).select(*columns, place.alias("part"), F.lit(0).alias("side"))
+    sent_along = named.join(F.broadcast(spark.createDataFrame(edges, "part int, side int, rid long")), "rid").select(*columns, "part", "side")
+    near = own.union(sent_along).repartitionByRange("part").sortWithinPartitions("part", "side", "host", "path", "page_id", "tie").drop("tie")
 
     def work(batches):
         def rows():
             for batch in batches:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield (*row[:2], *row[3:], blocks(row[2] or ""))
-
-        before, here, found = None, None, []
+                    own = blocks(row[2] or "")
+                    yield row[0], row[1], row[3], row[4], row[5], row[6], own, [t for _, t in own]
 
         def judged(before, here, after):
-            ends = [x for x in (before, after) if x and x[2] == here[2]]
+            ends = [x for x in (before, after) if x and x[2] == here[2] and x[4] == here[4]]
             twin = max(ends, key=lambda x: _alike(x[3], here[3]), default=None)
-            shared = common_lines([t for _, t in here[4]], [t for _, t in twin[4]]) if twin else set()
-            text = main_text(here[4], shared)
+            shared = common_lines(here[7], twin[7]) if twin else set()
+            text = main_text(here[6], shared)
             return here[0], here[1], text, len(text), len(shared)
 
-        def sent():
+        def sent(found):
             columns = list(zip(*found, strict=True)) if found else [()] * 5
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "url", "text", "n_chars", "n_shared"])
 
-        for after in rows():
-            if here:
-                found.append(judged(before, here, after))
-            before, here = here, after
+        def results():
+            before, run = None, []  # run: neighbours of one host and range with the same lines
+            for after in rows():
+                if run and (after[2], after[4], after[7]) == (run[0][2], run[0][4], run[0][7]):
+                    same = run[-1][6] if after[6] == run[-1][6] else after[6]
+                    run.append((*after[:6], same, run[0][7]))
+                    continue
+                yield from (judged(before, here, after) for here in run if not here[5])
+                before, run = run[-1] if run else None, [after]
+            yield from (judged(before, here, None) for here in run if not here[5])
+
+        found = []
+        for result in results():
+            found.append(result)
             if len(found) == 1000:
-                yield sent()
+                yield sent(found)
                 found = []
-        if here:
-            found.append(judged(before, here, None))
-        yield sent()
+        yield sent(found)
 
     return near.mapInArrow(work, "page_id long, url string, text string, n_chars long, n_shared long")
