@@ -12,19 +12,21 @@ _written: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own if all tasks run in this process, else an error."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     if folder := spark.sparkContext.getCheckpointDir():
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="threadmill-"))
     return spark.sparkContext.getCheckpointDir()
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the scratch folder and reads it back: its lineage is cut, and a lost executor costs nothing."""
+def durable(df: DataFrame, label: str, **options) -> DataFrame:
+    """Writes df to the scratch folder and reads it back: its lineage is cut, and a lost executor costs nothing. options: of the writer."""
     path = f"{scratch(df.sparkSession)}/threadmill-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
