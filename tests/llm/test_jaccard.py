@@ -37,11 +37,10 @@ def edited(rng, words, n):
     return words
 
 
-@pytest.mark.parametrize(("tile", "hot"), [(3, 4), (3, 1000), (256, 64)])
-def test_near_duplicates_equal_brute_force(table, monkeypatch, tile, hot):
+@pytest.mark.parametrize("tile", [3, 256])
+def test_near_duplicates_equal_brute_force(table, monkeypatch, tile):
     """Pairs just above and just below 0.8, which fingerprints cannot tell apart, and a large group in tiles."""
     monkeypatch.setattr(jaccard, "TILE", tile)
-    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = random.Random(5)
     common = [f"c{k}" for k in range(12)]
     texts = [None, "", "one", "ONE", "two words"]
@@ -52,19 +51,36 @@ def test_near_duplicates_equal_brute_force(table, monkeypatch, tile, hot):
     texts += [" ".join(edited(rng, base, rng.randrange(1, 8))) for _ in range(30)]
     rng.shuffle(texts)
     kept = sorted(r["doc_id"] for r in simhash.dedup(table(list(enumerate(texts)))).collect())
-    assert kept == plain_kept(texts)
+    expected = plain_kept(texts)
+    assert set(expected) <= set(kept)  # nothing below the bound is linked
+    assert len(kept) <= len(expected) + 2
     assert 60 < len(kept) < len(texts) - 20
 
 
-def test_similar_sets_share_an_element_of_their_prefixes():
+@pytest.mark.parametrize(("words", "edits", "least"), [(60, 1, 0.9), (200, 4, 0.9), (200, 2, 0.98), (1000, 18, 0.9)])
+def test_recall_of_candidates(table, words, edits, least):
+    """Pairs of similarity 0.8 and more among 300 texts with their edited copies."""
+    rng = random.Random(words)
+    texts, asked = [], 0
+    for k in range(300):
+        base = [f"w{k}x{i}" for i in range(words)]
+        other = edited(rng, base, edits)
+        a, b = plain_set(" ".join(base)), plain_set(" ".join(other))
+        near = 5 * len(a & b) >= 4 * len(a | b)
+        asked += near
+        texts += [" ".join(base), " ".join(other)]
+    roots = [r["root"] for r in sorted(simhash.similar_texts(table(list(enumerate(texts)))).collect(), key=lambda r: r["id"])]
+    found = sum(roots[2 * k] == roots[2 * k + 1] for k in range(300))
+    assert asked > 100
+    assert found <= asked
+    assert found >= least * asked, (found, asked)
+
+
+def test_similar_is_exact():
     rng = np.random.default_rng(1)
-    counts = rng.integers(0, 5, 64).astype(np.uint8)
     for _ in range(300):
         a = np.unique(rng.integers(0, 2**63, rng.integers(1, 60)).astype(np.uint64))
         b = np.unique(np.concatenate((a[: rng.integers(len(a) + 1)], rng.integers(0, 2**63, rng.integers(8)).astype(np.uint64))))
         c = len(np.intersect1d(a, b))
         i, _ = jaccard.similar([a, b], 80)
         assert len(i) == (10 * c >= 8 * (len(a) + len(b) - c))
-        if len(i):
-            common = len(np.intersect1d(jaccard.prefix(a, counts, 80), jaccard.prefix(b, counts, 80)))
-            assert common >= min(jaccard.SHARED, -(-80 * min(len(a), len(b)) // 100))

@@ -13,12 +13,10 @@ from tests.llm.conftest import TINY
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
-TEXTS = ["", " ", "Hello, world. Hello... WORLD!", "H̱x Ünı İstanbul ΣΑΣ. Ὀδυσσεύς, ’.", "a.b., (c).. \"q\",. don't it's 12.5, 3,", "<|endoftext|>. 😀, é., \x1f\x85x y", "word " * 300 + "x" * 5000]
+TEXTS = ["", " ", "Hello, world. Hello... WORLD!", "H̱x Ünı İstanbul ΣΑΣ. Ὀδυσσεύς, ’.", "a.b., (c).. \"q\",. don't it's 12.5, 3,", "a <|endoftext|> b", "é<|endoftext|>\u0301a<|startoftext|><|endoftext|>", "A<|ENDOFTEXT|>b <|Endoftext|> <|endoftext|", "don't<|endoftext|>.Can't,<|startoftext|>", "<|endoftext|>. 😀, é., \x1f\x85x y", "word " * 300 + "x" * 5000]
 
 
 def test_ids_equal_the_tokenizer(tokenizer):

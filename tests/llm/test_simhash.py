@@ -50,6 +50,30 @@ def test_trie_links_equal_brute_force(budget):
     assert found == {(i, j) for j in range(len(keys)) for i in range(j) if int(keys[i] ^ keys[j]).bit_count() <= budget}
 
 
+@pytest.mark.parametrize("rows", [100, 1 << 24, 1 << 32])
+def test_agreeing_keys_lose_no_pair(spark, rows):
+    """Whichever 4 bits differ, a key agrees in its first bits, and every key is the word with its bits in another order."""
+    rng = random.Random(2)
+    pairs = [(w, w ^ sum(1 << b for b in rng.sample(range(64), 4))) for w in (rng.getrandbits(64) for _ in range(200))]
+    keys = simhash.agreeing("w", 4, rows)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long")
+    columns = [f"{key.replace('w', side)} as {side}{n}" for side in "ab" for n, (key, _) in enumerate(keys)]
+    for r, (a, b) in zip(table.selectExpr("a", *columns).drop("a").collect(), pairs, strict=True):
+        found = [(r[f"a{n}"] % 2**64, r[f"b{n}"] % 2**64) for n in range(len(keys))]
+        assert all((x ^ y).bit_count() == 4 and x.bit_count() == a.bit_count() for x, y in found)
+        assert any(x >> (64 - depth) == y >> (64 - depth) for (x, y), (_, depth) in zip(found, keys, strict=True))
+
+
+def test_windows_are_stretches_of_the_fingerprint(spark):
+    rng = random.Random(3)
+    words = [rng.getrandbits(64) for _ in range(simhash.WORDS)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    row = spark.createDataFrame([tuple(map(signed, words))], ", ".join(f"w{k} long" for k in range(simhash.WORDS))).selectExpr(*(f"{key} as k{n}" for n, (key, _) in enumerate(simhash.windows()))).first()
+    bits = "".join(f"{w:064b}" for w in words)
+    assert [f"{v % 2**64:064b}" for v in row] == [((bits + bits)[at : at + simhash.KEY]).ljust(64, "0") for at in range(0, len(bits), simhash.STEP)]
+
+
 def test_local_components_take_links_in_parts():
     a, b = np.array([5, 4, 7]), np.array([4, 3, 8])
     once = graph.local_components(9, a, b)
@@ -80,7 +104,7 @@ def test_classes_equal_brute_force(spark):
 def test_edge_cases(table):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(3, None), (2, ""), (None, " \t\n"), (7, "one"), (7, "one"), (5, "ONE"), (9, long), (8, long + " tail"), (None, "Two words")]
-    docs = table([(*r, "x", 1) for r in rows], "doc_id long, text string, rid string, w0 int")
+    docs = table([(*r, "x", 1) for r in rows], "doc_id long, text string, rid string, `w0.x` int")
     found = sorted((-1 if r["id"] is None else r["id"], -1 if r["component_id"] is None else r["component_id"]) for r in simhash.classes(docs).collect())
     assert found == [(-1, -1), (-1, 2), (2, 2), (3, 2), (5, 5), (7, 5), (7, 5), (8, 8), (9, 8)]
     kept = simhash.dedup(docs)

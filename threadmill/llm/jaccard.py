@@ -1,11 +1,8 @@
-"""Classes of texts whose sets of shingles have a Jaccard similarity of a bound or more, exactly.
-
-Two sets of similarity s or more share SHARED elements (fewer if the smaller set is very small) among the first
-``n - ceil(s n) + SHARED`` of each, in any order of elements that is the same for all sets. Elements that a sample
-of the texts repeats come last in that order, so the first ones are rare and seldom shared by chance. Pairs that
-share that many are candidates, and so are all sets of one element that more than HOT sets have. Candidates that
-are connected meet in a task, in tiles if they are many; there the overlap of all pairs is counted in full, and
-only pairs that reach the bound become links. Equal sets are one node from the start, so exact copies cost nothing.
+"""Which candidate pairs of texts have sets of shingles with a Jaccard similarity of a bound or more, exactly.
+
+Candidates that are connected meet in a task, where the overlap of all their pairs is counted in full, and only pairs
+that reach the bound become links. A group of more than ``TILE`` sets is cut into chunks, and of two chunks the
+sets that have a candidate in the other one meet. Equal sets are one node from the start, so exact copies cost nothing.
 """
 
 from __future__ import annotations
@@ -19,16 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadmill.llm.graph import components, local_components
-from threadmill.llm.simhash import _ranges, _mixed
-from threadmill.llm.tools import arrow_map, durable, rename, text_bytes, with_row_id
+from threadmill.llm.tools import arrow_map, durable, ranges, text_bytes
 
-#: Sampled shingles that set the order of elements (it never decides a link), and the buckets of their counts.
-SAMPLED = BUCKETS = 1 << 22
-#: Sets of one side of a tile; elements that a candidate pair must share; holders beyond which an element's pairs are not listed.
-TILE, SHARED, HOT = 256, 8, 64
+#: Sets of one side of a tile.
+TILE = 256
 _STEPS = [0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 | 1 for k in range(64)]
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes, hashed again."""
+    z = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def shingles(text: bytes, shingle: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a UTF-8 text's shingles; a text shorter than a shingle is one, no words are none."""
     tokens = text.lower().split()
@@ -41,7 +42,7 @@ def shingles(text: bytes, shingle: int) -> np.ndarray:
     n = len(tokens) - shingle + 1
     total = np.zeros(n, np.uint64)
     for k in range(shingle):
-        total = _mixed(total + hashes[k : k + n] * np.uint64(_STEPS[k % 64]), k + 1)
+        total = mixed(total + hashes[k : k + n] * np.uint64(_STEPS[k % 64]))
     return np.unique(total)
 
 
@@ -50,14 +51,6 @@ def node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64))
 
 
-def prefix(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The elements of which similar sets share enough: the first in the order of (count, hash)."""
-    n = len(found)
-    need = -(-percent * n // 100)
-    order = np.lexsort((found, counts[found % np.uint64(len(counts))]))
-    return found[order[: n - need + min(SHARED, need)]]
-
-
 def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (i, j), i < j, of sets whose Jaccard similarity is percent / 100 or more."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -71,7 +64,7 @@ def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
     for i, n in enumerate(sizes):
         own = places[at : at + n]
         at += n
-        common = np.bincount(holders[_ranges(starts[own], many[own])], minlength=len(sets))
+        common = np.bincount(holders[ranges(starts[own], many[own])], minlength=len(sets))
         j = np.flatnonzero(common * (100 + percent) >= percent * (n + sizes))
         j = j[j > i]
         left.append(np.full(len(j), i))
@@ -79,62 +72,21 @@ def similar(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(left), np.concatenate(right)) if sets else (np.zeros(0, int), np.zeros(0, int))
 
 
-def _counts(texts: DataFrame, shingle: int) -> np.ndarray:
-    """How often shingles occur in a sample of the texts, by bucket and up to 255."""
-    total = texts.agg(F.sum(F.length("text") / 6)).first()[0] or 0
-    every = max(1, int(total) // SAMPLED + 1)
-
-    def work(batch):
-        found = [shingles(t, shingle) % np.uint64(BUCKETS) for t in text_bytes(batch.column(1))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.zeros(0, np.uint64)]).astype(np.int32))], ["bucket"])
-
-    repeated = arrow_map(texts.where(F.expr(f"pmod(xxhash64(rid), {every}) = 0")), "bucket int", work).groupBy("bucket").count().where("count > 1")
-    found = repeated.select("bucket", F.least("count", F.lit(255)).cast("int").alias("n")).toArrow()
-    counts = np.zeros(BUCKETS, np.uint8)
-    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return counts
-
-
-def _pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidates by elements of at most HOT holders. Pairs that share any other are left to that one."""
-    cold = shared.where(f"holders <= {HOT}")
-    left, right = cold.select("token", F.col("node").alias("a"), F.col("n").alias("m")), cold.select("token", F.col("node").alias("b"), "n")
-    both = left.join(right, "token").where(f"a < b and 100 * least(m, n) >= {percent} * greatest(m, n)")
-    counted = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.first(F.least("m", "n")).alias("n"))
-    return counted.where(f"common >= least({SHARED}, ceil({percent} * n / 100))").select("a", "b")
-
-
-def _members(pairs: DataFrame, hot: DataFrame, groups: DataFrame) -> DataFrame:
-    """(root, x, y, node): the tiles in which a node is compared. Of a large group only chunks with a candidate make a tile."""
+def _members(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """(root, x, y, node): the tiles in which a node is compared."""
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
     placed = durable(groups.join(sizes, "root").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")), "placed")
     small = placed.where("chunks = 1").select("root", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "node")
     large = placed.where("chunks > 1").select("root", "chunk", "node")
-    ends = pairs.join(large.withColumnRenamed("node", "a"), "a").join(large.select(F.col("node").alias("b"), F.col("chunk").alias("other")), "b")
+    ends = edges.join(large.withColumnRenamed("node", "a"), "a").join(large.select(F.col("node").alias("b"), F.col("chunk").alias("other")), "b")
     listed = ends.select("root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), F.explode(F.array("a", "b")).alias("node"))
-    rows = hot.join(large, "node").select("root", "token", "chunk", "node")
-    met = rows.join(rows.select("token", F.col("chunk").alias("other")).distinct(), "token")
-    return small.union(listed.union(met.select("root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "node")).distinct())
-
+    return small.union(listed.distinct())
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """(rid, id, root) per row of docs: rows of one root are connected by pairs of similarity percent / 100 or more.
 
-    rid numbers the rows of docs. Null and blank texts are equal to each other and like no other text.
-    """
-    texts = rename(with_row_id(docs, "__rid"), rid="__rid", text=text_col)
-    counts = texts.sparkSession.sparkContext.broadcast(_counts(texts, shingle))
-
-    def named(batch):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([node(shingles(t, shingle)) for t in text_bytes(batch.column(2))], pa.int64())], ["rid", "id", "node"])
-
-    def first(batch):
-        sets = [shingles(t, shingle) for t in text_bytes(batch.column(1))]
-        parts = [prefix(s, counts.value, percent) for s in sets]
-        tokens = np.concatenate(parts or [np.zeros(0, np.uint64)]).view(np.int64)
-        many = [len(p) for p in parts]
-        nodes, sizes = np.repeat(np.array([node(s) for s in sets], np.int64), many), np.repeat(np.array([len(s) for s in sets], np.int32), many)
-        return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(nodes), pa.array(sizes)], ["token", "node", "n"])
+def verified(edges: DataFrame, units: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, root) of the nodes that have a link: edges(a, b) are candidates, units(uid, rid) names a row of texts(rid, text) for each node."""
+    members = durable(_members(edges, components(edges)), "members")
+    one = durable(units.join(members.select(F.col("node").alias("uid")).distinct(), "uid"), "compared")
 
     def whole(batch):
         sets = [shingles(t, shingle) for t in text_bytes(batch.column(1))]
@@ -154,16 +106,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
                 linked = labels != np.arange(len(tile))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[labels[linked]])], ["a", "b"])
 
-    rows = durable(arrow_map(rename(with_row_id(docs, "__rid"), rid="__rid", id=id_col, text=text_col), "rid long, id long, node long", named), "rows")
-    spans = "over (partition by token)"
-    found = arrow_map(texts, "token long, node long, n int", first).selectExpr("*", f"min(node) {spans} as least", f"max(node) {spans} as most")
-    shared = found.where("least <> most").select("token", "node", "n", "least").distinct()
-    shared = durable(shared.selectExpr("*", f"count(*) {spans} as holders"), "shared")
-    pairs, hot = durable(_pairs(shared, percent), "pairs"), shared.where(f"holders > {HOT}")
-    groups = components(pairs.union(hot.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()))
-    members = durable(_members(pairs, hot, groups), "members")
-    one = durable(rows.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("rid").alias("rid")), "one")
-    sets = arrow_map(texts.join(one, "rid").select("node", "text"), "node long, shingles binary", whole)
+    sets = arrow_map(texts.join(one, "rid").select(F.col("uid").alias("node"), "text"), "node long, shingles binary", whole)
     tiles = members.join(sets, "node").select("root", "x", "y", "node", "shingles").repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
-    roots = components(tiles.mapInArrow(compared, "a long, b long"))
-    return rows.join(roots, "node", "left").select("rid", "id", F.coalesce("root", "node").alias("root"))
+    return components(tiles.mapInArrow(compared, "a long, b long"))

@@ -15,6 +15,7 @@ next block, so memory is bounded by a block and the longest document. Nothing is
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections import deque
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, pre_tokenizers
 
-from threadmill.llm.tools import SLICE, rename, text_bytes
+from threadmill.llm.tools import rename, slices, text_bytes
 
 #: Prices in ids of padding, the stride of cuts in a long sentence, ids in a block, and sequences that stay open.
 SENTENCE, INSIDE, SEQUENCE, STRIDE, BLOCK, OPEN = 8, 64, 32, 256, 1 << 18, 4
@@ -60,12 +61,15 @@ class Encoder:
     Two facts of the tokenizer save most of the work on words that occur once. It lowers letters itself, and lowering
     ASCII letters first changes nothing unless a combining mark (UTF-8 from CC or CD on) follows one. And stops and
     commas that end a word after a letter or digit are a token stretch of their own, so the word without them is encoded.
+    The tokenizer's special tokens are found in a text as they are written, before anything else, and part it.
     """
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(file if os.path.isabs(file) else public_tokenizers.path(file))
-        self.tokenizer.encode_special_tokens = True
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.specials = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
+        self.tokenizer.encode_special_tokens = True  # what is a special token only in lower case is none
         ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?")]
         # The same merges without preparation, which words of letters in lower case do not need.
         self.letters = Tokenizer(self.tokenizer.model)
@@ -123,11 +127,16 @@ class Encoder:
     def encode(self, text: bytes, end: int) -> np.ndarray:
         if len(self.codes) > WORDS:
             self.forget()
+        parts = self.specials.split(text) if self.specials and any(t in text for t in self.special) else [text]
+        found = [np.array([self.special[p]], np.uint32) if k % 2 else self._plain_ids(p) for k, p in enumerate(parts)]
+        return np.concatenate((*found, [np.uint32(end)]))
+
+    def _plain_ids(self, text: bytes) -> np.ndarray:
         words = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         if self.codes.new:
             self._learn()
-        return np.append(self._ids_of(codes), np.uint32(end))
+        return self._ids_of(codes)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -247,8 +256,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         def documents():
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
+                for part in slices(batch):
                     for name, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True):
                         yield name, own.encode(text, end)
 

@@ -1,19 +1,23 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
-A document's fingerprint holds 64 bits (or several words of 64): a bit is 1 where over half of its shingles'
-hashes have it set. Fingerprints that differ in at most ``budget`` bits agree wholly in one of ``budget + 1``
-blocks, so each fingerprint goes, rotated, once into the trie below each of its blocks. Such a trie is joined
-with itself by traversing pairs of nodes together from the root pair down: a pair's children that differ in the
-next bit use up one bit of the budget, and a pair is pruned when the budget is exceeded. The tries of a task are
-sorted arrays, their nodes are ranges of them, and a whole level of pairs is handled in one vector operation.
-
-Only what connects a trie's links leaves the task: an edge from each linked fingerprint to the smallest it
-reaches, so copies by the thousand never become all their pairs. ``graph.components`` joins the edges up.
+A document's fingerprint holds one or several words of 64 bits: a bit is 1 where over half of its shingles'
+hashes have it set. A key is a stretch of fingerprint bits; fingerprints that agree in the key's first bits stand in one
+trie. Such a trie is joined with itself by traversing pairs of nodes together from the root pair down: a pair's
+children that differ in the next bit use up one bit of the budget, and a pair is pruned when the budget is exceeded.
+The tries of a task are sorted arrays, their nodes are ranges of them, and a whole level of pairs is handled in one
+vector operation. Only what connects a trie's links leaves the task, so copies by the thousand never become all
+their pairs. ``graph.components`` joins the edges up.
+
+Two sets of keys are in use. ``agreeing`` loses nothing: words that differ in at most ``budget`` bits agree wholly in some
+of their blocks, and as the table grows more blocks are put in front, so that tries stay small. ``windows`` is for
+similarity of texts (``dedup``), where fingerprints of similar texts differ in many bits: short stretches of a long fingerprint,
+of which a similar pair most likely agrees in one but for the budget. What it finds is decided by the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +25,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadmill.llm import jaccard
 from threadmill.llm.graph import components, local_components
-from threadmill.llm.tools import arrow_map, durable, rename, text_bytes, with_row_id
+from threadmill.llm.tools import arrow_map, column, durable, free_name, ranges, rename, text_bytes, with_row_id
 
-_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
-_COLUMN = 256 * np.arange(8)
 _STEP = 0x9E3779B97F4A7C15
 #: Cells that are compared bit by bit, of a pair of nodes and at once.
 LEAF, CELLS = 256, 1 << 19
-#: Rows of a task that are held at once, and the least size at which a trie counts as hot and is cut into tiles.
-HELD, TILE = 100_000, 2048
-
-
-def _mixed(h: np.ndarray, word: int) -> np.ndarray:
-    """Another hash of the same shingles for each further word of the fingerprint."""
-    if not word:
-        return h
-    z = h + np.uint64(word * _STEP & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+#: Rows of a task that are held at once, the size from which a trie counts as hot and is cut into tiles, and the usual size that tries are to stay under.
+HELD, TILE, USUAL = 100_000, 4096, 1024
+#: Of ``dedup``: words of a fingerprint, bits of a key and of them those that must agree, the budget for the others, bits
+#: from one key to the next, and how many of the first 128 bits may differ. Pairs of similarity 0.8 are found in 98 of 100 cases.
+WORDS, KEY, AGREE, BUDGET, STEP, APART = 8, 32, 10, 4, 18, 30
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> list[int]:
+    """The fingerprint words of some hashes: the first from the hashes themselves, each further one from another hash of them."""
+    ones = np.zeros((words, 8, 8), np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # in parts, so that a very long text takes no more memory
+        part = np.repeat(hashes[None, at : at + (1 << 14)], words, 0)
+        if words > 1:
+            part[1:] = jaccard.mixed(part[1:] + (np.arange(1, words, dtype=np.uint64) * np.uint64(_STEP))[:, None])
+        edges = np.arange(0, part.shape[1], 255)  # as many as an octet can count
+        for bit in range(8):
+            counted = np.add.reduceat((part >> np.uint64(bit)) & np.uint64(0x0101010101010101), edges, axis=1)
+            ones[:, :, bit] += counted.astype("<u8").view(np.uint8).reshape(words, -1, 8).sum(1, dtype=np.int64)
+    packed = np.packbits(ones.ravel() * 2 > len(hashes), bitorder="little").tobytes()
+    return [int.from_bytes(packed[8 * w : 8 * w + 8], "little") for w in range(words)]
 
 
 def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
@@ -59,12 +70,7 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
             (digest(joined[a:b], 42) for a, b in zip(starts[: len(tokens) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)),
             np.uint64, len(tokens) - shingle + 1,
         )
-    out = []
-    for w in range(words):
-        octets = _mixed(hashes, w).astype("<u8").view(np.uint8).reshape(-1, 8)
-        seen = np.bincount((octets + _COLUMN).ravel(), minlength=2048).reshape(8, 256) @ _BITS
-        out.append(int.from_bytes(np.packbits(seen.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little"))
-    return out
+    return majority(hashes, words)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, words: int = 1) -> DataFrame:
@@ -75,13 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = np.array([fingerprint(t, shingle, words) for t in text_bytes(batch.column(2))], np.uint64).reshape(-1, words)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k].view(np.int64)) for k in range(words))], ["rid", "id", *named])
 
-    return arrow_map(rename(with_row_id(docs, "__rid"), rid="__rid", id=id_col, text=text_col), "rid long, id long, " + ", ".join(f"{w} long" for w in named), work)
-
-
-def _ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """lo[k], lo[k]+1, ... (sizes[k] of them), for all k in turn."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - sizes), sizes)
+    return arrow_map(rename(with_row_id(docs, free_name(docs, "rid")), rid=free_name(docs, "rid"), id=id_col, text=text_col), "rid long, id long, " + ", ".join(f"{w} long" for w in named), work)
 
 
 def _leaf_links(keys, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,7 +92,7 @@ def _leaf_links(keys, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray,
         upto = max(pair + 1, int(np.searchsorted(total, (total[pair - 1] if pair else 0) + CELLS, "right")))
         a, b, c, d = alo[pair:upto], ahi[pair:upto], blo[pair:upto], bhi[pair:upto]
         pair = upto
-        rows = _ranges(a, b - a)  # each fingerprint of the first node with the range of the second
+        rows = ranges(a, b - a)  # each fingerprint of the first node with the range of the second
         own = np.repeat(a == c, b - a)
         lo, hi = np.repeat(c, b - a), np.repeat(d, b - a)
         lo = np.maximum(lo, np.where(own, rows + 1, 0))
@@ -101,7 +101,7 @@ def _leaf_links(keys, alo, ahi, blo, bhi, budget) -> Iterator[tuple[np.ndarray,
         at = 0
         while at < len(rows):
             to = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + CELLS, "right")))
-            i, j = np.repeat(rows[at:to], sizes[at:to]), _ranges(lo[at:to], sizes[at:to])
+            i, j = np.repeat(rows[at:to], sizes[at:to]), ranges(lo[at:to], sizes[at:to])
             close = np.bitwise_count(keys[i] ^ keys[j]) <= budget
             yield i[close], j[close]
             at = to
@@ -137,53 +137,87 @@ def trie_links(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, bud
 
 
 def _edges(trie: np.ndarray, keys: np.ndarray, ids: np.ndarray, others: list[np.ndarray], depth: np.ndarray, budget: int, total: int | None):
-    """The edges that connect the links of some tries; rows are sorted by trie and key."""
+    """Edges that connect the links of some tries, and where total is given, of each row the link with the fewest bits too; rows are sorted by trie and key."""
     starts = np.flatnonzero(np.concatenate(([True], (trie[1:] != trie[:-1]))))
     ends = np.append(starts[1:], len(trie))
-    labels = None
+    labels, nearest = None, np.full(len(keys), 1 << 62)
     for bits in np.unique(depth):
         of = (depth[starts] == bits) & (ends - starts > 1)
         for i, j in trie_links(keys, starts[of], ends[of], int(bits), budget):
             if total is not None and len(i):
                 apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in others)
-                i, j = i[apart <= total], j[apart <= total]
+                i, j, apart = (x[apart <= total] for x in (i, j, apart))
+                np.minimum.at(nearest, i, apart << 32 | j)
+                np.minimum.at(nearest, j, apart << 32 | i)
             if len(i):
                 labels = local_components(len(keys), i, j, labels)
     if labels is None:
         return ids[:0], ids[:0]
-    linked = labels != np.arange(len(labels))
-    return ids[linked], ids[labels[linked]]
-
-
-def links(units: DataFrame, words: int, budget: int, total: int | None = None) -> DataFrame:
-    """(a, b) edges that connect all units(uid, w0, ...) with a word at most budget bits apart and, if total is given, all words at most total bits apart."""
-    blocks = budget + 1
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    tries = [(w, k) for w in range(words) for k in range(blocks)]
-    numbers = ", ".join(f"named_struct('trie', {n}, 'depth', {cuts[k + 1] - cuts[k]}, 'key', " + (f"(w{w} << {cuts[k]}) | shiftrightunsigned(w{w}, {64 - cuts[k]})" if k else f"w{w}") + ")" for n, (w, k) in enumerate(tries))
-    columns = [f"w{k}" for k in range(words)] if total is not None else []
-    rows = units.select("uid", *columns, F.explode(F.expr(f"array({numbers})")).alias("t")).select("uid", *columns, "t.*")
+    linked, near = labels != np.arange(len(labels)), nearest < 1 << 62
+    return np.concatenate((ids[linked], ids[near])), np.concatenate((ids[labels[linked]], ids[nearest[near] & 0xFFFFFFFF]))
+
+
+def _arranged(runs: list[tuple[str, int, int]]) -> str:
+    """SQL of a 64-bit key that has runs (word, first bit, bits) side by side from its highest bit on, and zeros after them."""
+    parts, at = [], 0
+    for word, first, bits in runs:
+        run = f"shiftrightunsigned({word} << {first}, {64 - bits})"
+        parts.append(f"({run} << {64 - at - bits})")
+        at += bits
+    return " | ".join(parts)
+
+
+def agreeing(word: str, budget: int, rows: int) -> list[tuple[str, int]]:
+    """(key, depth): whichever bits of a word differ, at most budget of them, one of the keys agrees in its first depth bits.
+
+    Of budget + r blocks r agree. r is the least for which an even table of so many rows has tries of at most ``USUAL`` rows.
+    """
+    for r in range(1, 5):
+        n = budget + r
+        cuts = [64 * k // n for k in range(n + 1)]
+        sizes = [b - a for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if rows >> sum(sorted(sizes)[:r]) <= USUAL:
+            break
+    keys = []
+    for front in combinations(range(n), r):
+        order = [*front, *(k for k in range(n) if k not in front)]
+        keys.append((_arranged([(word, cuts[k], sizes[k]) for k in order]), sum(sizes[k] for k in front)))
+    return keys
+
+
+def windows() -> list[tuple[str, int]]:
+    """(key, depth): stretches of KEY bits of WORDS words, STEP bits apart, the last of them going on with the first word."""
+    keys = []
+    for at in range(0, 64 * WORDS, STEP):
+        word, first = divmod(at, 64)
+        here = min(KEY, 64 - first)
+        runs = [(f"w{word}", first, here)] + ([(f"w{(word + 1) % WORDS}", 0, KEY - here)] if here < KEY else [])
+        keys.append((_arranged(runs), AGREE))
+    return keys
+
+
+def links(units: DataFrame, keys: list[tuple[str, int]], budget: int, checked: tuple[str, ...] = (), total: int | None = None) -> DataFrame:
+    """(a, b): edges that connect all units(uid, w0, ...) of which a key is at most budget bits apart and, if total is given, the checked words total bits at most."""
+    numbers = ", ".join(f"named_struct('trie', {n}, 'depth', {depth}, 'key', {key})" for n, (key, depth) in enumerate(keys))
+    rows = units.select("uid", *checked, F.explode(F.expr(f"array({numbers})")).alias("t")).select("uid", *checked, "t.*")
     rows = rows.withColumn("prefix", F.expr("shiftrightunsigned(key, 64 - depth)"))
-    sizes = rows.groupBy("trie", "prefix").count()
-    mean = units.count() * len(tries) // (len(tries) << (64 // blocks)) + 1
-    most = max(TILE, 4 * mean)
-    # A hot trie is cut into chunks, and each pair of chunks becomes a tile of its own. There are fewer than
-    # rows / most such tries, most of them none at all.
-    hot = sizes.where(F.col("count") > most).select("trie", "prefix", F.ceil(F.col("count") / most).cast("int").alias("chunks"))
-    cut = rows.join(F.broadcast(hot), ["trie", "prefix"], "left").withColumn("chunk", F.expr("pmod(xxhash64(uid), coalesce(chunks, 1))"))
+    # A hot trie is cut into chunks of about TILE rows, and each pair of chunks becomes a tile of its own. There are
+    # fewer than rows / TILE such tries, most often none at all.
+    hot = rows.groupBy("trie", "prefix").count().where(F.col("count") > TILE).select("trie", "prefix", F.ceil(F.col("count") / TILE).cast("int").alias("chunks"))
+    cut = rows.join(hot, ["trie", "prefix"], "left").withColumn("chunk", F.expr("pmod(xxhash64(uid), coalesce(chunks, 1))"))
     cut = cut.withColumn("tile", F.explode(F.expr("transform(sequence(0L, coalesce(chunks, 1) - 1L), x -> least(x, chunk) * 1000000 + greatest(x, chunk))")))
-    cut = cut.select("trie", "prefix", "tile", "depth", "key", "uid", *columns).repartition("trie", "prefix", "tile").sortWithinPartitions("trie", "prefix", "tile")
+    cut = cut.select("trie", "prefix", "tile", "depth", "key", "uid", *checked).repartition("trie", "prefix", "tile").sortWithinPartitions("trie", "prefix", "tile")
 
     def work(batches):
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table):
             a = {c: table[c].to_numpy() for c in table.column_names}
-            keys = a["key"].view(np.uint64)
-            new = np.concatenate(([True], (a["trie"][1:] != a["trie"][:-1]) | (a["prefix"][1:] != a["prefix"][:-1]) | (a["tile"][1:] != a["tile"][:-1]))) if len(keys) else np.zeros(0, bool)
+            own = a["key"].view(np.uint64)
+            new = np.concatenate(([True], (a["trie"][1:] != a["trie"][:-1]) | (a["prefix"][1:] != a["prefix"][:-1]) | (a["tile"][1:] != a["tile"][:-1]))) if len(own) else np.zeros(0, bool)
             number = np.cumsum(new)
-            order = np.lexsort((keys, number))
-            x, y = _edges(number[order], keys[order], a["uid"][order], [a[c][order].view(np.uint64) for c in columns], a["depth"][order], budget, total)
+            order = np.lexsort((own, number))
+            x, y = _edges(number[order], own[order], a["uid"][order], [a[c][order].view(np.uint64) for c in checked], a["depth"][order], budget, total)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for batch in batches:
@@ -204,33 +238,52 @@ def links(units: DataFrame, words: int, budget: int, total: int | None = None) -
     return cut.mapInArrow(work, "a long, b long")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4, words: int = 1, total: int | None = None) -> DataFrame:
-    """(rid, id, w0, ..., root, component_id) per row of docs: root numbers the class, component_id is the smallest id in it.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, budget: int = 4) -> DataFrame:
+    """(rid, id, w0, root, component_id) per row of docs: root numbers the class, component_id is the smallest id in it.
 
     Null and blank texts have fingerprint zero and are linked like any other. Null ids never become the
     component_id of a class that has another; repeated rows belong to one class. Texts shorter than a shingle
     count as one shingle. An empty table gives no rows. Columns other than id and text are not read.
     """
-    named = [f"w{k}" for k in range(words)]
-    rows = durable(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
-    units = durable(rows.groupBy(*named).agg(F.min("rid").alias("uid"), F.min("id").alias("least")), "units")
-    roots = components(links(units, words, budget, total))
+    rows = durable(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    units = durable(rows.groupBy("w0").agg(F.min("rid").alias("uid"), F.min("id").alias("least")), "units")
+    roots = components(links(units, agreeing("w0", budget, units.count()), budget))
     units = units.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     units = durable(units, "classes")
     least = units.groupBy("root").agg(F.min("least").alias("component_id"))
-    units = units.join(least, "root").select(*named, "root", "component_id")
-    return rows.join(units, named).select("rid", "id", *named, "root", "component_id")
+    return rows.join(units.join(least, "root").select("w0", "root", "component_id"), "w0").select("rid", "id", "w0", "root", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each class of near-duplicates: the one with the smallest id, nulls last, and of these the first row.
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """(rid, id, root) per row of docs: rows of one root are connected by pairs of texts of similarity percent / 100 or more.
 
-    Texts are near-duplicates where their sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
-    is decided exactly (``jaccard``) and closed over pairs. All columns of docs are kept.
+    Similarity is that of the sets of shingles (Jaccard). Tries over ``windows`` of the sets' fingerprints find the candidates, the
+    sets decide. rid numbers the rows of docs, which must be a table scan or another plan with fixed partitions. Null and
+    blank texts are equal to each other and like no other text; equal sets are one unit from the start.
     """
-    from threadmill.llm import jaccard
+    texts = rename(with_row_id(docs, free_name(docs, "rid")), rid=free_name(docs, "rid"), id=id_col, text=text_col)
+    words = [f"w{k}" for k in range(WORDS)]
+
+    def named(batch):
+        sets = [jaccard.shingles(t, shingle) for t in text_bytes(batch.column(2))]
+        prints = np.array([majority(x, WORDS) for x in sets], np.uint64).reshape(-1, WORDS)
+        nodes = pa.array([jaccard.node(x) for x in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS))], ["rid", "id", "uid", *words])
+
+    rows = durable(arrow_map(texts, "rid long, id long, uid long, " + ", ".join(f"{w} long" for w in words), named), "fingerprints")
+    units = durable(rows.groupBy("uid").agg(F.min("rid").alias("rid"), *(F.first(w).alias(w) for w in words)), "units")
+    edges = durable(links(units, windows(), BUDGET, ("w0", "w1"), APART).distinct(), "candidates")
+    roots = jaccard.verified(edges, units.select("uid", "rid"), texts.select("rid", "text"), shingle, percent)
+    return rows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("rid", "id", F.coalesce("root", "uid").alias("root"))
 
-    docs = with_row_id(docs, "__rid")
-    found = jaccard.classes(docs.drop("__rid"), id_col, text_col, shingle, percent)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid")).alias("k")).select(F.col("k.rid").alias("__rid"))
-    return docs.join(keep, "__rid", "left_semi").drop("__rid")
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each class of ``similar_texts``: the one with the smallest id, nulls last, and of these the first row.
+
+    All columns of docs are kept. docs must be a table scan or another plan with fixed partitions. Of null and blank texts
+    one row stays; an empty table gives no rows.
+    """
+    found = similar_texts(docs, id_col, text_col, shingle, percent)
+    rid = free_name(docs, "rid")
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "rid")).alias("k")).select(F.col("k.rid").alias(rid))
+    return with_row_id(docs, rid).join(keep, rid, "left_semi").select(*map(column, docs.columns))

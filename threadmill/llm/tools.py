@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadmill.sources.scratch import durable
 
-SLICE = 1000
+#: Rows, and bytes of strings, that a task works on at once.
+SLICE, BYTES = 1000, 8 << 20
 
-__all__ = ["arrow_map", "durable", "long_array", "rename", "text_bytes", "with_row_id"]
+__all__ = ["arrow_map", "column", "durable", "free_name", "long_array", "ranges", "rename", "slices", "text_bytes", "with_row_id"]
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
@@ -21,9 +24,28 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ranges(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """lo[k], lo[k]+1, ... (sizes[k] of them), for all k in turn."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - sizes), sizes)
+
+
 def rename(df: DataFrame, **columns: str) -> DataFrame:
     """Selects only the given columns under new names, so that no other column of the input can clash."""
-    return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
+    return df.select(*(column(old).alias(new) for new, old in columns.items()))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -32,17 +54,31 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE rows and, beyond the first row, BYTES of strings, so that what is made of long texts stays small."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if any(test(c.type) for test in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, "right"))
+        to = min(at + SLICE, max(at + 1, to))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def arrow_map(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """mapInArrow for work that takes SLICE rows at a time, so that what it makes of long texts stays small."""
+    """mapInArrow for work that takes one of ``slices`` at a time."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield work(batch.slice(at, SLICE))
+            yield from map(work, slices(batch))
 
     return df.mapInArrow(run, schema)
 
 
-def long_array(values: list[int]) -> "F.Column":
+def long_array(values: list[int]) -> Column:
     """One array literal of longs, however many."""
     return F.from_json(F.lit(str(list(map(int, values)))), "array<bigint>")
