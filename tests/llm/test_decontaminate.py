@@ -93,6 +93,14 @@ def test_edge_cases(table):
     assert dc.leaks(docs, table([], "item_id long, text string")).count() == 0
 
 
+def test_long_passages_of_longer_items_and_short_items(table):
+    long = [f"w{i}" for i in range(300)]
+    docs = [(1, "x y " + " ".join(long[40:100]) + " z"), (2, "x y " + " ".join(long[40:80]) + " z"), (3, "once upon a time")]
+    bench = table([(1, " ".join(long)), (2, "upon a")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.leaks(table(docs), bench).collect()} == {(1, 1), (3, 2)}
+    assert {r["doc_id"] for r in dc.decontaminate(table(docs), bench).collect()} == {2, 3}
+
+
 def test_verbatim_copies_in_documents(spark):
     docs, bench = (spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs, bench).collect()}

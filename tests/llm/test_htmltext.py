@@ -34,7 +34,9 @@ def plain_lcs(a, b):
     return t[-1][-1]
 
 
-def test_common_lines_are_a_longest_subsequence():
+@pytest.mark.parametrize("matches", [0, 5, 200_000])
+def test_common_lines_are_a_longest_subsequence(monkeypatch, matches):
+    monkeypatch.setattr(htmltext, "MATCHES", matches)
     rng = random.Random(2)
     for _ in range(200):
         a, b = ([rng.choice("abcde") for _ in range(rng.randrange(12))] for _ in range(2))
@@ -44,6 +46,11 @@ def test_common_lines_are_a_longest_subsequence():
         assert all(a[i] in it for i in sorted(found))
 
 
+def test_common_lines_of_many_equal_ones():
+    a, b = ["x"] + ["cell"] * 20_000 + ["y"] + ["cell"] * 100, ["z"] + ["cell"] * 20_000 + ["w"] + ["cell"] * 50
+    assert len(htmltext.common_lines(a, b)) == 20_050
+
+
 def test_differencing_without_marked_articles(table):
     rows = [(i, f"http://h{i % 2}.org/a/{i}", f"<div>Our site</div><p>Body {i} one</p><div>Menu line</div><p>Body {i} two</p><div>All rights</div>") for i in range(40)]
     out = htmltext.extract(table(rows, "page_id long, url string, html string").coalesce(1)).collect()

@@ -64,3 +64,24 @@ def test_random_tokens_are_told_from_words(table):
     hits = sum("random" in out[i] for i in range(600) if i % 2)
     false = sum("random" in out[i] for i in range(600) if not i % 2)
     assert hits >= 0.7 * 300 and false <= 0.05 * 300
+
+
+def test_cuts_by_false_discoveries():
+    """The highest bin of which at most RATE is false, by counting tokens of known kinds; never the last bin; without words a fixed one."""
+    drawn, words = {b: 50 for b in range(8)}, {b: 10 * b for b in range(20, 60)}
+    histogram = [(0, b, drawn.get(b, 0) + words.get(b, 0) // 2, words.get(b, 0)) for b in range(secretscan.BINS)]
+    cut = secretscan.cuts(histogram)[0]
+    taken = sum(t for _, b, t, _ in histogram if b <= cut)
+    false = sum(words.get(b, 0) // 2 for b in range(cut + 1))
+    assert cut >= 7 and false <= secretscan.RATE * taken
+    assert secretscan.cuts([(2, secretscan.BINS - 1, 100, 0), (2, 3, 5, 0)]) == {2: int(secretscan.UNKNOWN * secretscan.PER_UNIT)}
+    assert max(secretscan.cuts([(2, secretscan.BINS - 1, 1000, 1)]).values(), default=-1) < secretscan.BINS - 1
+
+
+def test_tokens_of_one_kind_of_character_are_tested(table):
+    rng = random.Random(6)
+    alphabets = ["0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    rows = [(i, "x " + "".join(rng.choice(alphabets[i % 3]) for _ in range(40)) + " y") for i in range(300)]
+    out = {r["doc_id"]: r["spans"] for r in secretscan.digest(secretscan.scan(table(rows))).collect()}
+    for k in (0, 2):
+        assert sum("random:2:42" in out[i] for i in range(k, 300, 3)) >= 70, k

@@ -1,11 +1,11 @@
 """Finds benchmark items in training documents: rare n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of the items are looked up in every document. A hit cuts out a window of the document around
-it, as wide as the item on either side. An n-gram seeds its item when it is rare in the corpus: in at most
+The word n-grams of the items are looked up in every document, which gives places only. An n-gram seeds its item when it is rare in the corpus: in at most
 ``COMMON`` times as many documents as the item's rarest n-gram that occurs at all (so an item that was copied
-into a third of the corpus keeps its seeds, and a stock phrase seeds nothing). Windows with a seed are aligned
-with the item word by word; the score is the alignment's share of the item's own, so it reaches 1 for a verbatim copy
-and falls by one and a half words' worth for each word exchanged.
+into a third of the corpus keeps its seeds, and a stock phrase seeds nothing). Documents with a seed are read once
+more: around its hits a window as wide as the item on either side is aligned with the item word by word. The score is
+the alignment's share of the item's own, so it reaches 1 for a verbatim copy and falls by one and a half words' worth
+for each word exchanged. A copy counts when it has a share of ``SCORE``, or is as long in itself as ``PASSAGE`` words.
 
 The items are sent to the tasks in blocks of at most ``BLOCK`` characters, so what is broadcast stays bounded
 however many items there are; each block is one pass over the documents.
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadmill.llm.tools import arrow_map, durable, rename, with_row_id
+from threadmill.llm.tools import arrow_map, column, durable, free_name, rename, with_row_id
 
-GRAM, COMMON, SCORE, BLOCK = 4, 100, 0.5, 16 << 20
+GRAM, COMMON, SCORE, PASSAGE, BLOCK = 4, 100, 0.5, 50, 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
 _BLANK = bytes(c if c > 127 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
@@ -121,8 +121,8 @@ def _items(key: str, sent) -> Items:
     return _built[key]
 
 
-def _windows(text: str | None, items: Items):
-    """(item, seeds, window) of a text, one for each stretch of hits of an item."""
+def _stretches(text: str | None, items: Items):
+    """(item, seeds, first, end) of the stretches of a text's words that may hold an item, one for each run of hits."""
     if not text:
         return
     tokens = words(text)
@@ -133,11 +133,11 @@ def _windows(text: str | None, items: Items):
     for item, hits in by_item.items():
         size = len(items.words[item])
         hits.sort(key=lambda h: h[1])
-        while hits:  # hits of one stretch are at most an item apart
-            k = next((k for k in range(1, len(hits)) if hits[k][1] - hits[k - 1][1] > size), len(hits))
-            lo, hi = max(0, hits[0][1] - size), hits[k - 1][1] + 2 * size
-            yield item, sorted({h[2] for h in hits[:k]}), tokens[lo:hi], lo
-            hits = hits[k:]
+        start = 0
+        for k in range(1, len(hits) + 1):  # hits of one stretch are at most an item apart
+            if k == len(hits) or hits[k][1] - hits[k - 1][1] > size:
+                yield item, sorted({h[2] for h in hits[start:k]}), max(0, hits[start][1] - size), hits[k - 1][1] + 2 * size
+                start = k
 
 
 def _blocks(benchmark: DataFrame) -> list[DataFrame]:
@@ -147,54 +147,71 @@ def _blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, item_id, score, first_word, end_word) of each row of docs and each item found in it with a score of at least ``least``.
+    """(rid, doc_id, item_id, score, first_word, end_word, item_words) of each row of docs and each item found in it with a score of at least ``least``, or PASSAGE words' worth.
 
-    rid numbers the rows of docs. Null and empty texts hold nothing and null and wordless items are in nothing;
+    rid numbers the rows of docs, which must be a table scan or another plan with fixed partitions. Null and empty texts hold nothing and null and wordless items are in nothing;
     null ids are carried along. Repeated documents are found each by itself; items with equal texts are found
     together; two rows of benchmark that share an id and a text give one result. The best of a document's
     windows counts, and of equal ones the first. An item longer than the document can still be found by its share.
     """
-    named = rename(with_row_id(docs, "__rid"), rid="__rid", id=id_col, text=text_col)
+    spark = docs.sparkSession
+    number = free_name(docs, "rid")
+    named = rename(with_row_id(docs, number), rid=number, id=id_col, text=text_col)
     bench = rename(benchmark, item=item_col, text=text_col).where("text is not null").distinct()
     out = None
     for block in _blocks(bench):
         rows = sorted(((r["item"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        sent = spark.sparkContext.broadcast(rows)
         key = uuid.uuid4().hex
 
-        def search(batch, sent=sent, key=key):
+        def look(batch, sent=sent, key=key):
             items = _items(key, sent)
-            found = [(rid, name, item, [" ".join(map(str, g)) for g in grams], window, lo) for rid, name, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for item, grams, window, lo in _windows(text, items)]
-            columns = list(zip(*found, strict=True)) if found else [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "id", "item", "seeds", "window", "lo"])
+            found = [(rid, item, [" ".join(map(str, g)) for g in grams], lo, hi) for rid, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True) for item, grams, lo, hi in _stretches(text, items)]
+            columns = list(zip(*found, strict=True)) if found else [()] * 5
+            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "item", "seeds", "lo", "hi"])
 
-        hits = durable(arrow_map(named, "rid long, id long, item long, seeds array<string>, window array<binary>, lo long", search), "hits")
+        hits = durable(arrow_map(named.select("rid", "text"), "rid long, item long, seeds array<string>, lo long, hi long", look), "hits")
         seeds = hits.select("rid", "item", F.explode("seeds").alias("seed")).distinct().groupBy("item", "seed").count()
         rarest = seeds.groupBy("item").agg(F.min("count").alias("least"))
         rare = seeds.join(rarest, "item").where(F.col("count") <= F.col("least") * COMMON).groupBy("item").agg(F.collect_set("seed").alias("rare"))
         seeded = hits.join(F.broadcast(rare), "item").where(F.arrays_overlap("seeds", "rare"))  # no more than the block's own n-grams
+        seeded = durable(seeded.groupBy("rid").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("places")), "seeded")
 
         def judge(batch, sent=sent, key=key):
             items = _items(key, sent)
             found = []
-            for rid, name, item, window, lo in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                score, first, end = share(items.words[item], window, least)
-                if score >= least:
-                    found.append((rid, name, items.ids[item], score, lo + first, lo + end))
-            columns = list(zip(*found, strict=True)) if found else [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "doc_id", "item_id", "score", "first_word", "end_word"])
-
-        part = arrow_map(seeded.select("rid", "id", "item", "window", "lo"), "rid long, doc_id long, item_id long, score double, first_word long, end_word long", judge)
+            for rid, name, text, places in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                tokens = words(text)
+                for place in places:
+                    item, lo = place["item"], place["lo"]
+                    size = len(items.words[item])
+                    need = min(least, PASSAGE / size)
+                    score, first, end = share(items.words[item], tokens[lo : place["hi"]], need)
+                    if score >= need:
+                        found.append((rid, name, items.ids[item], score, lo + first, lo + end, size))
+            columns = list(zip(*found, strict=True)) if found else [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "doc_id", "item_id", "score", "first_word", "end_word", "item_words"])
+
+        joined = named.join(seeded, "rid").select("rid", "id", "text", "places")
+        part = arrow_map(joined, "rid long, doc_id long, item_id long, score double, first_word long, end_word long, item_words long", judge)
+        best = F.max(F.struct("score", (-F.col("first_word")).alias("first"), "end_word", "item_words")).alias("best")
+        part = part.groupBy("rid", "doc_id", "item_id").agg(best)
+        part = durable(part.select("rid", "doc_id", "item_id", "best.score", (-F.col("best.first")).alias("first_word"), "best.end_word", "best.item_words"), "found")
+        sent.destroy()
         out = part if out is None else out.union(part)
-    best = F.max(F.struct("score", (-F.col("first_word")).alias("first"), "end_word")).alias("best")
+    # Items of one id with different texts may stand in different blocks.
+    best = F.max(F.struct("score", (-F.col("first_word")).alias("first"), "end_word", "item_words")).alias("best")
     out = out.groupBy("rid", "doc_id", "item_id").agg(best)
-    return out.select("rid", "doc_id", "item_id", "best.score", (-F.col("best.first")).alias("first_word"), "best.end_word")
+    return out.select("rid", "doc_id", "item_id", "best.score", (-F.col("best.first")).alias("first_word"), "best.end_word", "best.item_words")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
-    """docs without the rows in which ``leaks`` finds an item; all columns stay."""
-    numbered = with_row_id(docs, "__rid")
-    found = leaks(docs, benchmark, least).select(F.col("rid").alias("__rid")).distinct()
-    return numbered.join(durable(found, "leaks"), "__rid", "left_anti").drop("__rid")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows in which ``leaks`` finds an item of at least GRAM words; all columns stay.
+
+    Shorter items are reported by ``leaks``, but as they are common phrases they part no document from the corpus.
+    """
+    rid = free_name(docs, "rid")
+    found = leaks(docs, benchmark, least, id_col, item_col, text_col).where(F.col("item_words") >= GRAM).select(F.col("rid").alias(rid)).distinct()
+    return with_row_id(docs, rid).join(durable(found, "leaks"), rid, "left_anti").select(*map(column, docs.columns))

@@ -16,8 +16,9 @@ import hashlib
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from threadmill.llm.tools import arrow_map, durable, rename, with_row_id
 
 # Element names and words of class, id and role by which pages mark their parts.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object".split())
+RAW = set("script style noscript template iframe textarea title svg".split())
 DROPPED = set("nav header footer aside form head menu dialog button select".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -41,6 +42,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert alert
 READERS = set("comment comments reply replies discussion disqus".split())
 CONTENT = set("content article post entry story main".split())
 
+#: Pairs of equal lines of two pages up to which they are gone through one by one.
+MATCHES = 200_000
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -122,8 +126,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b: a longest strictly increasing run of matching places."""
+def _sparse(a: list, b: list) -> set[int]:
+    """Places in a of a longest common subsequence: a longest strictly increasing run of matching places."""
     places = defaultdict(list)
     for j, x in enumerate(b):
         places[x].append(j)
@@ -145,6 +149,49 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of a longest common subsequence of b and the first 0, 1, ... lines of a, with the lines of a as bits of one number."""
+    matches: dict = defaultdict(int)
+    for i, x in enumerate(a):
+        matches[x] |= 1 << i
+    every = (1 << len(a)) - 1
+    v = every
+    for x in b:
+        u = v & matches.get(x, 0)
+        v = ((v + u) | (v - u)) & every
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Places in a of a longest common subsequence of a and b.
+
+    Equal starts and ends are taken off first. What is left goes by its matching places if these are few (``MATCHES``); else b
+    is halved where its halves have the longest subsequences with two parts of a, so memory stays in proportion to the lines.
+    """
+    found: set[int] = set()
+    tasks = [(0, len(a), 0, len(b))]
+    while tasks:
+        a0, a1, b0, b1 = tasks.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            found.add(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            found.add(a1)
+        if a0 == a1 or b0 == b1:
+            continue
+        x, y = a[a0:a1], b[b0:b1]
+        many = Counter(y)
+        if b1 - b0 == 1 or sum(many[t] for t in x) <= MATCHES:
+            found |= {a0 + i for i in _sparse(x, y)}
+            continue
+        half = (b1 - b0) // 2
+        cut = int(np.argmax(_lengths(x, y[:half]) + _lengths(x[::-1], y[half:][::-1])[::-1]))
+        tasks += [(a0, a0 + cut, b0, b0 + half), (a0 + cut, a1, b0 + half, b1)]
+    return found
+
+
 def main_text(own: list[tuple[str, str]], shared: set[int]) -> str:
     """The blocks of the page's strongest zone; without a zone, all that no neighbour shares."""
     for zone in ("article", "main", "content"):

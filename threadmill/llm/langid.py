@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from threadmill.llm.tools import arrow_map, rename, text_bytes
 
 GRAM, SIZE = 3, 1 << 13
-#: Bounds of the fit: labelled texts per language, languages, centroids per language, rounds of k-means.
-SAMPLE, LANGUAGES, CENTROIDS, ROUNDS = 400, 200, 4, 8
+#: Bounds of the fit: labelled texts per language and in all, centroids per language and in all, rounds of k-means.
+SAMPLE, SAMPLED, CENTROIDS, CENTRES, ROUNDS = 400, 80_000, 4, 2000, 8
 #: A text is rejected when its cosine is under this share of the sample's lowest hundredth for texts as long, or so low at all.
 REJECT, LEAST_COSINE = 0.5, 0.05
 _CHUNK = 1 << 20
@@ -100,24 +100,28 @@ def _kmeans(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learns from at most SAMPLE texts of each of at most LANGUAGES languages, those with the smallest hashes of their ids.
+    """Learns from at most SAMPLE texts of each language and SAMPLED in all, those whose (id, text) have the smallest hashes.
 
-    Null labels and texts without letters teach nothing. What reaches the driver is the sample's sparse vectors.
+    Null labels and texts without letters teach nothing; rows with a null id or an id of others teach like any; of rows that
+    agree in id and text one counts. With many languages each has fewer texts and centroids; more than
+    CENTRES languages are an error. What reaches the driver is the sample's sparse vectors.
     """
-    named = rename(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null")
-    # Hashes below a bound that about four times SAMPLE rows of a language have, so that no frequent language meets in one task.
-    sizes = named.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    drawn = F.shiftrightunsigned(F.xxhash64("id"), 33) < F.lit(4.0 * SAMPLE) / F.col("rows") * (1 << 31)
-    near = named.select("id", "lang").join(F.broadcast(sizes), "lang").where(drawn).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = near.withColumn("k", rank).where(F.col("k") <= SAMPLE)
-    chosen = chosen.join(F.broadcast(named.select("lang").distinct().orderBy("lang").limit(LANGUAGES)), "lang", "left_semi").select("id", "lang")
+    named = rename(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null").withColumn("h", F.xxhash64("id", "text"))
+    # Sketches of the number of different rows of a language: with hashes below a bound that about four times the sample has, no frequent language meets in one task.
+    sizes = named.groupBy("lang").agg(F.approx_count_distinct("h").alias("rows"))
+    languages = sizes.count()
+    if languages > CENTRES:
+        raise ValueError(f"{languages} languages, but the model has room for {CENTRES}")
+    most, centroids = min(SAMPLE, SAMPLED // max(languages, 1)), min(CENTROIDS, CENTRES // max(languages, 1))
+    drawn = F.shiftrightunsigned("h", 33) < F.lit(4.0 * most) / F.col("rows") * (1 << 31)
+    near = named.select("h", "lang").join(F.broadcast(sizes), "lang").where(drawn).select("h", "lang").distinct()
+    chosen = near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= most).select("h", "lang")
 
     def work(batch):
         found = [counts(t) for t in text_bytes(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["lang", "columns", "n"])
 
-    texts = named.join(F.broadcast(chosen), ["id", "lang"], "left_semi").dropDuplicates(["id", "lang"])
+    texts = named.join(F.broadcast(chosen), ["h", "lang"], "left_semi").dropDuplicates(["h", "lang"])
     rows = [r for r in arrow_map(texts.select("lang", "text"), "lang string, columns array<bigint>, n array<double>", work).collect() if r["columns"]]
     labels = sorted({r["lang"] for r in rows})
     df = np.zeros(SIZE)
@@ -130,7 +134,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         x = np.zeros((len(own), SIZE))
         for i, r in enumerate(own):
             x[i, r["columns"]] = model.vector(np.array(r["columns"]), np.array(r["n"]))
-        c = _kmeans(x, CENTROIDS)
+        c = _kmeans(x, centroids)
         parts.append(c)
         of += [k] * len(c)
         seen += list(zip((int(sum(r["n"])).bit_length() for r in own), (x @ c.T).max(1), strict=True))
@@ -146,22 +150,34 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred (``und`` for null texts and texts without a letter), score (cosine, 0 to 1) and rejected appended.
 
     und is always rejected. Empty tables give no rows; rows are judged one by one, so ties, repeated rows and
-    nulls in other columns don't matter. Columns of docs that have these names are replaced.
+    nulls in other columns don't matter. Columns of docs that have these names are replaced (``known`` keeps them).
     """
     added = ["lang_pred", "score", "rejected"]
     docs = docs.drop(*added)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x (languages x CENTROIDS) doubles at most
-    at = docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x CENTRES doubles at most
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def work(batch):
         found = [sent.value.predict(t) for t in text_bytes(batch.column(at))]
         labels, scores, out = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*batch.schema.names, *added])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], [*names, *added])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return arrow_map(docs, schema, work)
 
 
+def known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that ``predict`` would not reject, with the columns of docs, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def work(batch):
+        kept = batch.filter(pa.array([not sent.value.predict(t)[2] for t in text_bytes(batch.column(at))], pa.bool_()))
+        return pa.RecordBatch.from_arrays(kept.columns, names)
+
+    return arrow_map(docs, docs.schema, work)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -19,10 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadmill.llm.tools import arrow_map, durable, rename, text_bytes, with_row_id
+from threadmill.functions.text import let
+from threadmill.llm.tools import arrow_map, column, durable, free_name, rename, text_bytes, with_row_id
 
 _HALF = (1 << 63) - 1
 
@@ -55,7 +56,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _repeated(names: DataFrame) -> DataFrame:
     """The rows of names whose (a, b) occurs more than once."""
-    twice = names.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    # Written out, so that the join may broadcast the names where they are few, and else split a frequent one.
+    twice = durable(names.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), "names")
     return names.join(twice, ["a", "b"], "left_semi")
 
 
@@ -86,39 +88,52 @@ def later_copies(docs: DataFrame, min_words: int) -> DataFrame:
         found = both if found is None else found.union(both)
     found = durable(found, "runs")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "rid", "pos")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    later = found.withColumn("place", place).join(first, ["a", "b"]).where("place > first")
-    # A document's runs, merged where they touch: at most one for each of its lines.
-    return later.groupBy("rid").agg(F.expr("""
-        aggregate(array_sort(collect_set(struct(pos as start, pos + n as end))), cast(array() as array<struct<start: bigint, end: bigint>>),
-            (done, r) -> if(size(done) > 0 and element_at(done, -1).end >= r.start,
-                concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).start as start, greatest(element_at(done, -1).end, r.end) as end))),
-                concat(done, array(r))))""").alias("runs"))
+    first = durable(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "first")
+    later = found.withColumn("place", place).join(first, ["a", "b"]).where("place > first").select("rid", F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end")).distinct()
+    # A document's runs, merged where they touch: an island begins beyond the end of all runs before.
+    before = Window.partitionBy("rid").orderBy("start", "end")
+    upto = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", (F.col("start") > F.coalesce(upto, F.lit(-1))).cast("long")).withColumn("island", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def _cut(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """docs with the text cut, and the name of one column more: a struct of lines, removed, runs and before."""
+    rid, name, runs = free_name(docs, "rid"), free_name(docs, "cut"), free_name(docs, "runs")
+    numbered = with_row_id(docs, rid)
+    found = later_copies(rename(numbered, rid=rid, id=id_col, text=text_col), min_words).select(F.col("rid").alias(rid), F.col("runs").alias(runs))
+    text, gone = column(text_col), F.coalesce(column(runs), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"))
+    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    before = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    facts = F.struct(F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).alias("lines"), removed.alias("removed"), gone.alias("runs"), before.alias("before"))
+    # What stays lies between the end of a run and the start of the next.
+    between = lambda lines: F.zip_with(
+        F.concat(F.array(F.lit(0).cast("long")), F.transform(column(runs), lambda r: r["end"])), F.concat(F.transform(column(runs), lambda r: r["start"]), F.array(F.size(lines).cast("long"))),
+        lambda a, b: F.slice(lines, a.cast("int") + 1, (b - a).cast("int")),
+    )
+    kept = F.when(column(runs).isNull(), text).otherwise(let(F.split(text, "\n", -1), lambda lines: F.array_join(F.flatten(between(lines)), "\n")))
+    columns = [kept.alias(text_col) if c == text_col else column(c) for c in docs.columns]
+    return numbered.join(found, rid, "left").select(*columns, F.when(text.isNull(), facts.withField("lines", F.lit(0))).otherwise(facts).alias(name)), name
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with later copies of repeated runs of at least min_words words deleted from the text, and four columns more.
 
     Columns ``__lines``, ``__removed`` (counts of lines), ``__runs`` (array of (start, end) lines, end exclusive) and
-    ``__before`` (whether the text had any word) follow the columns of docs. "First" is by id, nulls last, then by row,
-    then by line. A run that overlaps its own earlier copy is a copy, so periodic text keeps one period. Lines
-    end at LF; blank lines are lines without words. Null text stays null and has no lines to delete; repeated rows are
-    copies of the first of them. A text whose every line goes becomes empty. An empty table gives no rows.
+    ``__before`` (whether the text had any word) follow the columns of docs, and replace those of these names. "First" is by
+    id, nulls last, then by row, then by line. A run that overlaps its own earlier copy is a copy, so periodic text keeps
+    one period. Lines end at LF; blank lines are lines without words. Null text stays null and has no lines to delete;
+    repeated rows are copies of the first of them. A text whose every line goes becomes empty. An empty table gives no rows.
+    docs must be a table scan or another plan with fixed partitions.
     """
-    docs = with_row_id(docs, "__rid")
-    runs = later_copies(rename(docs, rid="__rid", id=id_col, text=text_col), min_words).withColumnRenamed("rid", "__rid").withColumnRenamed("runs", "__runs")
-    joined = docs.join(runs, "__rid", "left").drop("__rid")
-    text = F.col(f"`{text_col}`")
-    lines = F.split(text, "\n", -1)
-    kept = F.when(F.col("__runs").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (r["start"] <= i) & (i < r["end"]))), "\n"))
-    removed = F.coalesce(F.aggregate("__runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"]), F.lit(0))
-    joined = joined.withColumns({"__lines": F.coalesce(F.when(text.isNotNull(), F.size(lines)), F.lit(0)), "__removed": removed, "__before": F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))})
-    columns = [kept.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "__rid"]
-    return joined.select(*columns, "__lines", "__removed", F.coalesce("__runs", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")).alias("__runs"), "__before")
-
-
-def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """line_dedup with the columns of docs alone, without the documents of which no word is left."""
-    out = line_dedup(docs, min_words)
-    gone = F.col("__before") & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~gone).select(*(f"`{c}`" for c in docs.columns))
+    out, name = _cut(docs, min_words, id_col, text_col)
+    added = ["lines", "removed", "runs", "before"]
+    return out.select(*(column(c) for c in docs.columns if c not in [f"__{a}" for a in added]), *(column(name)[a].alias(f"__{a}") for a in added))
+
+
+def dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """line_dedup with the columns of docs alone, all of them, without the documents of which no word is left. Texts that had none stay."""
+    out, name = _cut(docs, min_words, id_col, text_col)
+    gone = column(name)["before"] & ~column(text_col).rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~gone).select(*map(column, docs.columns))

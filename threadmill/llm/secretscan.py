@@ -3,8 +3,8 @@
 DataFrame functions only. The places of a pattern's matches come from the text between them: ``split`` gives the
 gaps and ``regexp_extract_all`` the matches, and running sums of their lengths are the starts, in code points.
 
-The battery looks at tokens of at least 16 characters of the base64 alphabets with a digit and a letter. A
-token's encoding is the smallest alphabet that holds it. Against even use of that alphabet stand three tests,
+The battery looks at tokens of at least 16 characters of the base64 alphabets that are not plain words (letters
+in lower case but for the first). A token's encoding is the smallest alphabet that holds it. Against even use of that alphabet stand three tests,
 each as a standard score: chi-squared of the character counts (cube-root normal form), Wald-Wolfowitz runs of
 low and high characters, and lag-one serial correlation of the character values. The token's score is the
 largest of the three in size: near 0 for what a generator draws, large for words and for what people make up.
@@ -34,6 +34,8 @@ ALPHABETS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKL
 WORD = "abcdefghijklmnopqrstuvwxyz"
 #: Upper ends of the length classes but the last, bins of a score, bins in one unit of it, rate of false discoveries.
 LENGTHS, BINS, PER_UNIT, RATE = (19, 23, 31, 47, 79), 64, 8, 0.05
+#: The largest of three standard scores of drawn tokens is below this in 99 of 100 cases.
+UNKNOWN = 2.9
 
 
 def _scan(values: Column, start: Column) -> Column:
@@ -135,7 +137,8 @@ def cuts(histogram: list[tuple[int, int, int, int]]) -> dict[int, int]:
 
     With W and T the shares of words and tokens up to a bin, a share p W / T of these tokens is false, where p, the
     share of tokens that are no secrets, is what lies above the words' median, against the words that do. A
-    class is judged by the words of its own length and shorter, since long ones are few.
+    class is judged by the words of its own length and shorter, since long ones are few; a class without any is cut where
+    the tests leave out one of a hundred drawn tokens (``UNKNOWN``). The last bin, which holds all higher scores, is never taken.
     """
     out = {}
     for k in range(len(LENGTHS) + 1):
@@ -144,13 +147,16 @@ def cuts(histogram: list[tuple[int, int, int, int]]) -> dict[int, int]:
             tokens[b] += t * (c == k)
             words[b] += w * (c <= k)
         n, m = sum(tokens), sum(words)
-        if not n or not m:
+        if not n:
+            continue
+        if not m:
+            out[k] = int(UNKNOWN * PER_UNIT)
             continue
         below = lambda x, b: sum(x[: b + 1])
         median = next(b for b in range(BINS) if 2 * below(words, b) >= m)
         above = max(m - below(words, median), 1)
         false = min(1.0, (n - below(tokens, median) + 1) / n * m / above)
-        fit = [b for b in range(BINS) if tokens[b] and false * (below(words, b) + 1) / (m + 1) <= RATE * below(tokens, b) / n]
+        fit = [b for b in range(BINS - 1) if tokens[b] and false * (below(words, b) + 1) / (m + 1) <= RATE * below(tokens, b) / n]
         if fit:
             out[k] = max(fit)
     return out
@@ -172,7 +178,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         places(text, HEX).alias("hex"),
         places(text, TOKEN).alias("tokens"),
     )
-    mixed = F.filter("tokens", lambda m: m["token"].rlike("[0-9]") & m["token"].rlike("[A-Za-z]"))
+    mixed = F.filter("tokens", lambda m: ~m["token"].rlike("^[A-Za-z]?[a-z]+$"))
     words = F.filter("tokens", lambda m: m["token"].rlike("^[A-Za-z]?[a-z]+$"))
     found = durable(found.select(
         "id", "assign", "access", "hex", _scored(mixed, _encoding).alias("tokens"),

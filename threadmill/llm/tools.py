@@ -70,13 +70,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def arrow_map(df: DataFrame, schema: T.StructType | str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """mapInArrow for work that takes one of ``slices`` at a time."""
+    """mapInArrow for work that takes one of ``slices`` at a time. The work sees the columns under names of no meaning, so that any names of df will do."""
 
     def run(batches):
         for batch in batches:
             yield from map(work, slices(batch))
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(run, schema)
 
 
 def long_array(values: list[int]) -> Column:
