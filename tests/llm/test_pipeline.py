@@ -37,7 +37,7 @@ def test_stages_keep_columns_and_take_any_rows(spark, table):
         assert {r["score"] for r in found} <= {r[3] for r in rows}
         assert stage(spark, empty, TINY).count() == 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, TINY)
-    assert sum(r["length"] for r in pieces.where("doc_id = 1").collect()) == 2 * (12 + 1)
+    assert sum(r["length"] for r in pieces.where("doc_id = 1").collect()) == 2 * (13 + 1)
     assert corpus_pipeline.STAGES[-1][1](spark, empty, TINY).count() == 0
 
 
