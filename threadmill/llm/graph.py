@@ -25,19 +25,29 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray |
 def components(links: DataFrame) -> DataFrame:
     """links(a long, b long) -> (node, root): the smallest node reachable from each linked node.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, so labels
-    travel twice as far each round. A round is two joins whose hot keys (the centres of large stars) the
-    adaptive skew join splits, and one pre-aggregated minimum; it is written out, which cuts its lineage.
+    Each node points to its smallest neighbour if that is smaller, so pointers make trees; pointers are followed, twice
+    as far each time, to the trees' roots. Then each tree is one node, and what links are left between trees go into the
+    next round. A round's hot keys (the centres of large stars) are split by the adaptive skew join. All
+    tables are written out, which cuts their lineage.
     """
-    both = links.select("a", "b").union(links.select("b", "a").toDF("a", "b")).where("a <> b").distinct()
-    both = durable(both, "links")
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    ends = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges, labels = durable(ends, "links"), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        near = labels.join(near, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("was"))
-        jump = near.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        new = durable(near.join(jump, "to").select("node", F.least("to", "up").alias("root"), "was"), "labels")
-        changed = new.where("root <> was").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("to")), "pointers")
+        moved = True
+        while moved:
+            next_ = up.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            jumped = durable(up.join(next_, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "pointers")
+            moved = not jumped.where("moved").isEmpty()
+            up = jumped.select("node", "to")
+        if labels is None:
+            labels = up.withColumnRenamed("to", "root")
+        else:
+            higher = up.select(F.col("node").alias("root"), "to")
+            labels = durable(labels.join(higher, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        left, right = up.select(F.col("node").alias("a"), F.col("to").alias("x")), up.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        mapped = edges.join(left, "a").join(right, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+        edges = durable(mapped.distinct(), "links")
+        if edges.isEmpty():
             return labels

@@ -140,12 +140,16 @@ def _edges(trie: np.ndarray, keys: np.ndarray, ids: np.ndarray, others: list[np.
     """Edges that connect the links of some tries, and where total is given, of each row the link with the fewest bits too; rows are sorted by trie and key."""
     starts = np.flatnonzero(np.concatenate(([True], (trie[1:] != trie[:-1]))))
     ends = np.append(starts[1:], len(trie))
-    labels, nearest = None, np.full(len(keys), 1 << 62)
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)  # by id, so that the tries of all keys take the same rows for their centres
+    place[order] = np.arange(len(ids))
+    ids, labels, nearest = ids[order], None, np.full(len(keys), 1 << 62)
     for bits in np.unique(depth):
         of = (depth[starts] == bits) & (ends - starts > 1)
         for i, j in trie_links(keys, starts[of], ends[of], int(bits), budget):
+            i, j = place[i], place[j]
             if total is not None and len(i):
-                apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in others)
+                apart = sum(np.bitwise_count(w[order[i]] ^ w[order[j]]).astype(np.int64) for w in others)
                 i, j, apart = (x[apart <= total] for x in (i, j, apart))
                 np.minimum.at(nearest, i, apart << 32 | j)
                 np.minimum.at(nearest, j, apart << 32 | i)
