@@ -31,13 +31,13 @@ def plain_bm25(query):
 def test_bm25(spark, chunks):
     queries = spark.createDataFrame([(1, "beta the beta nope"), (2, "nothing here"), (3, "zeta alpha")], "query_id long, query string")
     found = defaultdict(dict)
-    for r in rt.bm25(queries, chunks).collect():
+    for r in rt.Sparse(queries, chunks).top(1000).collect():
         found[r["query_id"]][r["ordinal"]] = r["score"]
     for q, text in ((1, "beta the beta nope"), (3, "zeta alpha")):
         for i, s in enumerate(plain_bm25(text)):
             assert found[q].get(i, 0) == pytest.approx(s)
     assert 2 not in found
-    padded = rt.ranked(rt.padded(rt.bm25(queries, chunks), queries, chunks, 4), 4)
+    padded = rt.ranked(rt.padded(rt.Sparse(queries, chunks).top(1000), queries, chunks, 4), 4)
     assert [r["ordinal"] for r in padded.where("query_id = 2").orderBy("rank").collect()] == [0, 1, 2, 3]
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,19 +69,25 @@ def split_blocks(text: str) -> list[str]:
     return [b for b in ("\n".join(g).strip("\n") for g in groups) if b.strip()]
 
 
-_HEADING = re.compile(r"(#+)\s+(.*)$")
+def _heading(line: str) -> tuple[int, str] | None:
+    """(level, title) of a heading: number signs and white space before a title."""
+    title = line.lstrip("#")
+    return (len(line) - len(title), title.strip()) if title != line and title[:1].isspace() else None
 
 
 def split_sections(text: str) -> list[tuple[list[str], str]]:
     """(headings above, body) from each heading line to the next; what precedes the first has no headings."""
+    lines = text.split("\n")
+    heads = {i: h for i, x in enumerate(lines) if (h := _heading(x))}
+    starts = [0, *heads] if 0 not in heads else list(heads)
     above: list[tuple[int, str]] = []
-    parts: list[tuple[list[str], list[str]]] = [([], [])]
-    for line in text.split("\n"):
-        if m := _HEADING.match(line):
-            above = [h for h in above if h[0] < len(m[1])] + [(len(m[1]), m[2].strip())]
-            parts.append(([t for _, t in above], []))
-        parts[-1][1].append(line)
-    return [(path, body) for path, lines in parts if (body := "\n".join(lines).strip())]
+    out = []
+    for start, end in zip(starts, [*starts[1:], len(lines)], strict=True):
+        if start in heads:
+            above = [h for h in above if h[0] < heads[start][0]] + [heads[start]]
+        if body := "\n".join(lines[start:end]).strip():
+            out.append(([title for _, title in above], body))
+    return out
 
 
 def count_tokens(text: str) -> int:
@@ -87,16 +95,16 @@ def count_tokens(text: str) -> int:
 
 
 def _pieces(segment: str, most: int, count: Callable[[str], int]) -> Iterator[str]:
-    """A segment that is too long, in windows closed by the word with which they reach the limit."""
-    window: list[str] = []
-    for word in segment.split():
-        window.append(word)
-        # Words each cost a token at least under any tokenizer that splits at blanks, so shorter windows need no count.
-        if (len(window) >= most) if count is count_tokens else count(" ".join(window)) >= most:
-            yield " ".join(window)
-            window = []
-    if window:
-        yield " ".join(window)
+    """A segment that is too long, in windows by index: each ends with the word with which it has ``most`` tokens, found by bisection."""
+    words = segment.split()
+    start = 0
+    while start < len(words):
+        if count is count_tokens:
+            end = start + most
+        else:
+            end = start + 1 + bisect_left(range(start + 1, len(words)), most, key=lambda j: count(" ".join(words[start:j])))
+        yield " ".join(words[start:end])
+        start = end
 
 
 def pack(segments: list[str], most: int, overlap: int, joiner: str, count: Callable[[str], int] = count_tokens) -> list[str]:
@@ -124,7 +132,7 @@ def pack(segments: list[str], most: int, overlap: int, joiner: str, count: Calla
     return [joiner.join(s for s, _ in chunk) for chunk in [*out, here] if chunk]
 
 
-def chunk_record(source_type: str, source_id: str, text: str, issue: int | None, comment: int | None, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS) -> Iterator[tuple]:
+def chunk_record(source_type: str, source_id: str, text: str, issue: int | None, comment: int | None, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = count_tokens) -> Iterator[tuple]:
     """CHUNK_SCHEMA rows: parents (sections of a document, or the one of an issue record) each followed by its children."""
     if source_type == "docs":
         sections = split_sections(text)
@@ -138,17 +146,20 @@ def chunk_record(source_type: str, source_id: str, text: str, issue: int | None,
         parent = f"{name}:parent:{p}"
         yield source_id, "parent", parent, None, p, None, path, body
         stem = f"{parent}:child" if source_type == "docs" else f"{name}:child"
-        for c, child in enumerate(pack(split_blocks(body), most, overlap, "\n\n")):
+        for c, child in enumerate(pack(split_blocks(body), most, overlap, "\n\n", count)):
             yield source_id, "child", f"{stem}:{c}", parent, p, c, path, child
 
 
-def parent_child_chunks(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
-    """CHUNK_SCHEMA rows of records(source_type, source_id, text, github_issue_id, github_comment_id), record by record, without a shuffle."""
+def parent_child_chunks(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = count_tokens) -> DataFrame:
+    """CHUNK_SCHEMA rows of records(source_type, source_id, text, github_issue_id, github_comment_id), record by record, without a shuffle.
+
+    count says how many tokens a text has; it runs in the workers and may be a model's tokenizer.
+    """
     names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 
     def work(batches):
         for batch in batches:
-            rows = [x for r in batch.itertuples(index=False) for x in chunk_record(r.source_type, r.source_id, r.text or "", None if pd.isna(r.issue) else int(r.issue), None if pd.isna(r.comment) else int(r.comment), most, overlap)]
+            rows = [x for r in batch.itertuples(index=False) for x in chunk_record(r.source_type, r.source_id, r.text or "", None if pd.isna(r.issue) else int(r.issue), None if pd.isna(r.comment) else int(r.comment), most, overlap, count)]
             yield pd.DataFrame(rows, columns=names).astype({"parent_index": "Int32", "child_index": "Int32"})
 
     return records.select("source_type", F.col("source_id").cast("string").alias("source_id"), "text", F.col("github_issue_id").alias("issue"), F.col("github_comment_id").alias("comment")).mapInPandas(work, CHUNK_SCHEMA)
@@ -169,9 +180,6 @@ ADORNMENTS = set("=-~^\"#*+`':.")
 CODE_DIRECTIVES = {"code-block", "code", "sourcecode", "parsed-literal"}
 DROPPED_DIRECTIVES = {"toctree", "image", "figure", "raw", "only", "include", "literalinclude", "contents", "highlight", "tabs", "tab-set", "list-table", "csv-table", "graphviz", "mermaid", "index"}
 
-_MARKUP = re.compile(r"(\s*)\.\.(?:\s+(.*))?\s*$")
-_DIRECTIVE = re.compile(r"([\w+-]+)::")
-_OPTION = re.compile(r":[\w.+-]+:")
 _INLINE = [(re.compile(p), r.replace("$", "\\")) for p, r in tx.INLINE]
 
 
@@ -181,75 +189,91 @@ def _plain(line: str) -> str:
     return line.rstrip()
 
 
-def _depth(line: str) -> int:
-    return len(line) - len(line.lstrip())
-
-
 class _Lines:
-    """A document's lines with a place in them."""
+    """The lines of a document with what each says by itself: its depth (blank lines have none, so they end nothing), and its kind."""
 
     def __init__(self, text: str):
-        self.all, self.at = text.splitlines(), 0
+        self.raw = text.splitlines()
+        self.bare = [x.strip() for x in self.raw]
+        self.depth = np.array([len(x) - len(x.lstrip()) if b else 1 << 30 for x, b in zip(self.raw, self.bare, strict=True)], np.int64)
+
+    def end(self, start: int, least: int) -> int:
+        """The first line from start on that is less deep."""
+        shallow = np.flatnonzero(self.depth[start:] < least)
+        return start + int(shallow[0]) if len(shallow) else len(self.raw)
+
+    def content(self, start: int, end: int) -> list[str]:
+        """The lines of a block without outer blank lines and the depth that all have."""
+        full = [i for i in range(start, end) if self.bare[i]]
+        cut = min((int(self.depth[i]) for i in full), default=0)
+        return [self.raw[i][cut:] if self.bare[i] else "" for i in range(full[0], full[-1] + 1)] if full else []
+
+    def is_markup(self, i: int) -> bool:
+        return self.bare[i] == ".." or self.bare[i][:2] == ".." and self.bare[i][2:3].isspace()
+
+    def directive(self, i: int) -> str:
+        """The name of the directive that a markup line opens, else nothing: comments and targets have none."""
+        name, colons, _ = self.bare[i][2:].strip().partition("::")
+        return name.lower() if colons and name and all(c.isalnum() or c in "_+-" for c in name) else ""
+
+    def is_option(self, i: int) -> bool:
+        head, colon, _ = self.bare[i][1:].partition(":")
+        return self.bare[i][:1] == ":" and bool(colon and head) and all(c.isalnum() or c in "_.+-" for c in head)
+
+    def underline(self, i: int) -> str:
+        """The character that underlines line i as a title, else nothing."""
+        below = self.bare[i + 1] if i + 1 < len(self.bare) else ""
+        fits = below and below[0] in ADORNMENTS and below == below[0] * len(below) and len(below) >= max(3, len(self.bare[i]) - 3)
+        return below[0] if fits and not self.bare[i].endswith("::") else ""
+
+    def blocks(self) -> Iterator[tuple[str, int, int, str]]:
+        """(kind, first line, end, detail) of the document's blocks in their order; together they are all its lines."""
+        i, n = 0, len(self.raw)
+        while i < n:
+            kind, end, detail = "text", i + 1, ""
+            if not self.bare[i]:
+                kind = "blank"
+            elif self.is_markup(i):
+                kind, detail = "markup", self.directive(i)
+                deeper = int(self.depth[i]) + 1
+                end = self.end(i + 1, deeper)
+            elif detail := self.underline(i):
+                kind, end = "title", i + 2
+            elif self.bare[i].endswith("::"):
+                kind, end = "literal", self.end(i + 1, 1)
+            yield kind, i, end, detail
+            i = end
+
+
+def _fenced(block: list[str]) -> list[str]:
+    return ["```", *block, "```"] if block else []
 
-    def more(self) -> bool:
-        return self.at < len(self.all)
 
-    def skip(self, wanted: Callable[[str], bool]):
-        while self.more() and wanted(self.all[self.at]):
-            self.at += 1
+def normalize_rst(text: str) -> str:
+    """reStructuredText as plain text with ``#`` headings, whose levels go by the first use of each underline character.
 
-    def indented(self, least: int) -> list[str]:
-        """The block from here on that is blank or at least so deep, without outer blank lines and common depth."""
-        start = self.at
-        self.skip(lambda x: not x.strip() or _depth(x) >= least)
-        block = self.all[start : self.at]
-        while block and not block[0].strip():
-            block = block[1:]
-        while block and not block[-1].strip():
-            block = block[:-1]
-        cut = min((_depth(x) for x in block if x.strip()), default=0)
-        return [x[cut:] if x.strip() else "" for x in block]
+    The document is cut into blocks first, and then each kind of block has its rule: directives of code and literal
+    blocks are fenced, dropped directives and other markup (comments, targets) go, other directives keep their plain body.
+    """
+    lines, levels = _Lines(text), {}
 
+    def directive(start: int, end: int, name: str) -> list[str]:
+        first = start + 1
+        while first < end and lines.is_option(first):
+            first += 1
+        body = [] if not name or name in DROPPED_DIRECTIVES and name not in CODE_DIRECTIVES else lines.content(first, end)
+        return _fenced(body) if name in CODE_DIRECTIVES else [_plain(x) for x in body]
 
-def _underlines(line: str, title: str) -> bool:
-    s = line.strip()
-    return len(s) >= max(3, len(title) - 3) and s[0] in ADORNMENTS and len(set(s)) == 1 and not title.endswith("::")
+    def title(start: int, end: int, character: str) -> list[str]:
+        return ["#" * levels.setdefault(character, len(levels) + 1) + " " + _plain(lines.bare[start])]
 
+    def literal(start: int, end: int, _: str) -> list[str]:
+        lead = _plain(lines.bare[start][:-2].rstrip())
+        return ([lead + ":"] if lead else []) + _fenced(lines.content(start + 1, end))
 
-def normalize_rst(text: str) -> str:
-    """reStructuredText as plain text with ``#`` headings, whose levels go by the first use of each underline character."""
-    lines, out, levels = _Lines(text), [], []
-    fenced = lambda block: ["```", *block, "```"] if block else []
-    while lines.more():
-        raw = lines.all[lines.at]
-        bare = raw.strip()
-        if not bare:
-            out.append("")
-            lines.at += 1
-        elif mark := _MARKUP.match(raw):
-            depth = len(mark[1])
-            lines.at += 1
-            if named := _DIRECTIVE.match(mark[2] or ""):
-                lines.skip(lambda x: bool(x.strip() and _OPTION.match(x.strip()) and _depth(x) > depth))
-                lines.skip(lambda x: not x.strip())
-                block, kind = lines.indented(depth + 1), named[1].lower()
-                out += fenced(block) if kind in CODE_DIRECTIVES else [] if kind in DROPPED_DIRECTIVES else map(_plain, block)
-            else:
-                lines.skip(lambda x: not x.strip() or _depth(x) > depth)
-        elif lines.at + 1 < len(lines.all) and _underlines(lines.all[lines.at + 1], bare):
-            char = lines.all[lines.at + 1].strip()[0]
-            levels += [] if char in levels else [char]
-            out.append(f"{'#' * (levels.index(char) + 1)} {_plain(bare)}")
-            lines.at += 2
-        elif bare.endswith("::"):
-            lead = _plain(bare[:-2].rstrip())
-            out += [f"{lead}:"] if lead else []
-            lines.at += 1
-            out += fenced(lines.indented(1))
-        else:
-            out.append(_plain(raw.rstrip()))
-            lines.at += 1
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip() + "\n"
+    rules = {"blank": lambda *_: [""], "markup": directive, "title": title, "literal": literal, "text": lambda start, *_: [_plain(lines.raw[start].rstrip())]}
+    whole = "\n".join(x for kind, *block in lines.blocks() for x in rules[kind](*block))
+    return re.sub("\n\n\n+", "\n\n", whole).strip() + "\n"
 
 
 def normalize_docs(docs: DataFrame, rst: str = "rst") -> DataFrame:

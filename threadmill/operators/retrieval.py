@@ -8,7 +8,7 @@ which floats are added never decides.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -17,14 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
+from threadmill.sources.scratch import durable
 
 # BM25 constants, and the cut-offs of the stages of retrieval.
 K1, B, FLOOR = 1.5, 0.75, 0.25
 DENSE_TOP, SPARSE_TOP, HYBRID_TOP, RERANK_TOP, CONTEXT_CHUNKS = 20, 20, 30, 10, 5
 HIT_AT, RECIPROCAL_AT = 5, 10
 WEIGHTS = ((0.25, 0.75), (0.5, 0.5), (0.75, 0.25))
-#: Bytes of query vectors that are sent to the tasks at once.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors and terms of queries that are sent to the tasks at once, and chunks that a task scores at once.
+QUERY_BYTES, TERMS, CHUNKS = 32 << 20, 500_000, 512
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -103,23 +104,8 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, normalize: bool = F
 _TOKEN = re.compile("[a-z0-9]+")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, ordinal, size, term, tf): the terms of each chunk, counted in the worker, so nothing is shuffled."""
-
-    def work(batches):
-        for batch in batches:
-            names, ordinals, sizes, terms, counts = [], [], [], [], []
-            for name, ordinal, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = Counter(_TOKEN.findall((text or "").lower()))
-                n = len(found)
-                names += [name] * n
-                ordinals += [ordinal] * n
-                sizes += [found.total()] * n
-                terms += found.keys()
-                counts += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ordinals, pa.int64()), pa.array(sizes, pa.int64()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], ["chunk_id", "ordinal", "size", "term", "tf"])
-
-    return chunks.select(F.col("chunk_id").cast("string"), F.col("ordinal").cast("long"), "text").mapInArrow(work, "chunk_id string, ordinal long, size long, term string, tf long")
+def _terms(text: str | None) -> Counter:
+    return Counter(_TOKEN.findall((text or "").lower()))
 
 
 def corpus_size(chunks: DataFrame) -> tuple[int, float]:
@@ -128,10 +114,20 @@ def corpus_size(chunks: DataFrame) -> tuple[int, float]:
     return r["n"], r["mean"] or 0.0
 
 
-def term_weights(posts: DataFrame, n: int) -> DataFrame:
+def document_frequencies(chunks: DataFrame) -> DataFrame:
+    """(term, df). A task adds the chunks of a batch up, so a frequent term is a row a batch and not a row a chunk."""
+
+    def work(batches):
+        for batch in batches:
+            found = Counter(t for text in batch.column(0).to_pylist() for t in _terms(text))
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
+
+    return chunks.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def term_weights(frequencies: DataFrame, n: int) -> DataFrame:
     """(term, df, idf): Okapi idf over the whole vocabulary, negative ones replaced by a quarter of the mean idf."""
-    df = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df = df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    df = frequencies.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean"))
     return df.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -141,13 +137,98 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tx.search_tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, ordinal, score) of all chunks that share a term with the query."""
-    posts = postings(chunks) if posts is None else posts
-    n, mean = corpus_size(chunks)
-    wanted = query_terms(queries).join(term_weights(posts, n), "term")
-    weight = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
-    return posts.join(wanted, "term").groupBy("query_id", "chunk_id", "ordinal").agg(F.sum(weight).alias("score"))
+class Sparse:
+    """BM25 of some queries over some chunks: terms and statistics are found once, then whole rankings or single pairs are scored.
+
+    The terms of the queries go to the tasks in blocks of at most ``TERMS``, so what is broadcast is bounded, and no posting
+    is shuffled: a task scores its own chunks and passes on its k best for each query.
+    """
+
+    def __init__(self, queries: DataFrame, chunks: DataFrame):
+        self.chunks, self.kind = chunks, queries.schema["query_id"].dataType.simpleString()
+        self.n, mean = corpus_size(chunks)
+        self.mean = mean or 1.0
+        weights = term_weights(document_frequencies(chunks), self.n)
+        self.terms = durable(query_terms(queries).join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "query-terms")
+
+    def _blocks(self):
+        """(query ids, places of terms, (query, weight) of each term's queries) of each block of queries."""
+        blocks = int(self.terms.count() // TERMS + 1)
+        for block in range(blocks):
+            rows = (self.terms if blocks == 1 else self.terms.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)).collect()
+            ids = list(dict.fromkeys(r["query_id"] for r in rows))
+            number = {q: i for i, q in enumerate(ids)}
+            by_term: dict[str, list[tuple[int, float]]] = defaultdict(list)
+            for r in rows:
+                by_term[r["term"]].append((number[r["query_id"]], r["weight"]))
+            if rows:
+                yield ids, {t: k for k, t in enumerate(by_term)}, list(by_term.values())
+
+    def top(self, k: int) -> DataFrame:
+        """(query_id, chunk_id, ordinal, score) of each query's k best chunks among those that share a term with it, and maybe some more."""
+        spark, mean, out = self.chunks.sparkSession, self.mean, None
+        for content in self._blocks():
+            sent = spark.sparkContext.broadcast(content)
+
+            def work(batches, sent=sent):
+                ids, places, asked = sent.value
+                sizes = np.array([len(x) for x in asked])
+                first = np.cumsum(sizes) - sizes
+                query, weight = (np.array([y[c] for x in asked for y in x]) for c in (0, 1))
+                best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))] * len(ids)
+                for batch in batches:
+                    for at in range(0, batch.num_rows, CHUNKS):
+                        names, ordinals, texts = (batch.column(c).slice(at, CHUNKS).to_pylist() for c in range(3))
+                        chunk, term, tf, norm = [], [], [], []
+                        for j, text in enumerate(texts):
+                            found = _terms(text)
+                            size = K1 * (1 - B + B * found.total() / mean)
+                            for t, n in found.items():
+                                if (p := places.get(t)) is not None:
+                                    chunk.append(j)
+                                    term.append(p)
+                                    tf.append(n)
+                                    norm.append(size)
+                        if not chunk:
+                            continue
+                        chunk, term, tf, norm = np.array(chunk), np.array(term), np.array(tf, float), np.array(norm)
+                        many = sizes[term]
+                        own = np.arange(many.sum()) + np.repeat(first[term] - (np.cumsum(many) - many), many)
+                        cell = query[own] * len(texts) + np.repeat(chunk, many)
+                        scores = np.bincount(cell, weight[own] * np.repeat(tf * (K1 + 1) / (tf + norm), many), len(ids) * len(texts)).reshape(len(ids), -1)
+                        shared = np.bincount(cell, minlength=scores.size).reshape(scores.shape) > 0
+                        names, ordinals = np.array(names, object), np.array(ordinals)
+                        for i in np.flatnonzero(shared.any(1)):
+                            near = np.flatnonzero(shared[i])
+                            s, o, n = (np.concatenate(x) for x in zip(best[i], (scores[i, near], ordinals[near], names[near]), strict=True))
+                            if len(s) > k:
+                                keep = np.lexsort((o, -np.round(s, 6)))[:k]
+                                s, o, n = s[keep], o[keep], n[keep]
+                            best[i] = s, o, n
+                for name, (s, o, n) in zip(ids, best, strict=True):
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(n, pa.string()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], ["query_id", "chunk_id", "ordinal", "score"])
+
+            rows = self.chunks.select(F.col("chunk_id").cast("string"), F.col("ordinal").cast("long"), "text")
+            part = durable(rows.mapInArrow(work, f"query_id {self.kind}, chunk_id string, ordinal long, score double"), "sparse")
+            sent.destroy()
+            out = part if out is None else out.unionByName(part)
+        return spark.createDataFrame([], f"query_id {self.kind}, chunk_id string, ordinal long, score double") if out is None else out
+
+    def pairs(self, pairs: DataFrame) -> DataFrame:
+        """pairs(query_id, text, ...) with the column sparse, a pair's score; meant for a few rows a query."""
+        counts = F.transform(F.array_distinct("__tokens"), lambda t: F.struct(t.alias("term"), F.size(F.filter("__tokens", lambda x: x == t)).cast("double").alias("tf")))
+        wanted = self.terms.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("__weights"))
+        tokens = pairs.withColumn("__tokens", tx.search_tokens(F.coalesce("text", F.lit("")))).join(wanted, "query_id", "left")
+        kept = tokens.withColumn("__size", F.size("__tokens")).withColumn("__tokens", F.filter("__tokens", lambda t: F.coalesce(F.map_contains_key("__weights", t), F.lit(False))))
+        norm = K1 * (1 - B + B * F.col("__size") / F.lit(self.mean))
+        score = F.aggregate(counts, F.lit(0.0), lambda s, c: s + F.element_at("__weights", c["term"]) * c["tf"] * (K1 + 1) / (c["tf"] + norm))
+        return kept.withColumn("sparse", F.coalesce(score, F.lit(0.0))).drop("__tokens", "__weights", "__size")
+
+
+def bm25_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """ranked(query_id, chunk_id, ordinal, score): each query's k best chunks among those that share a term with it."""
+    return ranked(Sparse(queries, chunks).top(k), k)
 
 
 def padded(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -160,18 +241,18 @@ def padded(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 # --- hybrid ---------------------------------------------------------------------------------------------------------
 
 
-def hybrid_candidates(queries: DataFrame, chunks: DataFrame, posts: DataFrame | None = None) -> DataFrame:
+def hybrid_candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, ordinal, dense, sparse, dense_norm, sparse_norm): the 20 best of either kind with both scores, each brought to 0..1 over a query's candidates.
 
-    Equal scores all become 0. Candidates are at most 40 a query.
+    Equal scores all become 0. Candidates are at most 40 a query; their scores are taken from their own texts and vectors.
     """
-    sparse = bm25(queries, chunks, posts)
-    by_sparse = ranked(padded(sparse, queries, chunks, SPARSE_TOP), SPARSE_TOP).select("query_id", "chunk_id", "ordinal")
+    model = Sparse(queries, chunks)
+    by_sparse = ranked(padded(model.top(SPARSE_TOP), queries, chunks, SPARSE_TOP), SPARSE_TOP).select("query_id", "chunk_id", "ordinal")
     by_dense = dense_top(queries, chunks, DENSE_TOP).select("query_id", "chunk_id", "ordinal")
-    pool = by_sparse.union(by_dense).distinct()
-    vectors = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("vector").alias("v"))
-    pool = pool.join(vectors, "chunk_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id").select("query_id", "chunk_id", "ordinal", F.coalesce(dot("q", "v"), F.lit(0.0)).alias("dense"))
-    pool = pool.join(sparse.select("query_id", "chunk_id", F.col("score").alias("sparse")), ["query_id", "chunk_id"], "left").na.fill(0.0, ["sparse"])
+    pool = durable(by_sparse.union(by_dense).distinct(), "pool")
+    known = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text", F.col("vector").alias("v"))
+    pool = model.pairs(pool.join(known, "chunk_id")).join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+    pool = pool.select("query_id", "chunk_id", "ordinal", F.coalesce(dot("q", "v"), F.lit(0.0)).alias("dense"), "sparse")
     one = Window.partitionBy("query_id")
     norm = lambda c: F.when(F.max(c).over(one) - F.min(c).over(one) <= 0, F.lit(0.0)).otherwise((F.col(c) - F.min(c).over(one)) / F.nullif(F.max(c).over(one) - F.min(c).over(one), F.lit(0.0)))
     return pool.withColumns({"dense_norm": norm("dense"), "sparse_norm": norm("sparse")})
@@ -255,13 +336,17 @@ def mock_rewrites(query: Column | str, n: int) -> Column:
     return F.array(*(F.concat(tx.col(query), F.lit(f" variant {i}")) for i in range(n)))
 
 
-def run_variant(config: dict, queries: DataFrame, chunks: DataFrame, embed: Callable[[Column], Column] = letter_vector, rewrite: Callable[[Column, int], Column] = mock_rewrites, scorer=overlap_score) -> DataFrame:
-    """ranked results of one variant for all queries(query_id, query) at once; chunks(chunk_id, ordinal, parent_id, text)."""
+def run_variant(config: dict, queries: DataFrame, chunks: DataFrame | dict[str, DataFrame], embed: Callable[[Column], Column] = letter_vector, rewrite: Callable[[Column, int], Column] = mock_rewrites, scorer=overlap_score) -> DataFrame:
+    """ranked results of one variant for all queries(query_id, query) at once.
+
+    chunks(chunk_id, ordinal, parent_id, text), or a table for each kind of chunking, of which config names one.
+    """
+    chunks = chunks[config["chunking"]] if isinstance(chunks, dict) else chunks
     asked = queries.select("query_id", "query").withColumn("variants", F.array("query"))
     if config.get("multi_query"):
         asked = asked.withColumn("variants", tx.expand_queries("query", rewrite(F.col("query"), config["multi_query"])))
     each = asked.select(F.col("query_id").alias("of"), F.posexplode("variants").alias("n", "query")).withColumn("query_id", F.concat_ws("#", F.col("of").cast("string"), "n"))
-    each, known = each.withColumn("vector", embed(F.col("query"))), chunks.withColumn("vector", embed(F.col("text")))
+    each, known = each.withColumn("vector", embed(F.col("query"))), durable(chunks.withColumn("vector", embed(F.col("text"))), "known")
     if config.get("hybrid"):
         results = hybrid_top(hybrid_candidates(each, known), pipeline_weight(config.get("dense_weight")), pipeline_weight(config.get("sparse_weight")))
     else:
@@ -271,6 +356,13 @@ def run_variant(config: dict, queries: DataFrame, chunks: DataFrame, embed: Call
     return rerank(results, queries, chunks, scorer, config.get("rerank_top_k") or RERANK_TOP) if config.get("rerank") else results
 
 
+def snapshots(results: DataFrame, most: int = 50) -> DataFrame:
+    """(query_id, chunk_ids): the ranked chunks of the first ``most`` queries by id, for a look at single answers."""
+    first = results.select("query_id").distinct().orderBy("query_id").limit(most)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))
+    return results.join(F.broadcast(first), "query_id").groupBy("query_id").agg(F.transform(listed, lambda x: x["chunk_id"]).alias("chunk_ids"))
+
+
 def mock_vector(text: str, size: int = 16) -> list[float]:
     """A unit vector drawn from a generator seeded by the text: the offline stand-in for an embedding model."""
     import hashlib

@@ -28,12 +28,12 @@ def query(sql: str | None = None):
 
 def _vectors(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), "vector")
-    return queries, e.where("vec_id >= 20").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("ordinal"), "label", "vector")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), "vector")
+    return queries, e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("ordinal"), "label", "vector")
 
 
 _DENSE = """dense as (select q.vec_id as query_id, q.label as query_label, c.vec_id, c.label, list_dot_product(q.embedding::double[], c.embedding::double[]) as score
-    from embeddings q, embeddings c where q.vec_id < 20 and c.vec_id >= 20 qualify row_number() over (partition by q.vec_id order by round(score, 6) desc, c.vec_id) <= 30),
+    from embeddings q, embeddings c where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by round(score, 6) desc, c.vec_id) <= 30),
 dense_ranked as (select *, (row_number() over (partition by query_id order by round(score, 6) desc, vec_id) - 1)::int as rank from dense)"""
 
 
@@ -43,21 +43,21 @@ def dense_topk(spark, sf_dir):
     return found.select("query_id", F.col("ordinal").alias("vec_id"), "rank", F.round("score", 5).alias("score"))
 
 
-@query(f"""with {_DENSE}, first as (select query_id, min(rank) filter (where label = query_label) as f from dense_ranked group by query_id)
+@query(f"""with {_DENSE}, first as (select query_id, min(rank) filter (where label = query_label and vec_id <> query_id) as f from dense_ranked group by query_id)
     select query_id, case when f < 5 then 1.0 else 0.0 end::double as hit, case when f < 10 then 1.0 / (f + 1) else 0.0 end::double as reciprocal_rank from first""")
 def dense_hit_mrr(spark, sf_dir):
     queries, known = _vectors(spark, sf_dir)
     found = retrieval.dense_top(queries, known, retrieval.HYBRID_TOP)
-    true = found.join(known.select("chunk_id", "label"), "chunk_id").join(queries.select("query_id", "query_label"), "query_id").where("label = query_label")
+    true = found.join(known.select("chunk_id", "label"), "chunk_id").join(queries.select("query_id", "query_label"), "query_id").where("label = query_label and ordinal <> query_id")
     return retrieval.hits(found, true, queries)
 
 
-@query("""select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 5) as score from embeddings q, embeddings c where q.vec_id < 20 and c.label < 5
+@query("""select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 5) as score from embeddings q, embeddings c where q.vec_id % 20 = 0 and c.label < 5
     qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) desc, c.vec_id) <= 10""")
 def cosine_search(spark, sf_dir):
     """The store's search: cosine over the rows of one level that have a vector."""
     e = read(spark, sf_dir, "embeddings")
-    queries = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     known = e.where("label < 5").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("vec_id").alias("ordinal"), F.col("embedding").alias("vector"))
     return retrieval.dense_top(queries, known, 10, normalize=True).select("query_id", F.col("ordinal").alias("vec_id"), F.round("score", 5).alias("score"))
 
@@ -71,15 +71,15 @@ def vector_encoding(spark, sf_dir):
 
 
 def _base(spark, sf_dir):
-    """(questions, chunks, postings), the last two written out, as several steps read them."""
+    """(questions, chunks), the chunks written out, as several steps read them."""
     known = durable(ad.chunks(spark, sf_dir).withColumn("vector", retrieval.letter_vector("text")), "chunks")
     asked = ad.questions(spark, sf_dir).withColumn("vector", retrieval.letter_vector("query"))
-    return asked, known, durable(retrieval.postings(known), "postings")
+    return asked, known
 
 
 def _candidates(spark, sf_dir):
-    asked, known, posts = _base(spark, sf_dir)
-    return asked, known, retrieval.hybrid_candidates(asked, known, posts)
+    asked, known = _base(spark, sf_dir)
+    return asked, known, retrieval.hybrid_candidates(asked, known)
 
 
 def _hybrid(spark, sf_dir):
@@ -91,14 +91,14 @@ def _hybrid(spark, sf_dir):
 def bm25_stats(spark, sf_dir):
     known = ad.chunks(spark, sf_dir)
     n, mean = retrieval.corpus_size(known)
-    weights = retrieval.term_weights(retrieval.postings(known), n)
+    weights = retrieval.term_weights(retrieval.document_frequencies(known), n)
     return weights.agg(F.lit(n).cast("long").alias("chunks"), F.round(F.lit(mean), 6).alias("mean_size"), F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.count_if(F.col("df") > F.lit(n / 2)).alias("floored"))
 
 
 @query(f"with {CHUNKS_SQL}, {QUERIES_SQL}, {BM25_SQL} select query_id, chunk_id, (row_number() over (partition by query_id order by round(score, 6) desc, ordinal) - 1)::int as rank, round(score, 4) as score from sparse qualify rank < 10")
 def bm25_topk(spark, sf_dir):
-    found = retrieval.bm25(ad.questions(spark, sf_dir), known := ad.chunks(spark, sf_dir), durable(retrieval.postings(known), "postings"))
-    return retrieval.ranked(found, 10).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    found = retrieval.bm25_top(ad.questions(spark, sf_dir), durable(ad.chunks(spark, sf_dir), "chunks"), 10)
+    return found.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query(f"with {HYBRID_SQL}, {hybrid_sql(k=10)} select query_id, chunk_id, rank::int as rank, round(score, 4) as score from hybrid")
@@ -138,8 +138,7 @@ def multiquery_fuse(spark, sf_dir):
     q = ad.questions(spark, sf_dir).withColumn("w", w)
     parts = F.array(F.col("query"), F.array_join(F.slice("w", F.lit(1), half), " "), F.array_join(F.slice("w", half + 1, F.size("w")), " "))
     each = q.select("query_id", F.posexplode(parts).alias("n", "query")).select((F.col("query_id") * 10 + F.col("n")).alias("query_id"), "query")
-    known = ad.chunks(spark, sf_dir)
-    top = retrieval.ranked(retrieval.bm25(each, known, durable(retrieval.postings(known), "postings")), 30)
+    top = retrieval.bm25_top(each, durable(ad.chunks(spark, sf_dir), "chunks"), 30)
     from pyspark.sql import Window
 
     one = Window.partitionBy("query_id")
