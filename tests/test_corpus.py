@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -139,3 +140,32 @@ def test_golden_questions(spark):
     messages = [(r["position"], r["message"]) for r in c.golden_errors(spark.createDataFrame(bad, schema), known, reviewed=True).collect()]
     assert messages[:2] == [(-1, "expected 25 examples, found 26"), (-1, "distribution for mixed: expected 12, found 13")]
     assert (0, "unknown chunk id: nope") in messages and (25, f"duplicate question: {examples[1][1]}") in messages and (0, "no ground_truth_child_chunk_ids") in messages
+
+
+def test_comment_objects(spark):
+    record = {"body": "b", "author_association": "NONE", "comments": [{"body": "c", "author_association": "OWNER", "x": {"y": [{"body": "d", "author_association": "MEMBER"}]}}, {"body": 1, "author_association": "OWNER"}, {"body": "no"}]}
+    out = spark.createDataFrame([(1, json.dumps(record)), (2, None), (3, "broken"), (4, "[]")], "id int, j string").select("id", c.comment_objects("j").alias("found")).collect()
+    found = {r["id"]: [tuple(x) for x in r["found"]] for r in out}
+    assert found == {1: [("", "b", "NONE"), ("comments[]", "c", "OWNER"), ("comments[].x.y[]", "d", "MEMBER")], 2: [], 3: [], 4: []}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_by_any_counter(seed):
+    rng = random.Random(seed)
+    words = ["x" * rng.randrange(1, 9) for _ in range(60)]
+    count = lambda t: sum((len(w) + 2) // 3 for w in t.split())
+    expected, here = [], []
+    for w in words:
+        here.append(w)
+        if count(" ".join(here)) >= 7:
+            expected.append(" ".join(here))
+            here = []
+    assert list(c._pieces(" ".join(words), 7, count)) == expected + ([" ".join(here)] if here else [])
+
+
+@pytest.mark.parametrize(("rst", "plain"), [
+    ("A\n~~~\nx\n\nB\n===\n\nC\n~~~", "# A\nx\n\n## B\n\n# C\n"), ("::\n\n  code\n   more\n\nend", "```\ncode\n more\n```\nend\n"), (".. image:: x\n   :alt: y\n\n   caption\ntext", "text\n"),
+    ("..\n   comment\n\ntext", "text\n"), ("a\n\n\n\n\nb", "a\n\nb\n"), ("Long title here\n--\n", "Long title here\n--\n"), ("  .. code::\n     :x: 1\n\n     y\n\n  z", "```\ny\n```\n  z\n"), ("x\n..y\n", "x\n..y\n"), (".. |sub| replace:: z\nq", "q\n"),
+])
+def test_rst_rules(rst, plain):
+    assert c.normalize_rst(rst) == plain

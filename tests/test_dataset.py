@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -92,3 +93,25 @@ def test_holdout(spark):
     assert [(r["issue_id"], r["score"]) for r in out.collect()] == [("2", 591), ("1", 90)]
     with pytest.raises(ValueError):
         ds.holdout(mapped, raw, mapped.select("issue_id"), least=1)
+
+
+def test_labels_as_objects_and_mapping_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [("kind:bug",), (None,)]), (2, None)], "id int, labels array<struct<name:string>>")
+    assert {r["id"]: r["n"] for r in rows.select("id", ds.labels_of(rows).alias("n")).collect()} == {1: ["kind:bug"], 2: None}
+    text = spark.createDataFrame([('["a", {"name": "b"}, 1, {"name": null}]',), (None,), ("{}",)], "labels string")
+    assert [r["n"] for r in text.select(ds.labels_of(text).alias("n")).collect()] == [["a", "b"], [], []]
+    good = {"bug": ["Kind:Bug "], "feature": {"github_labels": ["f"]}, "docs": ["d"], "question": ["q"]}
+    for name, value in {"good": good, "twice": {**good, "docs": ["kind:bug"]}, "blank": {**good, "docs": [" "]}, "list": [1], "less": {"bug": ["x"]}}.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    assert ds.load_mapping(spark, str(tmp_path / "good.json")) == {"bug": ("kind:bug",), "feature": ("f",), "docs": ("d",), "question": ("q",)}
+    for name in ("twice", "blank", "list", "less"):
+        with pytest.raises(ValueError):
+            ds.load_mapping(spark, str(tmp_path / f"{name}.json"))
+
+
+def test_labelled_split_and_prefixes(spark):
+    rows = spark.createDataFrame([("bug", 0, "a  b", "doc:1"), ("docs", 2, "c", "provider:2")], "label string, label_id int, text string, source_id string")
+    assert [r["text"] for r in ds.labelled_split(rows).orderBy("label").collect()] == ["a b", "c"]
+    with pytest.raises(ValueError):
+        ds.labelled_split(rows.withColumn("label_id", F.lit(1)))
+    assert [r["source_id"] for r in ds.forbidden_prefixes(rows, ("provider:", "x")).collect()] == ["provider:2"]

@@ -130,3 +130,17 @@ def test_classifier_learns(spark):
     out = model.predict(df).collect()
     assert all(r["predicted"] == r["label"] for r in out)
     assert model.idf.min() >= 1.0
+
+
+def test_model_gates(spark):
+    said = [("a", x, x) for x in ("bug", "docs", "feature", "question")] + [("b", "bug", "docs"), ("b", "bug", "bug")]
+    rows = spark.createDataFrame(said, "model string, truth string, predicted string")
+    wanted = {"a": {"accuracy": 0.9, "macro_f1": 0.9}, "b": {"accuracy": 0.9, "macro_f1": 0.9, "required": False}, "c": {"accuracy": 0.5}, "d": {"accuracy": 0.5, "required": False}}
+    out = {r["model"]: (r["status"], r["gate_passed"], r["accuracy"]) for r in ev.model_gates(rows, wanted).collect()}
+    assert out == {"a": ("pass", True, 1.0), "b": ("optional_fail", True, 0.5), "c": ("fail", False, None), "d": ("skipped", True, None)}
+
+
+def test_comparison(spark):
+    rows = spark.createDataFrame([("x", 0.5, 0.4, 1.0, 2_161_404, 370, None), ("y", 0.6, 0.6, 2.0, None, 40, "balanced"), ("z", None, None, None, None, 0, "full")], "name string, accuracy double, macro_f1 double, latency_ms_per_example double, size_bytes long, num_examples long, sampling_mode string")
+    out = [(r["name"], r["rank"], r["size_mb"], r["scope"]) for r in ev.comparison(rows).orderBy("rank").collect()]
+    assert out == [("y", 1, None, "balanced sample of 40 rows"), ("x", 2, 2.16, "all 370 rows"), ("z", 3, None, "all 0 rows")]

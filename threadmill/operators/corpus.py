@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -42,6 +43,42 @@ def issue_records(issues: DataFrame, holdout: DataFrame, ordinal: str = "ordinal
     )
 
 
+_FOUND = "array<struct<path:string,body:string,author_association:string>>"
+
+
+def comment_objects(record_json: str) -> "F.Column":
+    """(path, body, author_association) of all objects in a JSON column that have both as strings, at any depth, in the order of the record.
+
+    The path has keys by dots and [] for the items of lists. A walk over one record's own tree, in Arrow batches.
+    """
+
+    def walk(value, path):
+        if isinstance(value, dict):
+            if isinstance(value.get("body"), str) and isinstance(value.get("author_association"), str):
+                yield {"path": path, "body": value["body"], "author_association": value["author_association"]}
+            for key, inner in value.items():
+                yield from walk(inner, f"{path}.{key}" if path else key)
+        elif isinstance(value, list):
+            for inner in value:
+                yield from walk(inner, f"{path}[]")
+
+    def find(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            try:
+                out.append(list(walk(json.loads(text), "")) if text is not None else [])
+            except ValueError:
+                out.append([])
+        return pd.Series(out)
+
+    return F.pandas_udf(find, _FOUND)(F.col(record_json))
+
+
+def chunk_sets(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, words: int = NAIVE_TOKENS, count: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parents with children, fixed windows) of the same records."""
+    return parent_child_chunks(records, most, overlap, count or count_tokens), naive_chunks(records, words)
+
+
 def naive_chunks(records: DataFrame, words: int = NAIVE_TOKENS, source: str = "source_id") -> DataFrame:
     """(source_id, chunk_no, text) of windows of so many words; texts without words give none."""
     split = records.select(F.col(source).alias("source_id"), tx.words("text").alias("w")).where(F.size("w") > 0)

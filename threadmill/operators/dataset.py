@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadmill.functions import text as tx
+from threadmill.sources.tables import read_object
 
 # The order of labels in reports and in carve-outs, and the source label of each.
 LABELS = ("bug", "feature", "docs", "question")
@@ -24,10 +26,63 @@ CLASS_TARGET, TEST_SHARE, VALIDATION_SHARE = 500, 0.2, 0.25
 
 
 def label_names(labels: Column | str) -> Column:
-    """The names in an array of strings, or of structs with a name; other items must be nulls and are left out."""
+    """The names in an array of strings; nulls are left out."""
     return F.filter(tx.col(labels), lambda x: x.isNotNull())
 
 
+def label_objects(labels: Column | str) -> Column:
+    """The names in an array of structs with a name; nulls and structs without a name are left out."""
+    return label_names(F.transform(tx.col(labels), lambda x: x["name"]))
+
+
+def label_items(labels_json: Column | str) -> Column:
+    """The names in a JSON array whose items are strings or objects with a name, in any mixture; items of other kinds are left out.
+
+    Null, and JSON that is no array, have no names.
+    """
+    items = F.try_parse_json(tx.col(labels_json)).try_cast("array<variant>")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    named = lambda v: F.try_variant_get(v, "$.name", "variant")
+    name = lambda v: F.when(kind(v) == "STRING", v.try_cast("string")).when(kind(v).startswith("OBJECT") & (kind(named(v)) == "STRING"), named(v).try_cast("string"))
+    return F.coalesce(label_names(F.transform(items, name)), F.array().cast("array<string>"))
+
+
+def labels_of(rows: DataFrame, labels: str = "labels") -> Column:
+    """The label names of a column, whether it holds strings, objects or JSON."""
+    kind = rows.schema[labels].dataType
+    if isinstance(kind, T.StringType):
+        return label_items(labels)
+    return label_objects(labels) if isinstance(kind.elementType, T.StructType) else label_names(labels)
+
+
+def is_pull_request(item_json: Column | str) -> Column:
+    """Whether a raw JSON item has the key pull_request, even if its value is null."""
+    return F.coalesce(F.array_contains(F.json_object_keys(tx.col(item_json)), "pull_request"), F.lit(False))
+
+
+def load_mapping(spark: SparkSession, path: str) -> dict[str, tuple[str, ...]]:
+    """A label mapping from a JSON object of lists (a list is also taken from under ``github_labels``).
+
+    Fails unless it is an object with the targets of LABELS and no others, each a list of names that are not blank, and no name
+    stands twice after normalization. The order of targets is that of LABELS, their priority.
+    """
+    raw = read_object(spark, path)
+    if set(raw) != set(LABELS):
+        raise ValueError(f"targets must be {sorted(LABELS)}, found {sorted(raw)}")
+    seen: set[str] = set()
+    out = {}
+    for target in LABELS:
+        names = raw[target].get("github_labels") if isinstance(raw[target], dict) else raw[target]
+        if not isinstance(names, list) or not names or not all(isinstance(n, str) and n.strip() for n in names):
+            raise ValueError(f"{target} must have a list of names")
+        plain = tuple(n.strip().lower() for n in names)
+        if len(set(plain)) < len(plain) or seen & set(plain):
+            raise ValueError(f"a name of {target} stands twice")
+        seen |= set(plain)
+        out[target] = plain
+    return out
+
+
 def mapping_table(spark: SparkSession, mapping: dict[str, tuple[str, ...]] = SOURCE_LABELS) -> DataFrame:
     """(target, label_id, source_label), label_id also being the priority. As long as the mapping, so it may be broadcast."""
     rows = [(t, i, s) for i, (t, sources) in enumerate(mapping.items()) for s in sources]
@@ -42,7 +97,7 @@ def map_issues(issues: DataFrame, mapping: dict[str, tuple[str, ...]] = SOURCE_L
     row that was fetched for a label keeps it if its own labels bear it out; else the first target in
     priority order that one of its labels maps to. conflict: the labels of a kept row map to several.
     """
-    own = F.coalesce(F.transform(label_names("labels"), tx.normalize_label), F.array().cast("array<string>"))
+    own = F.coalesce(F.transform(labels_of(issues), tx.normalize_label), F.array().cast("array<string>"))
     targets = {t: F.array(*map(F.lit, s)) for t, s in mapping.items()}
     matched = F.filter(F.array(*(F.when(F.arrays_overlap(own, s), F.lit(t)) for t, s in targets.items())), lambda t: t.isNotNull())
     fetched, source = F.nullif(F.col("fetched_for_label"), F.lit("")), F.nullif(F.col("fetched_for_github_label"), F.lit(""))
@@ -73,7 +128,7 @@ def skip_counts(mapped: DataFrame) -> DataFrame:
 def unmatched_labels(mapped: DataFrame, order: Column | str) -> DataFrame:
     """(label, n) of the labels of rows that map to nothing, most frequent first, of equals the one seen first."""
     missed = mapped.where(F.col("reason").isNotNull() & ~F.col("reason").isin("missing_closed_at", "empty_title_and_body"))
-    names = F.coalesce(F.transform(label_names("labels"), tx.normalize_label), F.array().cast("array<string>"))
+    names = F.coalesce(F.transform(labels_of(mapped), tx.normalize_label), F.array().cast("array<string>"))
     names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("(no labels)")))
     seen = missed.select(tx.col(order).alias("at"), F.posexplode(names).alias("pos", "label"))
     counts = seen.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "pos")).alias("first"))
@@ -249,6 +304,36 @@ def require_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("missing", F.array_join(gone, ",")).where("missing <> ''")
 
 
+def label_id_mismatches(rows: DataFrame, labels=LABELS, label: str = "label", label_id: str = "label_id", text: str = "text") -> DataFrame:
+    """rows with ``problem`` whose label is unknown, whose label_id is not its label's place, or whose text is empty once normalized."""
+    place = F.create_map(*(x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(i))))[F.col(label)]
+    empty = tx.normalize_text(F.coalesce(F.col(text), F.lit(""))) == ""
+    problem = F.when(place.isNull(), "unknown label").when(~F.col(label_id).eqNullSafe(place), "label_id does not agree with label").when(empty, "empty text")
+    return rows.withColumn("problem", problem).where("problem is not null")
+
+
+def labelled_split(rows: DataFrame, text: str = "text", **columns: str) -> DataFrame:
+    """A whole split with its texts normalized; fails with some of the rows if any breaks a rule of ``label_id_mismatches``."""
+    ensure_empty(label_id_mismatches(rows, text=text, **columns), "rows of the split")
+    return rows.withColumn(text, tx.normalize_text(text))
+
+
+def by_closing(rows: DataFrame, at: str = "closed_at", ordinal: str = "ordinal") -> DataFrame:
+    """rows in the order in which they were closed, equal times in their order before."""
+    return rows.orderBy(at, ordinal)
+
+
+def forbidden_prefixes(rows: DataFrame, prefixes: tuple[str, ...], key: str = "source_id") -> DataFrame:
+    """Rows whose key begins with one of the prefixes that a corpus must not have."""
+    return rows.where(F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(F.col(key), p)))
+
+
+def digest_mismatches(found: DataFrame, recorded: DataFrame, key: str = "path", digest: str = "sha256") -> DataFrame:
+    """(key, found, recorded) of what does not have its recorded digest; null stands for what is missing on either side."""
+    a, b = found.select(key, F.col(digest).alias("found")), recorded.select(key, F.col(digest).alias("recorded"))
+    return a.join(b, key, "full").where(~F.col("found").eqNullSafe(F.col("recorded")))
+
+
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
@@ -189,6 +189,11 @@ def entities(raw: Column | str, source: Column | str, most: int = 100) -> Column
     return F.transform(F.slice(F.array_sort(first), 1, most), lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), e["start"].alias("start"), e["end"].alias("end"), e["confidence"].alias("confidence")))
 
 
+def entity_counts(found: DataFrame, cleaned: str = "entities", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., type, n) of the entities in a column as made by ``entities``, in the order of type."""
+    return found.select(*by, F.explode(cleaned).alias("e")).groupBy(*by, F.col("e.type").alias("type")).agg(F.count(F.lit(1)).alias("n")).orderBy(*by, "type")
+
+
 # --- gates and selection --------------------------------------------------------------------------------------------
 
 
@@ -209,6 +214,37 @@ def skipped(required: bool) -> tuple[str, bool]:
     return ("fail", False) if required else ("skipped", True)
 
 
+def model_gates(predictions: DataFrame, thresholds: dict[str, dict[str, float]], labels=LABELS) -> DataFrame:
+    """(model, accuracy, macro_f1, n, status, gate_passed) for each model of thresholds, from predictions(model, truth, predicted).
+
+    A model's thresholds name accuracy and macro_f1, and whether it is required (it is unless they say not). A model without
+    predictions was not judged: failed if it is required, else skipped.
+    """
+    spark, out = predictions.sparkSession, None
+    for name, wanted in thresholds.items():
+        required = bool(wanted.get("required", True))
+        one = summary(confusion(predictions.where(F.col("model") == name), labels))
+        metrics = one.where("n > 0").select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "macro_f1")))).alias("m")).select("m.*")
+        judged = gate(threshold_checks(metrics, wanted), required)
+        status, passed = skipped(required)
+        row = one.join(F.broadcast(judged)).select(
+            F.lit(name).alias("model"), F.when(F.col("n") > 0, F.col("accuracy")).alias("accuracy"), F.when(F.col("n") > 0, F.col("macro_f1")).alias("macro_f1"), "n",
+            F.when(F.col("n") > 0, F.col("status")).otherwise(status).alias("status"), F.when(F.col("n") > 0, F.col("gate_passed")).otherwise(F.lit(passed)).alias("gate_passed"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return spark.createDataFrame([], "model string, accuracy double, macro_f1 double, n long, status string, gate_passed boolean") if out is None else out
+
+
+def comparison(reports: DataFrame, sampled: str = "sampling_mode") -> DataFrame:
+    """reports(name, accuracy, macro_f1, latency_ms_per_example, size_bytes, num_examples, sampling_mode) as rows to be read side by side.
+
+    Added are rank (by macro_f1, then accuracy, then name; models without results last), size_mb, and the scope of the evaluation in words.
+    """
+    rank = F.row_number().over(Window.orderBy(F.desc_nulls_last("macro_f1"), F.desc_nulls_last("accuracy"), "name"))  # a handful of models
+    scope = F.when(F.coalesce(F.col(sampled), F.lit("full")) == "full", F.concat(F.lit("all "), F.col("num_examples").cast("string"), F.lit(" rows"))).otherwise(F.concat(F.col(sampled), F.lit(" sample of "), F.col("num_examples").cast("string"), F.lit(" rows")))
+    return reports.withColumns({"rank": rank, "size_mb": F.round(F.col("size_bytes") / 1e6, 2), "scope": scope})
+
+
 def best_variant(reports: DataFrame, order: str = "position") -> DataFrame:
     """The row with the highest hit_at_5, of equal ones the first."""
     return reports.orderBy(F.desc("hit_at_5"), F.asc(order)).limit(1)

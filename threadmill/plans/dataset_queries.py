@@ -176,12 +176,9 @@ def issue_chunks(spark, sf_dir):
     return corpus.parent_child_chunks(_corpus(spark, sf_dir)).select("source_id", "level", "chunk_id", "parent_id", F.md5("text").alias("digest"))
 
 
-# Documents here have no blank lines, so a section's blocks are one, and its children are windows of 500 words if it is longer.
-@query(f"""with w as (select doc_id, {strip_sql('text')} as body, {words_sql('text')} as w from documents), parents as (select doc_id, w from w where body <> '' and not regexp_matches(body, '\\n{SP}*\\n') and not regexp_matches(body, '(?m)^(#|{SP}*```)'))
-    select count(*) as parents, sum((len(w) + 499) // 500)::bigint as children, (count(*) + sum((len(w) + 499) // 500))::bigint as chunks from parents""")
+@query()
 def chunk_level_counts(spark, sf_dir):
-    plain = _records(spark, sf_dir).where(~tx.strip("text").rlike(f"\n{tx.SPACE}*\n") & ~tx.strip("text").rlike(f"(?m)^(#|{tx.SPACE}*```)"))
-    return corpus.level_counts(corpus.parent_child_chunks(plain))
+    return corpus.level_counts(corpus.parent_child_chunks(_records(spark, sf_dir)))
 
 
 @query(f"with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents) select doc_id, pos::bigint as pos, md5({strip_sql('line')}) as digest from l where {strip_sql('line')} <> ''")
@@ -225,3 +222,45 @@ def windowed_counts(spark, sf_dir):
     from threadmill.streaming.ingest import windowed_counts as windows
 
     return windows(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+_ITEMS = """items as (select event_id, case event_id % 5 when 0 then '["a", {"name": "' || event_type || '"}, 3, null, {"id": 1}]' when 1 then '{"pull_request": null, "labels": ["b"]}' when 2 then '[]' when 3 then 'no json' else '[{"name": "x"}, "y", {"name": 5}]' end as item, event_type from events)"""
+
+
+def _items(spark, sf_dir):
+    e, kind = read(spark, sf_dir, "events").select("event_id", "event_type"), F.col("event_id") % 5
+    item = F.when(kind == 0, F.concat(F.lit('["a", {"name": "'), "event_type", F.lit('"}, 3, null, {"id": 1}]'))).when(kind == 1, '{"pull_request": null, "labels": ["b"]}').when(kind == 2, "[]").when(kind == 3, "no json").otherwise('[{"name": "x"}, "y", {"name": 5}]')
+    return e.withColumn("item", item)
+
+
+@query(f"with {_ITEMS} select event_id, case event_id % 5 when 0 then 'a,' || event_type when 4 then 'x,y' else '' end as names, event_id % 5 = 1 as pull_request from items")
+def raw_items(spark, sf_dir):
+    """Label names in mixed JSON arrays, and items that are pull requests because the key is there."""
+    return _items(spark, sf_dir).select("event_id", F.array_join(dataset.label_items("item"), ",").alias("names"), dataset.is_pull_request("item").alias("pull_request"))
+
+
+@query("select event_id, user_id, (row_number() over (order by user_id nulls first, event_id) - 1)::bigint as place from events qualify place < 100")
+def stable_order(spark, sf_dir):
+    """A sort by one column that leaves equal ones in their order: here the first hundred of it."""
+    from pyspark.sql import Window
+
+    ordered = dataset.by_closing(read(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", "event_id").limit(100)
+    return ordered.withColumn("place", F.row_number().over(Window.orderBy("user_id", "event_id")).cast("long") - 1)
+
+
+@query("""with r as (select event_id, event_type, list_position(['view', 'click', 'purchase', 'error'], event_type) - 1 as place from events)
+    select case when place is null then 'unknown label' when event_id % 7 = 0 then 'label_id does not agree with label' else 'empty text' end as problem, count(*) as n from r where place is null or event_id % 7 = 0 or event_id % 11 = 0 group by all""")
+def split_problems(spark, sf_dir):
+    """Planted faults of a labelled split: labels out of the list, ids of other labels, blank texts."""
+    labels = ("view", "click", "purchase", "error")
+    place = F.create_map(*(x for i, k in enumerate(labels) for x in (F.lit(k), F.lit(i))))[F.col("event_type")]
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), (place + (F.col("event_id") % 7 == 0).cast("int")).alias("label_id"), F.when(F.col("event_id") % 11 == 0, " \t\n").otherwise("text").alias("text"))
+    return dataset.label_id_mismatches(rows, labels).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id as path, case when doc_id % 10 = 0 then null when doc_id % 10 = 1 then 'x' else sha256(text) end as recorded from documents where doc_id % 10 < 2 order by 1")
+def digest_mismatches(spark, sf_dir):
+    """Recorded digests of which some are missing and some are wrong."""
+    found = corpus.manifest_entries(documents(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("rst")))
+    recorded = found.where("path % 10 > 0").select("path", F.when(F.col("path") % 10 == 1, "x").otherwise(F.col("sha256")).alias("sha256"))
+    return dataset.digest_mismatches(found, recorded).select("path", "recorded")

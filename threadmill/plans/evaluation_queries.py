@@ -137,6 +137,15 @@ def entity_postprocess(spark, sf_dir):
     return c.select("conv_id", "turn", F.size(evaluation.entities(placed, "text")).cast("long").alias("entities"))
 
 
+@query(f"""with found as (select conv_id, least(len(list_distinct(regexp_extract_all(text, '{_CAPS}'))), 100) as n from conversations) select conv_id, 'MISC' as type, sum(n)::bigint as n from found group by conv_id having sum(n) > 0""")
+def entity_type_counts(spark, sf_dir):
+    """Entities of a conversation by type, all of one type here."""
+    c = read(spark, sf_dir, "conversations")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(_CAPS), F.lit(0)))
+    raw = F.transform(words, lambda w: F.struct(F.lit("I-MISC").alias("entity_group"), F.lit(None).cast("string").alias("entity"), F.lit(0.5).alias("score"), w.alias("word"), (F.instr(F.col("text"), w) - 1).alias("start"), (F.instr(F.col("text"), w) - 1 + F.length(w)).alias("end")))
+    return evaluation.entity_counts(c.select("conv_id", evaluation.entities(raw, "text").alias("entities")), by=("conv_id",))
+
+
 @query("select 3 as ordinal, 'd' as name, 0.704::double as macro_f1")
 def experiment_select(spark, sf_dir):
     """Within the dead band question F1, then latency decides: b is no better than a, c trails, d is as good and faster."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import evaluation, retrieval
+from threadmill.operators import corpus, evaluation, retrieval
 from threadmill.plans import adapters as ad
 from threadmill.plans.adapters import BM25_SQL, CHUNKS_SQL, HYBRID_SQL, QUERIES_SQL, TRUTH_SQL, hybrid_sql, read
 from threadmill.sources.scratch import durable
@@ -190,14 +190,23 @@ def eval_gate(spark, sf_dir):
     return evaluation.threshold_checks(m, {"hit_at_5": 0.3, "mrr_at_10": 0.18, "faithfulness": 4.0, "required": True})
 
 
+def _ladder(spark, sf_dir):
+    """(variant number, its results) over two sets of chunks: windows of 400 words, and the children of parent and child chunks."""
+    docs = ad.documents(spark, sf_dir)
+    records = docs.select(F.lit("docs").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), "text", F.lit(None).cast("long").alias("github_issue_id"), F.lit(None).cast("long").alias("github_comment_id"))
+    number = F.col("source_id").cast("long") * 1_000_000 + F.col("parent_index") * 1000 + F.col("child_index")
+    children = corpus.parent_child_chunks(records).where("level = 'child'").select("chunk_id", number.alias("ordinal"), "parent_id", "text")
+    return ad.questions(spark, sf_dir), {"naive_fixed": durable(ad.chunks(spark, sf_dir), "naive"), "parent_child": durable(children, "children")}
+
+
 @query()
 def variant_ladder(spark, sf_dir):
-    """All five variants over the questions; children of the parent/child variants are windows of 400 words of their document."""
-    asked, known = ad.questions(spark, sf_dir), ad.chunks(spark, sf_dir)
-    truth, out = durable(ad.truth(spark, sf_dir, known), "truth"), None
+    """All five variants over the questions, each over the chunks that its configuration names."""
+    asked, known = _ladder(spark, sf_dir)
+    truth, out = {k: durable(ad.truth(spark, sf_dir, v), "truth") for k, v in known.items()}, None
     for n, config in enumerate(retrieval.LADDER):
         found = retrieval.run_variant(config, asked, known)
-        m = retrieval.retrieval_metrics(retrieval.hits(found, truth, asked)).withColumns({"position": F.lit(n), "name": F.lit(config["name"])})
+        m = retrieval.retrieval_metrics(retrieval.hits(found, truth[config["chunking"]], asked)).withColumns({"position": F.lit(n), "name": F.lit(config["name"])})
         out = m if out is None else out.unionByName(m)
     return out.select("position", "name", "hit_at_5", "mrr_at_10", "num_examples")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, mode: str = "strict"
     return reader.schema(f"{schema}, _corrupt_record string" if mode == "report" else schema).json(path)
 
 
+def read_object(spark: SparkSession, path: str) -> dict[str, Any]:
+    """A file of one JSON object, through Spark's reader; anything else is an error. It is meant for control data."""
+    found = spark.read.text(path, wholetext=True).collect()
+    value = json.loads(found[0][0]) if len(found) == 1 else None
+    if not isinstance(value, dict):
+        raise ValueError(f"{path} must hold one JSON object")
+    return value
+
+
+def write_report(spark: SparkSession, report: dict[str, Any], path: str) -> None:
+    """A small report as indented JSON in one file of a folder, keys in order of name."""
+    spark.createDataFrame([(json.dumps(report, indent=2, sort_keys=True, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def with_ordinal(df: DataFrame, name: str = "ordinal") -> DataFrame:
     """Numbers rows in the order of their files and lines; gaps between tasks."""
     return df.withColumn(name, F.monotonically_increasing_id())
