@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threadmill.llm import decontaminate, htmltext, langid, linededup, packing, search, secretscan, sharding, simhash, urlfilter
+from threadmill.llm import decontaminate, htmltext, impacts, infill, langid, linededup, packing, quality, search, secretscan, sharding, simhash, urlfilter
 
 
 def _read(spark, sf_dir, table):
@@ -59,8 +59,26 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_impact_search(spark, sf_dir):
+    """The 20 best documents of all for each benchmark item."""
+    return impacts.search(_read(spark, sf_dir, "benchmark"), impacts.index(_read(spark, sf_dir, "documents")), 20)
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    out = infill.fill_in_middle(_read(spark, sf_dir, "documents"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    """Languages are the strata, the quality of labels the holdout."""
+    out = quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("lang"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "severity", "chosen", "failed_rules")
+
+
 def queries():
-    found = {f.__name__: f for f in (op1_packing, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_html_extraction, op7_url_filter, op8_line_dedup, op9_bm25_search, op10_sharding)}
+    found = (op1_packing, op2_secret_scan, op3_simhash_near_dedup, op4_decontamination, op5_language_id, op6_html_extraction, op7_url_filter, op8_line_dedup, op9_bm25_search, op10_sharding)
+    found = {f.__name__: f for f in (*found, op11_impact_search, op12_fill_in_middle, op13_quality_rules)}
     return found | {"pipeline": corpus_pipeline.run}
 
 
@@ -96,6 +114,61 @@ select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law,
 from rows join shards using (key)"""
 
 
+_TERMS = f"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{impacts.TERM}')"
+OP11_SQL = f"""
+with sizes as (select doc_id, {_TERMS} as terms from documents),
+docs as (select doc_id, len(terms) as n from sizes where len(terms) > 0),
+total as (select count(*) as n_docs, sum(n)::bigint as n_words from docs),
+postings as (select doc_id, term, count(*) as tf from (select doc_id, unnest(terms) as term from sizes) group by doc_id, term),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from postings, total group by term, n_docs),
+asked as (select item_id, term, count(*) as qtf from (select item_id, unnest({_TERMS}) as term from benchmark) group by item_id, term),
+found as (select item_id, doc_id, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words))))::bigint as score
+    from asked join weights using (term) join postings using (term) join docs using (doc_id), total group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from found where score > 0
+qualify rank <= 20"""
+
+
+OP12_SQL = """
+with cut as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as ts, sha256('1:' || coalesce(doc_id::varchar, '')) as d from documents),
+draw as (select *, len(ts) as n, [('0x' || d[8 * k + 1 : 8 * k + 8])::bigint for k in range(4)] as h from cut),
+part as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) as p, greatest(h[1] % (n + 1), h[2] % (n + 1)) as q,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain' when h[4] % 100 < 20 then 'spm' else 'psm' end as form from draw),
+text3 as (select *, array_to_string(ts[1:p], '') as a, array_to_string(ts[p + 1 : q], '') as b, array_to_string(ts[q + 1 :], '') as c from part)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(a) end as prefix_chars, case when form <> 'plain' then length(b) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || a || '<S>' || c || '<M>' || b else '<S>' || c || '<P>' || a || '<M>' || b end) as output_sha256, sha256(t) as restored_sha256
+from text3"""
+
+
+OP13_SQL = rf"""
+with base as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t from documents),
+split as (select *, regexp_extract_all(t, '[^ 	-
+]+') as ws from base),
+windows as (select doc_id, unnest([array_to_string(ws[i : i + 4], ' ') for i in range(1, greatest(len(ws) - 3, 1))]) as g, unnest(range(1, greatest(len(ws) - 3, 1))) as i from split),
+twice as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+repeats as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from twice) group by doc_id),
+lines as (select doc_id, count(*) as n, count(*) - count(distinct line) as copies from (select doc_id, unnest(string_split(t, chr(10))) as line from base) where regexp_matches(line, '[^ 	-
+]') group by doc_id),
+counts as (select doc_id, stratum, t, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, coalesce(l.copies, 0) as n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words, coalesce(l.n, 0) as n_lines, len(regexp_extract_all(t, '[!-/:-@\[-`{{-~]')) as n_marks, len(regexp_extract_all(t, '[A-Z]')) as n_capitals
+    from split left join lines l using (doc_id) left join repeats r using (doc_id)),
+judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+    [1000 * n_symbols // greatest(word_chars, 1), 1000 * n_marks // greatest(word_chars, 1), 1000 * n_capitals // greatest(word_chars, 1), 1000 * n_dup_lines // greatest(n_lines, 1), 1000 * n_repeat_words // greatest(n_words, 1), least(1000, 20 * word_chars // greatest(n_words, 1))] as levels from counts),
+each as (select doc_id, stratum, t, base_failed, unnest(levels) as level, unnest({list(quality.RULES)}) as rule, unnest(range(6)) as r from judged),
+marks as (select doc_id, max(quality) = 1 as good from labels group by doc_id),
+scale as (select stratum, r, level, count(*) as n from each anti join marks using (doc_id) where not base_failed group by stratum, r, level),
+above as (select stratum, r, level, sum(n) over (partition by stratum, r order by level desc) - n as above, sum(n) over (partition by stratum, r) as total from scale),
+cuts as (select stratum, r, k, min(level) as cut from above, (select unnest({list(quality.TAILS)}) as tail, unnest(range(1, {len(quality.TAILS) + 1})) as k) where above * 100000 <= total * tail group by stratum, r, k),
+grade as (select doc_id, stratum, t, base_failed, coalesce(min(k) filter (level > cut), {len(quality.TAILS) + 1}) as sev from each left join cuts using (stratum, r) group by doc_id, stratum, t, base_failed),
+held as (select stratum, t, max(good) as good, min(sev) as sev from grade join marks using (doc_id) where not base_failed and stratum in (select stratum from cuts) group by stratum, t),
+tails as (select stratum, k, count(*) filter (good) as n, count(*) filter (good and sev <= k) as x, count(*) filter (not good and sev <= k) as bad from held, range(1, {len(quality.TAILS) + 1}) as ks(k) group by stratum, k),
+tested as (select *, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK})) for i in range(x + 1)]) <= {quality.LEVEL} / (select count(distinct stratum) from cuts) as safe from tails where n > 0),
+chosen as (select stratum, arg_max(k, (bad - x) * 1000 - k) as chosen from (select *, bool_and(safe) over (partition by stratum order by k) as upto from tested) where upto and bad > x group by stratum),
+failed as (select doc_id, string_agg(rule, ',' order by each.r) as rules from each join chosen using (stratum) join cuts on cuts.stratum = each.stratum and cuts.r = each.r and cuts.k = chosen where level > cut group by doc_id)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, j.base_failed,
+    not j.base_failed and g.sev > coalesce(chosen, 0) as kept, j.stratum, g.sev::int as severity, coalesce(chosen, 0)::int as chosen, coalesce(rules, '') as failed_rules
+from judged j join grade g using (doc_id) left join chosen c on c.stratum = j.stratum left join failed using (doc_id)"""
+
+
 def oracle_sql():
-    found = {"op8_line_dedup": OP8_SQL, "op10_sharding": OP10_SQL}
+    found = {"op8_line_dedup": OP8_SQL, "op10_sharding": OP10_SQL, "op11_impact_search": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_quality_rules": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
