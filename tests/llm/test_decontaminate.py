@@ -80,6 +80,31 @@ def test_a_common_leak_keeps_its_seeds(table):
     assert {r["doc_id"] for r in dc.leaks(table(docs), table([(1, item)], "item_id long, text string")).collect()} == set(range(300))
 
 
+@pytest.mark.parametrize("partial", [150, 1000])
+def test_one_full_copy_hides_no_partial_ones(table, partial):
+    """A whole copy has n-grams that no other document has, and all the others only such as are far more frequent."""
+    words = [f"word{i}" for i in range(30)]
+    docs = [(0, " ".join(words))] + [(1 + i, f"start{i} {' '.join(words[:25])} end{i}") for i in range(partial)] + [(5000 + i, f"a stock {' '.join(words[3:7])} phrase {i}") for i in range(200)]
+    found = {r["doc_id"]: r["score"] for r in dc.leaks(table(docs), table([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert set(found) == set(range(partial + 1))
+    assert found[0] == 1 and found[1] == pytest.approx(25 / 30)
+
+
+def test_unequal_copies_by_the_hundred_equal_brute_force(table, monkeypatch):
+    monkeypatch.setattr(dc, "COMMON", 1)
+    rng = random.Random(9)
+    items = [(k, " ".join(f"i{k}w{rng.randrange(25)}" for _ in range(rng.randrange(12, 30)))) for k in range(3)]
+    docs = []
+    for i in range(150):
+        w = edited(items[i % 3][1], rng, rng.choice([0, 0.04, 0.1])).split()
+        cut = rng.randrange(len(w) // 2)
+        docs.append((i, " ".join(["before"] * 3 + w[cut : cut + rng.randrange(6, len(w) + 1)] + ["after"] * 3)))
+    found = {(r["doc_id"], r["item_id"]) for r in dc.leaks(table(docs), table(items, "item_id long, text string")).collect()}
+    grams = lambda t: {tuple(t[k : k + dc.GRAM]) for k in range(len(t) - dc.GRAM + 1)}
+    seeded = {(i, k) for i, t in docs for k, x in items if grams(dc.words(t)) & grams(dc.words(x))}
+    assert found == set(plain(docs, items)) & seeded
+
+
 def test_edge_cases(table):
     item = "one two three four five six"
     rows = [(1, None), (2, ""), (None, item), (3, item), (3, item), (4, "x " * 50_000 + item)]

@@ -1,8 +1,9 @@
 """Finds benchmark items in training documents: rare n-gram seeds, then Smith-Waterman alignment.
 
-The word n-grams of the items are looked up in every document, which gives places only. An n-gram seeds its item when it is rare in the corpus: in at most
-``COMMON`` times as many documents as the item's rarest n-gram that occurs at all (so an item that was copied
-into a third of the corpus keeps its seeds, and a stock phrase seeds nothing). Documents with a seed are read once
+The word n-grams of the items are looked up in every document, which gives places only. A rare n-gram seeds its item: one in at most
+``COMMON`` times as many documents as the item's rarest n-gram that occurs at all. A common one seeds it too where the words around it
+are so many of the item's that an alignment can still reach the score; so a stock phrase by itself seeds nothing, and
+no leak is lost however often it was copied and however few documents hold another part of the item. Documents with a seed are read once
 more: around its hits a window as wide as the item on either side is aligned with the item word by word. The score is
 the alignment's share of the item's own, so it reaches 1 for a verbatim copy and falls by one and a half words' worth
 for each word exchanged. A copy counts when it has a share of ``SCORE``, or is as long in itself as ``PASSAGE`` words.
@@ -68,6 +69,11 @@ def share(item: list[bytes], window: list[bytes], least: float = 0.0) -> tuple[f
     return score / (MATCH * len(item)), end - back, end
 
 
+def needed(least: float, size: int) -> float:
+    """The share that counts of an item of so many words."""
+    return min(least, PASSAGE / size)
+
+
 class Items:
     """A block of items with their n-grams (the whole item where it is shorter), as integers of its own vocabulary."""
 
@@ -82,6 +88,7 @@ class Items:
             for at in range(len(x) - n + 1 if n else 0):
                 self.by_size[n][tuple(codes[at : at + n])].append((k, at))
         self.by_size = {n: dict(g) for n, g in self.by_size.items()}
+        self.counts = [np.unique([self.vocabulary[w] for w in x], return_counts=True) for x in self.words]
         self.marks = {n: np.zeros(1 << 20, bool) for n in self.by_size}  # hashes that occur, for a first look
         for n, grams in self.by_size.items():
             self.marks[n][self._hash(np.array(list(grams)).T)] = True
@@ -94,6 +101,12 @@ class Items:
             h ^= h >> np.uint64(29)
         return (h >> np.uint64(44)).astype(np.int64)
 
+    def common(self, item: int, codes: np.ndarray) -> int:
+        """How many of the item's words a stretch of text holds, in any order; no alignment matches more."""
+        own, many = self.counts[item]
+        at = np.minimum(np.searchsorted(own, codes), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == codes], minlength=len(own)), many).sum())
+
     def hits(self, codes: np.ndarray) -> list[tuple[int, int, int, tuple]]:
         """(item, place in the item, place in the text, n-gram) of the n-grams of the items that a text has; codes: -1 for other words."""
         found = []
@@ -121,8 +134,8 @@ def _items(key: str, sent) -> Items:
     return _built[key]
 
 
-def _stretches(text: str | None, items: Items):
-    """(item, seeds, first, end) of the stretches of a text's words that may hold an item, one for each run of hits."""
+def _stretches(text: str | None, items: Items, least: float):
+    """(item, seeds, first, end, whether its words can reach least) of the stretches of a text's words that may hold an item, one for each run of hits."""
     if not text:
         return
     tokens = words(text)
@@ -136,7 +149,8 @@ def _stretches(text: str | None, items: Items):
         start = 0
         for k in range(1, len(hits) + 1):  # hits of one stretch are at most an item apart
             if k == len(hits) or hits[k][1] - hits[k - 1][1] > size:
-                yield item, sorted({h[2] for h in hits[start:k]}), max(0, hits[start][1] - size), hits[k - 1][1] + 2 * size
+                lo, hi = max(0, hits[start][1] - size), hits[k - 1][1] + 2 * size
+                yield item, sorted({h[2] for h in hits[start:k]}), lo, hi, items.common(item, codes[lo:hi]) >= needed(least, size) * size
                 start = k
 
 
@@ -166,16 +180,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, id_col: s
 
         def look(batch, sent=sent, key=key):
             items = _items(key, sent)
-            found = [(rid, item, [" ".join(map(str, g)) for g in grams], lo, hi) for rid, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True) for item, grams, lo, hi in _stretches(text, items)]
-            columns = list(zip(*found, strict=True)) if found else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "item", "seeds", "lo", "hi"])
+            found = [(rid, item, [" ".join(map(str, g)) for g in grams], *rest) for rid, text in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True) for item, grams, *rest in _stretches(text, items, least)]
+            columns = list(zip(*found, strict=True)) if found else [()] * 6
+            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["rid", "item", "seeds", "lo", "hi", "possible"])
 
-        hits = durable(arrow_map(named.select("rid", "text"), "rid long, item long, seeds array<string>, lo long, hi long", look), "hits")
+        hits = durable(arrow_map(named.select("rid", "text"), "rid long, item long, seeds array<string>, lo long, hi long, possible boolean", look), "hits")
         seeds = hits.select("rid", "item", F.explode("seeds").alias("seed")).distinct().groupBy("item", "seed").count()
         rarest = seeds.groupBy("item").agg(F.min("count").alias("least"))
         rare = seeds.join(rarest, "item").where(F.col("count") <= F.col("least") * COMMON).groupBy("item").agg(F.collect_set("seed").alias("rare"))
-        seeded = hits.join(F.broadcast(rare), "item").where(F.arrays_overlap("seeds", "rare"))  # no more than the block's own n-grams
+        seeded = hits.join(F.broadcast(rare), "item").where(F.col("possible") | F.arrays_overlap("seeds", "rare"))  # no more than the block's own n-grams
         seeded = durable(seeded.groupBy("rid").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("places")), "seeded")
 
         def judge(batch, sent=sent, key=key):
@@ -186,7 +200,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE, id_col: s
                 for place in places:
                     item, lo = place["item"], place["lo"]
                     size = len(items.words[item])
-                    need = min(least, PASSAGE / size)
+                    need = needed(least, size)
                     score, first, end = share(items.words[item], tokens[lo : place["hi"]], need)
                     if score >= need:
                         found.append((rid, name, items.ids[item], score, lo + first, lo + end, size))
