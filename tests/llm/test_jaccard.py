@@ -76,6 +76,18 @@ def test_recall_of_candidates(table, words, edits, least):
     assert found >= least * asked, (found, asked)
 
 
+@pytest.mark.parametrize("words", [8, 9, 10, 12, 16, 24, 36])
+def test_no_pair_of_short_texts_is_lost(table, words):
+    """400 texts with one word more each: a similarity of 0.8 and more, found without exception."""
+    texts = []
+    for k in range(400):
+        base = [f"w{k}x{i}" for i in range(words)]
+        texts += [" ".join(base), " ".join([*base, "more"])]
+    roots = {r["id"]: r["root"] for r in simhash.similar_texts(table(list(enumerate(texts)))).collect()}
+    assert all(roots[2 * k] == roots[2 * k + 1] for k in range(400))
+    assert len(set(roots.values())) == 400
+
+
 def test_similar_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(300):

@@ -43,4 +43,4 @@ def test_stages_keep_columns_and_take_any_rows(spark, table):
 
 def test_every_query_is_there():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in names} == {*(f"op{k}" for k in range(1, 14)), "pipeline"}

@@ -11,7 +11,8 @@ their pairs. ``graph.components`` joins the edges up.
 Two sets of keys are in use. ``agreeing`` loses nothing: words that differ in at most ``budget`` bits agree wholly in some
 of their blocks, and as the table grows more blocks are put in front, so that tries stay small. ``windows`` is for
 similarity of texts (``dedup``), where fingerprints of similar texts differ in many bits: short stretches of a long fingerprint,
-of which a similar pair most likely agrees in one but for the budget. What it finds is decided by the shingles themselves.
+of which a similar pair most likely agrees in one but for the budget. Sets of few shingles have rough fingerprints, so similar ones
+among them meet by their lowest shingles as well, of which they share one at least. What is found is decided by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ HELD, TILE, USUAL = 100_000, 4096, 1024
 #: Of ``dedup``: words of a fingerprint, bits of a key and of them those that must agree, the budget for the others, bits
 #: from one key to the next, and how many of the first 128 bits may differ. Pairs of similarity 0.8 are found in 98 of 100 cases.
 WORDS, KEY, AGREE, BUDGET, STEP, APART = 8, 32, 10, 4, 18, 30
+#: Sets of up to so many shingles meet by their lowest shingles too.
+FEW = 32
 
 
 def majority(hashes: np.ndarray, words: int = 1) -> list[int]:
@@ -258,11 +261,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return rows.join(units.join(least, "root").select("w0", "root", "component_id"), "w0").select("rid", "id", "w0", "root", "component_id")
 
 
+def lowest(found: np.ndarray, percent: int) -> list[int]:
+    """The lowest shingles of a sorted set, so many that any set of this similarity shares one of its own lowest: all but the shared ones, and one. Large sets: none."""
+    n = len(found)
+    return found[: n + n * percent // -100 + 1].view(np.int64).tolist() if n <= FEW else []
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(rid, id, root) per row of docs: rows of one root are connected by pairs of texts of similarity percent / 100 or more.
 
-    Similarity is that of the sets of shingles (Jaccard). Tries over ``windows`` of the sets' fingerprints find the candidates, the
-    sets decide. rid numbers the rows of docs, which must be a table scan or another plan with fixed partitions. Null and
+    Similarity is that of the sets of shingles (Jaccard). Tries over ``windows`` of the sets' fingerprints find the candidates, and of
+    sets of few shingles a common one among their ``lowest``; the sets decide. rid numbers the rows of docs, which must be a table scan or another plan with fixed partitions. Null and
     blank texts are equal to each other and like no other text; equal sets are one unit from the start.
     """
     texts = rename(with_row_id(docs, free_name(docs, "rid")), rid=free_name(docs, "rid"), id=id_col, text=text_col)
@@ -272,11 +281,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         sets = [jaccard.shingles(t, shingle) for t in text_bytes(batch.column(2))]
         prints = np.array([majority(x, WORDS) for x in sets], np.uint64).reshape(-1, WORDS)
         nodes = pa.array([jaccard.node(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS))], ["rid", "id", "uid", *words])
-
-    rows = durable(arrow_map(texts, "rid long, id long, uid long, " + ", ".join(f"{w} long" for w in words), named), "fingerprints")
-    units = durable(rows.groupBy("uid").agg(F.min("rid").alias("rid"), *(F.first(w).alias(w) for w in words)), "units")
-    edges = durable(links(units, windows(), BUDGET, ("w0", "w1"), APART).distinct(), "candidates")
+        heads = pa.array([lowest(x, percent) for x in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS)), heads], ["rid", "id", "uid", *words, "heads"])
+
+    rows = durable(arrow_map(texts, "rid long, id long, uid long, " + ", ".join(f"{w} long" for w in words) + ", heads array<bigint>", named), "fingerprints")
+    units = durable(rows.groupBy("uid").agg(F.min("rid").alias("rid"), *(F.first(w).alias(w) for w in [*words, "heads"])), "units")
+    heads = units.select("uid", F.explode("heads").alias("head"))
+    stars = heads.join(heads.groupBy("head").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "head")
+    near = links(units, windows(), BUDGET, ("w0", "w1"), APART).union(stars.where("uid <> centre").select("uid", "centre"))
+    edges = durable(near.distinct(), "candidates")
     roots = jaccard.verified(edges, units.select("uid", "rid"), texts.select("rid", "text"), shingle, percent)
     return rows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("rid", "id", F.coalesce("root", "uid").alias("root"))
 
