@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
+from threadmill.operators import greedy
 
 MIN_COMMENT_CHARS = 20
 #: Tokens of a child chunk and of the overlap of neighbours, words of a fixed-size chunk.
@@ -340,22 +341,11 @@ ANSWER_CHARS, QUOTE_CHARS, LEAST_ANSWER = 1200, 160, 80
 def distinct_units(units: DataFrame, first_key: str, second_key: str, most: int, order: str = "chunk_id") -> DataFrame:
     """The first ``most`` units in order whose keys are both new among the units that were kept before.
 
-    What is kept depends on what was kept, so it is one scan in order. It runs on one row of each pair of keys, and in rounds
-    over a bounded look-ahead, so that the driver never holds more than ``most`` squared keys at once.
+    Whole rows are kept, with unit_no from 0. What is kept depends on what was kept: see ``greedy.distinct_pairs``.
     """
-    pairs = units.groupBy(F.col(first_key).alias("a"), F.col(second_key).alias("b")).agg(F.min(order).alias("at"))
-    kept: list[tuple] = []
-    while len(kept) < most:
-        a, b = [k[0] for k in kept], [k[1] for k in kept]
-        new = lambda c, seen: (~F.coalesce(F.col(c).isin([x for x in seen if x is not None]), F.lit(False)) if any(x is not None for x in seen) else F.lit(True)) & (F.col(c).isNotNull() if None in seen else F.lit(True))
-        ahead = pairs.where(new("a", a) & new("b", b)).orderBy("at").limit(most * most).collect()
-        if not ahead:
-            break
-        for r in ahead:
-            if len(kept) < most and r["a"] not in {k[0] for k in kept} and r["b"] not in {k[1] for k in kept}:
-                kept.append((r["a"], r["b"], r["at"]))
-    chosen = units.sparkSession.createDataFrame([(k[2],) for k in kept], f"{order} string")
-    return units.join(F.broadcast(chosen), order, "left_semi").withColumn("unit_no", F.row_number().over(Window.orderBy(order)) - 1)
+    kept = greedy.distinct_pairs(units, first_key, second_key, order)
+    chosen = greedy.numbered(kept.select(F.col("at").alias(order)), order, "unit_no", most)
+    return units.join(chosen, order)
 
 
 def section_units(chunks: DataFrame) -> DataFrame:

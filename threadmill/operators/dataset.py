@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadmill.functions import text as tx
+from threadmill.operators import ranks
 from threadmill.sources.tables import read_object
 
 # The order of labels in reports and in carve-outs, and the source label of each.
@@ -253,14 +254,15 @@ def overlaps(named: dict[str, DataFrame], key: str = "issue_id") -> DataFrame:
 def temporal_test(rows: DataFrame, at: str = "created_at", ordinal: str = "ordinal", label: str = "label", share: float = TEST_SHARE) -> DataFrame:
     """rows with is_test: per label the newest share, from the time of row n - round(share n) on, so that equal times stay together.
 
-    The cut is found on counts per (label, time), so a label is never sorted row by row in one task.
+    The cut is the time at a rank, found by ``ranks.value_at``, so a label is never sorted, and no task gets all of its times.
     """
-    times = rows.groupBy(label, at).agg(F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy(label).orderBy(F.desc(at))
-    ranked = times.withColumns({"newer": F.sum("c").over(run), "n": F.sum("c").over(Window.partitionBy(label))})
+    named = rows.select(F.col(label).alias("label"), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where("label is not null")
+    sizes = named.where("us is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     target = F.greatest(F.lit(1).cast("long"), F.bround(F.col("n") * share).cast("long"))
-    cuts = ranked.where(F.col("newer") >= target).groupBy(label).agg(F.max(at).alias("cutoff"))
-    return rows.join(F.broadcast(cuts), label).withColumn("is_test", F.col(at) >= F.col("cutoff"))
+    cuts = ranks.value_at(named, sizes.select("label", (F.col("n") - target).alias("rank")), ["label"], "us").select(F.col("label").alias("__label"), F.col("us").alias("__cut"))
+    small = F.broadcast(cuts) if cuts.count() <= ranks.BROADCAST_GROUPS else cuts
+    joined = rows.join(small, F.col(label) == F.col("__label")).withColumn("is_test", F.unix_micros(F.col(at).cast("timestamp")) >= F.col("__cut"))
+    return joined.drop("__label", "__cut")
 
 
 def train_validation(rows: DataFrame, seed: int = 42, key: str = "issue_id", label: str = "label", share: float = VALIDATION_SHARE) -> DataFrame:

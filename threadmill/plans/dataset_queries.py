@@ -120,9 +120,27 @@ def temporal_bounds(spark, sf_dir):
     return out.select("label", "is_test", us("first_at").alias("first_us"), us("last_at").alias("last_us"), "n")
 
 
-@query(f"with {_TEMPORAL} select label from split group by label having max(created_at) filter (where not is_test) >= min(created_at) filter (where is_test)")
+@query(f"""with {_TEMPORAL}, planted as (select label, created_at, is_test <> (event_id % 997 = 5 and label in ('click', 'error')) as is_test from split)
+    select label, epoch_us(max(created_at) filter (where not is_test)) as last_train_us, epoch_us(min(created_at) filter (where is_test)) as first_test_us from planted group by label having last_train_us >= first_test_us""")
 def temporal_violations(spark, sf_dir):
-    return dataset.boundary_violations(_split_events(spark, sf_dir)).select("label")
+    """Some rows of two labels are on the wrong side of the cut."""
+    wrong = (F.col("event_id") % 997 == 5) & F.col("label").isin("click", "error")
+    found = dataset.boundary_violations(_split_events(spark, sf_dir).withColumn("is_test", F.col("is_test") != wrong))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return found.select("label", us("last_train").alias("last_train_us"), us("first_test").alias("first_test_us"))
+
+
+@query(f"""with recursive edges as (select a, b, min(doc_id) as pos from (select doc_id, w[1] as a, w[2] as b from (select doc_id, {words_sql('text')} as w from documents)) group by a, b),
+    ordered as materialized (select a, b, pos, row_number() over (order by pos) as i from edges),
+    walk as (select 0::bigint as i, []::varchar[] as seen_a, []::varchar[] as seen_b, null::bigint as pos
+        union all select o.i, case when fresh then list_append(seen_a, coalesce(a, '')) else seen_a end, case when fresh then list_append(seen_b, coalesce(b, '')) else seen_b end, case when fresh then o.pos end
+        from (select w.seen_a, w.seen_b, o.*, not list_contains(seen_a, coalesce(a, '')) and not list_contains(seen_b, coalesce(b, '')) as fresh from walk w join ordered o on o.i = w.i + 1) o)
+    select pos as doc_id, (row_number() over (order by pos) - 1)::int as unit_no from walk where pos is not null""")
+def greedy_distinct(spark, sf_dir):
+    """Documents in order, each kept if both its first and its second word are new among the documents kept before."""
+    w = documents(spark, sf_dir).withColumn("w", tx.words("text"))
+    units = w.select("doc_id", F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b"))
+    return corpus.distinct_units(units, "a", "b", 100_000, "doc_id").select("doc_id", "unit_no")
 
 
 @query(f"""with {_TEMPORAL}, m as (select label, count(*) as m from split where not is_test group by label), v as (select label, m, case when m > 1 then greatest(1, least(m - 1, round_even(0.25 * m, 0)::bigint)) else 0 end as val from m)

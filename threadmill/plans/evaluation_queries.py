@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
-from threadmill.operators import dataset, evaluation, models
+from threadmill.operators import dataset, evaluation, models, runs
 from threadmill.plans.adapters import documents, read
 from threadmill.plans.text_queries import _QUALITY
+from threadmill.sources.scratch import scratch
 
 QUERIES, SQL = {}, {}
 
@@ -161,3 +165,52 @@ def tfidf_logreg(spark, sf_dir):
     model = models.train(rows.where("doc_id % 5 <> 0"), vocabulary=5000, rounds=20)
     judged = model.predict(rows.where("doc_id % 5 = 0"))
     return evaluation.per_class(evaluation.confusion(judged, ("bad", "good"), "label", "predicted"))
+
+
+_PROMPT = "Is the text good or bad?\n\n"
+
+
+def _stand_in():
+    """A classifier that needs no service: the number of characters decides what it says and how it fails. A passing error comes at every other call for a text."""
+    waiting = set()
+
+    def classify(prompt):
+        n = len(prompt) - len(_PROMPT)
+        if n % 13 == 0:
+            raise ValueError("refused")
+        if n % 11 == 0 and prompt not in waiting:
+            waiting.add(prompt)
+            raise runs.PassingCallError("busy")
+        waiting.discard(prompt)
+        return "no idea" if n % 17 == 0 else json.dumps({"label": "good" if n % 2 else "bad", "confidence": 0.5, "reason": "its size"}), n // 4, 12
+
+    return classify
+
+
+def _run(spark, sf_dir):
+    """The labelled documents, and the store of a run over half of them that was then resumed over all."""
+    d = documents(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("issue_id"), "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
+    store, prompt = f"{scratch(spark)}/run-{uuid.uuid4().hex}", F.concat(F.lit(_PROMPT), F.coalesce("text", F.lit("")))
+    for part in (d.where("issue_id % 2 = 0"), d):
+        runs.run(part, store, _stand_in(), prompt, "stand-in", _PROMPT, labels=PAIR)
+    return d, store
+
+
+_RUN = """asked as (select doc_id, case when quality = 1 then 'good' else 'bad' end as true_label, length(coalesce(text, '')) as n from documents join labels using (doc_id)),
+answers as (select doc_id, true_label, n, case when n % 13 = 0 then 'refused' when n % 17 = 0 then 'the answer holds no prediction' end as error, case when n % 13 <> 0 then n // 4 end as input_tokens, case when n % 13 <> 0 then 12 end as output_tokens,
+    case when n % 13 <> 0 and n % 17 <> 0 then case when n % 2 = 1 then 'good' else 'bad' end end as predicted_label, case when n % 13 <> 0 and n % 11 = 0 then 2 else 1 end as tries from asked)"""
+
+
+@query(f"with {_RUN} select doc_id as issue_id, true_label, predicted_label, error, tries::int as tries, input_tokens::bigint as input_tokens, case when doc_id % 2 = 0 and error is null then 0 else 1 end::int as attempt from answers")
+def classifier_run(spark, sf_dir):
+    """The last row of each document: those that failed at first were asked again, those that were answered were not."""
+    d, store = _run(spark, sf_dir)
+    return runs.results(d, store, labels=PAIR).select("issue_id", "true_label", "predicted_label", "error", "tries", "input_tokens", "attempt")
+
+
+@query(f"""with {_RUN}, ok as (select * from answers where error is null), f as (select l as label, count_if(true_label = l and predicted_label = l) as r, count_if(true_label = l) + count_if(predicted_label = l) as m from ok, (values ('bad'), ('good'), ('other')) t(l) group by l)
+    select count(*) as attempted, count_if(error is null)::bigint as successful, count_if(error is not null)::bigint as failed, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens,
+        (select avg((true_label = predicted_label)::int) from ok) as accuracy, (select avg(case when m > 0 then 2.0 * r / m else 0 end) from f) as macro_f1 from answers""")
+def classifier_run_metrics(spark, sf_dir):
+    d, store = _run(spark, sf_dir)
+    return runs.metrics(d, store, labels=PAIR).select("attempted", "successful", "failed", "input_tokens", "output_tokens", "accuracy", "macro_f1")
