@@ -44,7 +44,7 @@ def test_the_model_tells_unseen_hosts(spark):
         model = urlfilter.fit(labelled.where(~public | (part != k)))
         found += urlfilter.score(labelled.where(public & (part == k)), model).select("label", "score").collect()
     blocked = [sum(r["label"] == y and r["score"] >= urlfilter.BLOCKED for r in found) / sum(r["label"] == y for r in found) for y in (0, 1)]
-    assert blocked[0] <= 0.1 and blocked[1] >= 0.55, blocked
+    assert blocked[0] <= 0.1 and blocked[1] >= 0.6, blocked
     hosts = {"arxiv.org": "allow", "stackoverflow.com": "allow", "adobe.com": "allow", "trackandfield.org": "allow", "www.bbc.co.uk": "allow", "essex.gov.uk": "allow", "free-bets.example.com": "block", "casino-win.example.com": "block", "pokerworld.net": "block"}
     rows = [(i, f"http://{h}/en/{i}") for i, h in enumerate(hosts)]
     plain_rules = [(d, s, v) for d, s, v in urlfilter.RULES if d == "none"]
