@@ -83,8 +83,14 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null texts have no terms. Rows with a null id are part of the statistics and are never found; repeated rows have each their place.
     """
     rows = rename(docs, id=id_col, text=text_col)
-    found = rows.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("n").alias("docs"), F.sum("n").alias("words")).first()
-    total, words_ = found["docs"], found["words"] or 1
+
+    def count(batches):
+        for batch in batches:
+            sizes = [len(words(t)) for part in slices(batch) for t in text_bytes(part.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["docs", "words"])
+
+    found = rows.select("text").mapInArrow(count, "docs long, words long").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
+    total, words_ = found["docs"] or 0, found["words"] or 1
 
     def work(batches):
         held, size, turn = [], 0, 0
@@ -222,8 +228,9 @@ def _searched(shards: DataFrame, sent, least, k: int) -> DataFrame:
                     best[q] = ids[order], scores[order]
                     if len(order) == k:
                         reach[q] = max(reach[q], int(scores[order[-1]]))
-        for q, (ids, scores) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q)), pa.array(ids), pa.array(scores)], ["query", "doc_id", "score"])
+        if best:
+            query = np.repeat(np.fromiter(best, np.int64, len(best)), [len(ids) for ids, _ in best.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(query), *(pa.array(np.concatenate([b[k] for b in best.values()])) for k in (0, 1))], ["query", "doc_id", "score"])
 
     return shards.mapInArrow(work, "query long, doc_id long, score long")
 
