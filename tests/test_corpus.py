@@ -3,14 +3,32 @@ import random
 
 import pytest
 
+from tests import plain_chunks as plain
 from threadmill.operators import corpus as c
+from threadmill.operators import segments
 
 
-def test_blocks_and_sections():
+def split_blocks(spark, text):
+    out = segments.blocks(spark.createDataFrame([(1, 0, text)], "rid long, p int, body string")).collect()
+    return [r["text"] for r in sorted(out, key=lambda r: r["block"])]
+
+
+def split_sections(spark, text):
+    out = segments.sections(spark.createDataFrame([(1, text)], "rid long, text string")).collect()
+    return [(r["section_path"], r["body"]) for r in sorted(out, key=lambda r: r["p"])]
+
+
+def pack(spark, segments_, most, overlap, joiner):
+    rows = [(1, 0, k, s) for k, s in enumerate(segments_)]
+    out = segments.packed(spark.createDataFrame(rows, "rid long, p int, block long, text string"), most, overlap, joiner).collect()
+    return [r["text"] for r in sorted(out, key=lambda r: r["c"])]
+
+
+def test_blocks_and_sections(spark):
     text = "intro\n\n```\ncode\n\nmore\n```\ntail\n \nlast\n```\nopen"
-    assert c.split_blocks(text) == ["intro", "```\ncode\n\nmore\n```", "tail", "last", "```\nopen"]
+    assert split_blocks(spark, text) == plain.split_blocks(text) == ["intro", "```\ncode\n\nmore\n```", "tail", "last", "```\nopen"]
     doc = "pre\n# A\na\n## B\nb\n### C\nc\n## D\n\n# E\ne"
-    assert c.split_sections(doc) == [([], "pre"), (["A"], "# A\na"), (["A", "B"], "## B\nb"), (["A", "B", "C"], "### C\nc"), (["A", "D"], "## D"), (["E"], "# E\ne")]
+    assert split_sections(spark, doc) == plain.split_sections(doc) == [([], "pre"), (["A"], "# A\na"), (["A", "B"], "## B\nb"), (["A", "B", "C"], "### C\nc"), (["A", "D"], "## D"), (["E"], "# E\ne")]
 
 
 def plain_pack(segments, most, overlap):
@@ -32,18 +50,44 @@ def plain_pack(segments, most, overlap):
     return [" ".join(x) for x in chunks + [here] if x]
 
 
-@pytest.mark.parametrize("seed", range(20))
-def test_packing(seed):
-    rng = random.Random(seed)
-    segments = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 3, 5, 12, 27]))) for _ in range(15)]
-    segments = [s for s in segments if s]
-    for most, overlap in ((10, 5), (10, 0), (20, 64), (7, 3)):
-        assert c.pack(segments, most, overlap, " ") == plain_pack(segments, most, overlap)
-
-
-def test_middle_segment_is_in_both():
+@pytest.mark.parametrize(("most", "overlap"), [(10, 5), (10, 0), (20, 64), (7, 3)])
+def test_packing(spark, most, overlap):
+    rows, expected = [], {}
+    for seed in range(60):
+        rng = random.Random(seed)
+        found = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.choice([0, 1, 3, 5, 12, 27]))) for _ in range(15)]
+        found = [s for s in found if s]
+        expected[seed] = plain_pack(found, most, overlap)
+        assert expected[seed] == plain.pack(found, most, overlap, " ")
+        rows += [(seed, 0, k, s) for k, s in enumerate(found)]
+    out = segments.packed(spark.createDataFrame(rows, "rid long, p int, block long, text string"), most, overlap, " ").collect()
+    got = {seed: [r["text"] for r in sorted((r for r in out if r["rid"] == seed), key=lambda r: r["c"])] for seed in expected}
+    assert got == expected
+
+
+def thirds(text):
+    """A counter of tokens that is no word count: it counts parts of three letters."""
+    return sum((len(w) + 2) // 3 for w in text.split())
+
+
+@pytest.mark.parametrize(("most", "overlap", "count"), [(500, 64, None), (12, 4, None), (12, 0, None), (9, 20, thirds)])
+def test_chunks_equal_those_of_one_text_after_the_other(spark, most, overlap, count):
+    rng = random.Random(most + overlap)
+    line = lambda: rng.choice(["", "", " ", "```", "``` py", "  ```", "# H", "## Sub head", "### \t third", "#no", "####", "text of a line", "word " * rng.randrange(1, 30), "\u00a0", "ünï cödé"])
+    records = [(rng.choice(["docs", "issue"]), f"s{i}", "\n".join(line() for _ in range(rng.randrange(0, 40))), i, i + 1) for i in range(150)]
+    records += [("docs", "null", None, None, None), ("docs", "empty", "", 1, 1), ("issue", "none", None, 5, 6), ("docs", "twice", "# A\nx", 0, 0), ("docs", "twice", "# A\nx", 0, 0), ("docs", "long", "w " * 5000 + "\n\n" + "# T\n" + "v " * 700, 0, 0)]
+    df = spark.createDataFrame(records, "source_type string, source_id string, text string, github_issue_id long, github_comment_id long").repartition(3)
+    out = c.parent_child_chunks(df, most, overlap, count)
+    assert ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema) == c.CHUNK_SCHEMA
+    expected = [x for kind, source, text, issue, comment in records for x in plain.chunk_record(kind, source, text or "", issue, comment, most, overlap, count or plain.count_tokens)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(expected, key=repr)
+    with pytest.raises(Exception, match="issue record without ids: s"):
+        c.parent_child_chunks(spark.createDataFrame([("issue", "s", "x", None, 1)], df.schema)).collect()
+
+
+def test_middle_segment_is_in_both(spark):
     a, b, d = ("a " * 5).strip(), ("b " * 5).strip(), ("d " * 5).strip()
-    assert c.pack([a, b, d], 10, 5, "\n\n") == [f"{a}\n\n{b}", f"{b}\n\n{d}"]
+    assert pack(spark, [a, b, d], 10, 5, "\n\n") == [f"{a}\n\n{b}", f"{b}\n\n{d}"]
 
 
 RST = """Title
@@ -160,7 +204,7 @@ def test_pieces_by_any_counter(seed):
         if count(" ".join(here)) >= 7:
             expected.append(" ".join(here))
             here = []
-    assert list(c._pieces(" ".join(words), 7, count)) == expected + ([" ".join(here)] if here else [])
+    assert list(segments.pieces(" ".join(words), 7, count)) == expected + ([" ".join(here)] if here else [])
 
 
 @pytest.mark.parametrize(("rst", "plain"), [

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import greedy
+from threadmill.operators import greedy, segments
+from threadmill.sources.scratch import durable
 
 MIN_COMMENT_CHARS = 20
 #: Tokens of a child chunk and of the overlap of neighbours, words of a fixed-size chunk.
@@ -77,7 +77,7 @@ def comment_objects(record_json: str) -> "F.Column":
 
 def chunk_sets(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, words: int = NAIVE_TOKENS, count: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(parents with children, fixed windows) of the same records."""
-    return parent_child_chunks(records, most, overlap, count or count_tokens), naive_chunks(records, words)
+    return parent_child_chunks(records, most, overlap, count), naive_chunks(records, words)
 
 
 def naive_chunks(records: DataFrame, words: int = NAIVE_TOKENS, source: str = "source_id") -> DataFrame:
@@ -87,120 +87,29 @@ def naive_chunks(records: DataFrame, words: int = NAIVE_TOKENS, source: str = "s
     return numbered.select("source_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.array_join(F.slice("w", F.col("chunk_no") * words + 1, words), " ").alias("text"))
 
 
-# Sequential segmentation: each record by itself, from its text, in the workers.
-
-
-def split_blocks(text: str) -> list[str]:
-    """Paragraphs, and fenced code as one block each, fences included."""
-    groups: list[list[str]] = [[]]
-    fenced = False
-    for line in text.split("\n"):
-        fence = line.strip().startswith("```")
-        if fence and not fenced or not fenced and not line.strip():
-            groups.append([])
-        if fenced or line.strip():
-            groups[-1].append(line)
-        if fence:
-            if fenced:
-                groups.append([])
-            fenced = not fenced
-    return [b for b in ("\n".join(g).strip("\n") for g in groups) if b.strip()]
-
-
-def _heading(line: str) -> tuple[int, str] | None:
-    """(level, title) of a heading: number signs and white space before a title."""
-    title = line.lstrip("#")
-    return (len(line) - len(title), title.strip()) if title != line and title[:1].isspace() else None
-
-
-def split_sections(text: str) -> list[tuple[list[str], str]]:
-    """(headings above, body) from each heading line to the next; what precedes the first has no headings."""
-    lines = text.split("\n")
-    heads = {i: h for i, x in enumerate(lines) if (h := _heading(x))}
-    starts = [0, *heads] if 0 not in heads else list(heads)
-    above: list[tuple[int, str]] = []
-    out = []
-    for start, end in zip(starts, [*starts[1:], len(lines)], strict=True):
-        if start in heads:
-            above = [h for h in above if h[0] < heads[start][0]] + [heads[start]]
-        if body := "\n".join(lines[start:end]).strip():
-            out.append(([title for _, title in above], body))
-    return out
-
-
-def count_tokens(text: str) -> int:
-    return len(text.split())
-
-
-def _pieces(segment: str, most: int, count: Callable[[str], int]) -> Iterator[str]:
-    """A segment that is too long, in windows by index: each ends with the word with which it has ``most`` tokens, found by bisection."""
-    words = segment.split()
-    start = 0
-    while start < len(words):
-        if count is count_tokens:
-            end = start + most
-        else:
-            end = start + 1 + bisect_left(range(start + 1, len(words)), most, key=lambda j: count(" ".join(words[start:j])))
-        yield " ".join(words[start:end])
-        start = end
-
-
-def pack(segments: list[str], most: int, overlap: int, joiner: str, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Segments packed greedily into chunks of at most ``most`` tokens.
-
-    A new chunk opens with the last segments of the one before: always the very last, then more while they stay within
-    ``overlap`` in all. It opens without them when the next segment would not fit behind them.
-    """
-    sized = [(s, count(s)) for x in segments for s in (_pieces(x, most, count) if count(x) > most else [x])]
-    out: list[list[tuple[str, int]]] = []
-    here: list[tuple[str, int]] = []
-    for segment in sized:
-        if here and sum(n for _, n in here) + segment[1] > most:
-            out.append(here)
-            tail: list[tuple[str, int]] = []
-            for s in reversed(here if overlap > 0 else []):
-                carried = sum(n for _, n in tail)
-                if tail and (carried >= overlap or carried + s[1] > overlap):
-                    break
-                tail.append(s)
-            here = tail[::-1]
-            if sum(n for _, n in here) + segment[1] > most:
-                here = []
-        here = [*here, segment]
-    return [joiner.join(s for s, _ in chunk) for chunk in [*out, here] if chunk]
-
-
-def chunk_record(source_type: str, source_id: str, text: str, issue: int | None, comment: int | None, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = count_tokens) -> Iterator[tuple]:
-    """CHUNK_SCHEMA rows: parents (sections of a document, or the one of an issue record) each followed by its children."""
-    if source_type == "docs":
-        sections = split_sections(text)
-        name = f"doc:{source_id}"
-    else:
-        if issue is None or comment is None:
-            raise ValueError(f"issue record without ids: {source_id}")
-        sections = [([], text)]
-        name = f"issue:{issue}:comment:{comment}"
-    for p, (path, body) in enumerate(sections):
-        parent = f"{name}:parent:{p}"
-        yield source_id, "parent", parent, None, p, None, path, body
-        stem = f"{parent}:child" if source_type == "docs" else f"{name}:child"
-        for c, child in enumerate(pack(split_blocks(body), most, overlap, "\n\n", count)):
-            yield source_id, "child", f"{stem}:{c}", parent, p, c, path, child
-
-
-def parent_child_chunks(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """CHUNK_SCHEMA rows of records(source_type, source_id, text, github_issue_id, github_comment_id), record by record, without a shuffle.
-
-    count says how many tokens a text has; it runs in the workers and may be a model's tokenizer.
-    """
-    names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-
-    def work(batches):
-        for batch in batches:
-            rows = [x for r in batch.itertuples(index=False) for x in chunk_record(r.source_type, r.source_id, r.text or "", None if pd.isna(r.issue) else int(r.issue), None if pd.isna(r.comment) else int(r.comment), most, overlap, count)]
-            yield pd.DataFrame(rows, columns=names).astype({"parent_index": "Int32", "child_index": "Int32"})
+def parent_child_chunks(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] | None = None) -> DataFrame:
+    """CHUNK_SCHEMA rows of records(source_type, source_id, text, github_issue_id, github_comment_id): parents, and their children packed from their blocks.
 
-    return records.select("source_type", F.col("source_id").cast("string").alias("source_id"), "text", F.col("github_issue_id").alias("issue"), F.col("github_comment_id").alias("comment")).mapInPandas(work, CHUNK_SCHEMA)
+    The parents of a document are its sections, an issue record is one parent. count says how many tokens a text has, if
+    not its words count; it runs in the workers and may be a model's tokenizer. Null texts are empty. An issue record
+    without its ids is an error.
+    """
+    issue, comment = F.col("github_issue_id").cast("string"), F.col("github_comment_id").cast("string")
+    of_issue = F.when(issue.isNotNull() & comment.isNotNull(), F.concat(F.lit("issue:"), issue, F.lit(":comment:"), comment)).otherwise(F.raise_error(F.concat(F.lit("issue record without ids: "), F.col("source_id").cast("string"))))
+    docs = F.col("source_type") == "docs"
+    named = records.select(
+        F.monotonically_increasing_id().alias("rid"), docs.alias("docs"), F.col("source_id").cast("string").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(docs, F.concat(F.lit("doc:"), F.col("source_id").cast("string"))).otherwise(of_issue).alias("name"),
+    )
+    named = durable(named, "records")  # numbers that stay, whatever task is run again
+    whole = named.where("not docs").select("rid", F.lit(0).alias("p"), F.array().cast("array<string>").alias("section_path"), F.col("text").alias("body"))
+    units = segments.sections(named.where("docs").select("rid", "text")).unionByName(whole)
+    units = durable(named.drop("text").join(units, "rid").withColumn("parent", F.concat("name", F.lit(":parent:"), F.col("p").cast("string"))), "parents")
+    children = segments.packed(segments.blocks(units), most, overlap, count=count)
+    parents = units.select("source_id", F.lit("parent").alias("level"), F.col("parent").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.col("p").alias("parent_index"), F.lit(None).cast("int").alias("child_index"), "section_path", F.col("body").alias("text"))
+    stem = F.concat(F.when(F.col("docs"), F.col("parent")).otherwise(F.col("name")), F.lit(":child:"), F.col("c").cast("string"))
+    below = children.join(units.drop("body"), ["rid", "p"]).select("source_id", F.lit("child").alias("level"), stem.alias("chunk_id"), F.col("parent").alias("parent_id"), F.col("p").alias("parent_index"), F.col("c").alias("child_index"), "section_path", "text")
+    return parents.unionByName(below)
 
 
 def level_counts(chunks: DataFrame) -> DataFrame:

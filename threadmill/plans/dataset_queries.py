@@ -180,21 +180,57 @@ def naive_chunks(spark, sf_dir):
 
 
 def _records(spark, sf_dir):
+    """Documents with headings, fences and blank lines at some of their lines."""
     d = documents(spark, sf_dir)
-    return d.select(F.lit("docs").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), "text", F.lit(None).cast("long").alias("github_issue_id"), F.lit(None).cast("long").alias("github_comment_id"))
-
-
-@query()
+    mark = lambda x, i: F.when(i % 7 == 2, F.concat(F.repeat(F.lit("#"), i % 3 + 1), F.lit(" "), F.substring(x, 1, 20))).when(i % 5 == 3, F.lit("```")).when(i % 11 == 9, F.lit(" ")).otherwise(x)
+    text = F.array_join(F.transform(F.split("text", "\n", -1), mark), "\n")
+    return d.select(F.lit("docs").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), text.alias("text"), F.lit(None).cast("long").alias("github_issue_id"), F.lit(None).cast("long").alias("github_comment_id"))
+
+
+_MARKED = """marked as (select doc_id::varchar as source_id, 'doc:' || doc_id as name, array_to_string([case when (i - 1) % 7 = 2 then repeat('#', (i - 1) % 3 + 1) || ' ' || ls[i][1:20] when (i - 1) % 5 = 3 then '```' when (i - 1) % 11 = 9 then ' ' else ls[i] end for i in range(1, len(ls) + 1)], chr(10)) as text
+    from (select doc_id, string_split(text, chr(10)) as ls from documents))"""
+_SECTIONS = f"""lines as (select source_id, name, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from marked),
+leveled as (select *, length(regexp_extract(line, '^(#+){SP}', 1)) as level from lines),
+counted as (select *, count(*) filter (level > 0) over (partition by source_id order by pos) as sec from leveled),
+heads as materialized (select source_id, sec, level, {strip_sql('substr(line, level + 1)')} as title from counted where level > 0),
+above as (select i.source_id, i.sec, list(j.title order by j.sec) as section_path from heads i join heads j on j.source_id = i.source_id and (j.sec = i.sec or j.sec < i.sec and j.level < i.level
+    and not exists (select 1 from heads k where k.source_id = i.source_id and k.sec > j.sec and k.sec < i.sec and k.level <= j.level)) group by i.source_id, i.sec),
+bodies as (select source_id, name, sec, {strip_sql("string_agg(line, chr(10) order by pos)")} as body from counted group by source_id, name, sec),
+units as materialized (select source_id, name, row_number() over (partition by source_id order by sec) - 1 as p, coalesce(section_path, []::varchar[]) as section_path, body, name || ':parent:' || (row_number() over (partition by source_id order by sec) - 1) as parent, null::varchar as stem
+    from bodies left join above using (source_id, sec) where body <> '')"""
+# Blocks are packed one after the other here: a walk over the blocks of all units at once, one block a step.
+_PACKED = f"""body_lines as (select source_id, p, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as pos from units),
+fences as (select *, starts_with({strip_sql('line')}, '```') as fence, {strip_sql('line')} = '' as blank from body_lines),
+parity as (select *, coalesce(count(*) filter (fence) over (partition by source_id, p order by pos rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as fenced from fences),
+opened as (select *, coalesce(lag(fence and fenced) over (partition by source_id, p order by pos), false) or not fenced and (fence or blank) as opens from parity),
+blocked as (select *, count(*) filter (opens) over (partition by source_id, p order by pos) as block from opened),
+blocks as (select source_id, p, block, regexp_replace(string_agg(line, chr(10) order by pos), '^\n+|\n+$', '', 'g') as text from blocked where fenced or not blank group by source_id, p, block),
+worded as (select *, {words_sql('text')} as w from blocks where {strip_sql('text')} <> ''),
+pieces as (select source_id, p, block, case when len(w) <= 500 then 0 else k end as k, case when len(w) <= 500 then text else array_to_string(w[k * 500 + 1 : k * 500 + 500], ' ') end as text, case when len(w) <= 500 then len(w) else least(500, len(w) - k * 500) end as n
+    from (select *, unnest(range((len(w) + 499) // 500)) as k from worded)),
+listed as materialized (select source_id, p, list(text order by block, k) as texts, list(n order by block, k) as ns from pieces group by source_id, p),
+sums as materialized (select source_id, p, texts, len(ns) as n, [list_sum(ns[1:i]) for i in range(0, len(ns) + 1)] as q from (select source_id, p, texts, ns from listed)),
+walk as (select source_id, p, 1 as i, 0::bigint as b, null::bigint as closed from sums
+    union all select source_id, p, i + 1, case when fits then b when t <= b or coalesce(q[i + 2], 0) - coalesce(q[t + 1], 0) > 500 then i else t end, case when not fits then b end
+    from (select w.*, s.q, coalesce(s.q[w.i + 2], 0) - coalesce(s.q[w.b + 1], 0) <= 500 as fits, least(w.i - 1, len([x for x in s.q[1 : w.i] if s.q[w.i + 1] - coalesce(x, 0) > 64])) as t from walk w join sums s using (source_id, p) where w.i < s.n)),
+ends as (select source_id, p, closed as b, i - 1 as e from walk where closed is not null union all select source_id, p, w.b, w.i from walk w join sums s using (source_id, p) where w.i = s.n),
+children as (select source_id, p, row_number() over (partition by source_id, p order by b) - 1 as c, array_to_string(texts[b + 1 : e], chr(10) || chr(10)) as text from ends join sums using (source_id, p)),
+chunk_rows as (select source_id, 'parent' as level, parent as chunk_id, null::varchar as parent_id, section_path, body as text from units
+    union all select source_id, 'child', coalesce(stem, parent) || ':child:' || c, parent, section_path, text from children join units using (source_id, p))"""
+
+
+@query(f"with recursive {_MARKED}, {_SECTIONS}, {_PACKED} select source_id, level, chunk_id, parent_id, array_to_string(section_path, '/') as section_path, md5(text) as digest from chunk_rows")
 def parent_child_chunks(spark, sf_dir):
     return corpus.parent_child_chunks(_records(spark, sf_dir)).select("source_id", "level", "chunk_id", "parent_id", F.array_join("section_path", "/").alias("section_path"), F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"""with recursive {_CORPUS}, units as materialized (select source_id, 0::bigint as p, []::varchar[] as section_path, text as body, 'issue:' || github_issue_id || ':comment:' || github_comment_id || ':parent:0' as parent, 'issue:' || github_issue_id || ':comment:' || github_comment_id as stem from records), {_PACKED}
+    select source_id, level, chunk_id, parent_id, md5(text) as digest from chunk_rows""")
 def issue_chunks(spark, sf_dir):
     return corpus.parent_child_chunks(_corpus(spark, sf_dir)).select("source_id", "level", "chunk_id", "parent_id", F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"with recursive {_MARKED}, {_SECTIONS}, {_PACKED} select count(*) as chunks, (count(*) filter (level = 'parent'))::bigint as parents, (count(*) filter (level = 'child'))::bigint as children from chunk_rows")
 def chunk_level_counts(spark, sf_dir):
     return corpus.level_counts(corpus.parent_child_chunks(_records(spark, sf_dir)))
 
