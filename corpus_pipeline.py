@@ -9,6 +9,7 @@ Texts are worked on whole, however long. Of equal rows the first one stays. An e
 
 from threadmill.llm import decontaminate, langid, linededup, packing, simhash
 from threadmill.llm.tools import durable
+from threadmill.sources import scratch
 
 
 def language(spark, docs, sf_dir):
@@ -44,6 +45,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = scratch.written()
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        scratch.clear(spark, start, 1)  # what the stages so far have written but for the last one's result
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -74,3 +74,15 @@ def test_scratch_tables(spark):
     assert scratch.clear(spark) >= 1
     with pytest.raises(Exception, match="(?i)not.exist|no such"):
         spark.read.parquet(out.inputFiles()[0]).count()
+
+
+def test_scratch_tables_are_deleted_but_for_those_to_keep(spark):
+    from threadmill.sources import scratch
+
+    start = scratch.written()
+    a, b, c = (scratch.durable(spark.range(n), "test") for n in (3, 4, 5))
+    assert scratch.clear(spark, start, 1) == 2
+    assert c.count() == 5 and scratch.written() == start + 1
+    for gone in (a, b):
+        with pytest.raises(Exception):  # noqa: B017
+            gone.collect()

@@ -31,10 +31,16 @@ def durable(df: DataFrame, label: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes all that ``durable`` wrote in this process and says how many tables that were. Tables that read them are void then."""
-    n = len(_written)
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+def written() -> int:
+    """How many tables ``durable`` has written in this process and ``clear`` has not deleted."""
+    return len(_written)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Deletes what ``durable`` wrote in this process, but for the first ``since`` and the last ``keep`` tables, and says how many tables that were. Tables that read them are void then."""
+    gone = _written[since : len(_written) - keep]
+    _written[since : len(_written) - keep] = []
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)
