@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from threadmill.llm.tools import durable, ranges, rename, slices, text_bytes
 
 #: Postings and documents of a shard, shards of a file, query terms that are sent at once, and postings of a query's first round.
-POSTINGS, DOCS, FILE, QUERY_TERMS, ROUND = 1 << 18, 1 << 14, 32, 2_000_000, 2048
+POSTINGS, DOCS, FILE, QUERY_TERMS, ROUND = 1 << 16, 1 << 14, 64, 2_000_000, 2048
+#: Bytes of texts that are counted at once.
+TEXTS = 1 << 21
 #: One shard in so many is searched first.
 FIRST = 8
-INDEX = "turn int, total long, ids array<bigint>, terms array<bigint>, dfs array<int>, groups array<int>, impacts array<int>, sizes array<int>, docs array<int>"
+#: Postings are bytes, so that they pass through Spark as they are: 32-bit impacts of the groups, their 16-bit sizes and the 16-bit numbers of their documents, lower bytes first.
+INDEX = "turn int, total long, ids array<bigint>, terms array<bigint>, dfs array<int>, groups array<int>, impacts binary, sizes binary, docs binary"
+POSTING = {"impacts": "<i4", "sizes": "<i2", "docs": "<i2"}
 #: Terms are the maximal matches of this, with A to Z in lower case.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -71,9 +75,10 @@ def _shard(turn: int, total: int, words_: int, names: list[int | None], doc: np.
     order = np.lexsort((doc, -impact, at))
     doc, at, impact = doc[order], at[order], impact[order]
     first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(impact) != 0))[: len(at)])
-    columns = [np.array([n or 0 for n in names]), terms, dfs, np.bincount(at[first], minlength=len(terms)), impact[first], np.diff(np.append(first, len(at))), doc]
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-    lists = [_lists([c], kind) for c, kind in zip(columns, kinds, strict=True)]
+    columns = [np.array([n or 0 for n in names]), terms, dfs, np.bincount(at[first], minlength=len(terms))]
+    lists = [_lists([c], kind) for c, kind in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)]
+    postings = zip((impact[first], np.diff(np.append(first, len(at))), doc), POSTING.values(), strict=True)
+    lists += [pa.array([c.astype(kind).tobytes()], pa.binary()) for c, kind in postings]
     return pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([total], pa.int64()), *lists], [c.split()[0] for c in INDEX.split(", ")])
 
 
@@ -86,7 +91,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def count(batches):
         for batch in batches:
-            sizes = [len(words(t)) for part in slices(batch) for t in text_bytes(part.column(0))]
+            sizes = [len(words(t)) for part in slices(batch, TEXTS) for t in text_bytes(part.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], ["docs", "words"])
 
     found = rows.select("text").mapInArrow(count, "docs long, words long").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
@@ -102,7 +107,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             return _shard(turn % FIRST, total, words_, [n for h in held for n in h[0]], doc, *parts)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, TEXTS):
                 names, (doc, term, tf, sizes) = part.column(0).to_pylist(), counted(text_bytes(part.column(1)))
                 edges = np.searchsorted(doc, np.arange(len(names) + 1))
                 at = 0
@@ -183,9 +188,10 @@ class Shard:
 
 def _rows(batch: pa.RecordBatch):
     """The rows of a batch of INDEX, from ids on, as arrays."""
-    columns = {n: (batch.column(n).values.to_numpy(zero_copy_only=False), batch.column(n).offsets.to_numpy()) for n in ("ids", "terms", "groups", "impacts", "sizes", "docs")}
+    columns = {n: (batch.column(n).values.to_numpy(), batch.column(n).offsets.to_numpy()) for n in ("ids", "terms", "groups")}
     for k in range(batch.num_rows):
-        yield {n: values[ends[k] : ends[k + 1]] for n, (values, ends) in columns.items()}
+        row = {n: values[ends[k] : ends[k + 1]] for n, (values, ends) in columns.items()}
+        yield row | {n: np.frombuffer(batch.column(n)[k].as_buffer(), kind) for n, kind in POSTING.items()}
 
 
 def _frequencies(shards: DataFrame, sent) -> DataFrame:

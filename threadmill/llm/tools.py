@@ -54,8 +54,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in binary.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most SLICE rows and, beyond the first row, BYTES of strings, so that what is made of long texts stays small."""
+def slices(batch: pa.RecordBatch, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE rows and, beyond the first row, so many bytes of strings, so that what is made of long texts stays small."""
     size = np.zeros(batch.num_rows, np.int64)
     for c in batch.columns:
         if any(test(c.type) for test in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
@@ -63,7 +63,7 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     upto = np.cumsum(size)
     at = 0
     while at < batch.num_rows:
-        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BYTES, "right"))
+        to = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
         to = min(at + SLICE, max(at + 1, to))
         yield batch.slice(at, to - at)
         at = to
