@@ -186,11 +186,38 @@ def test_golden_questions(spark):
     assert (0, "unknown chunk id: nope") in messages and (25, f"duplicate question: {examples[1][1]}") in messages and (0, "no ground_truth_child_chunk_ids") in messages
 
 
+def plain_objects(value, path=""):
+    if isinstance(value, dict):
+        if isinstance(value.get("body"), str) and isinstance(value.get("author_association"), str):
+            yield path, value["body"], value["author_association"]
+        for key in sorted(value):
+            yield from plain_objects(value[key], f"{path}.{key}" if path else key)
+    elif isinstance(value, list):
+        for inner in value:
+            yield from plain_objects(inner, f"{path}[]")
+
+
+def nested(rng, depth):
+    kind = rng.random()
+    if depth == 0 or kind < 0.3:
+        return rng.choice([None, 1, 2.5, True, "text", "", "5"])
+    if kind < 0.55:
+        return [nested(rng, depth - 1) for _ in range(rng.randrange(4))]
+    return {k: nested(rng, depth - 1) if rng.random() < 0.5 else rng.choice(["x", "y", 3]) for k in rng.sample(["body", "author_association", "comments", "a b", "z"], rng.randrange(6))}
+
+
 def test_comment_objects(spark):
+    rng = random.Random(6)
     record = {"body": "b", "author_association": "NONE", "comments": [{"body": "c", "author_association": "OWNER", "x": {"y": [{"body": "d", "author_association": "MEMBER"}]}}, {"body": 1, "author_association": "OWNER"}, {"body": "no"}]}
-    out = spark.createDataFrame([(1, json.dumps(record)), (2, None), (3, "broken"), (4, "[]")], "id int, j string").select("id", c.comment_objects("j").alias("found")).collect()
-    found = {r["id"]: [tuple(x) for x in r["found"]] for r in out}
-    assert found == {1: [("", "b", "NONE"), ("comments[]", "c", "OWNER"), ("comments[].x.y[]", "d", "MEMBER")], 2: [], 3: [], 4: []}
+    records = [record, [[record]], "just text", *(nested(rng, 6) for _ in range(200))]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(1000, None), (1001, "broken"), (1002, "[]"), (1003, "{}")]
+    out = c.comment_objects(spark.createDataFrame(rows, "id int, j string"), "id", "j").collect()
+    found = {}
+    for r in sorted(out, key=lambda r: (r["id"], r["place"])):
+        found.setdefault(r["id"], []).append((r["path"], r["body"], r["author_association"]))
+    assert found == {i: f for i, r in enumerate(records) if (f := list(plain_objects(r)))}
+    assert found[0] == [("", "b", "NONE"), ("comments[]", "c", "OWNER"), ("comments[].x.y[]", "d", "MEMBER")]
+    assert c.comment_objects(spark.createDataFrame([], "id int, j string"), "id", "j").count() == 0
 
 
 @pytest.mark.parametrize("seed", range(5))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -44,35 +43,28 @@ def issue_records(issues: DataFrame, holdout: DataFrame, ordinal: str = "ordinal
     )
 
 
-_FOUND = "array<struct<path:string,body:string,author_association:string>>"
+def comment_objects(rows: DataFrame, key: str, record: str) -> DataFrame:
+    """(key, path, place, body, author_association) of all objects in a JSON column that have both as strings, at any depth.
 
-
-def comment_objects(record_json: str) -> "F.Column":
-    """(path, body, author_association) of all objects in a JSON column that have both as strings, at any depth, in the order of the record.
-
-    The path has keys by dots and [] for the items of lists. A walk over one record's own tree, in Arrow batches.
+    The path has keys by dots and [] for the items of lists; place, the numbers of the items and (by name) of the keys on the way,
+    puts a record's objects in order. The records are variants, and a round opens all objects and lists of one depth
+    at once, with what they hold as the rows of the next, so there are as many rounds as the deepest record has levels. Null
+    records, and texts that are no JSON or repeat a key, hold nothing.
     """
-
-    def walk(value, path):
-        if isinstance(value, dict):
-            if isinstance(value.get("body"), str) and isinstance(value.get("author_association"), str):
-                yield {"path": path, "body": value["body"], "author_association": value["author_association"]}
-            for key, inner in value.items():
-                yield from walk(inner, f"{path}.{key}" if path else key)
-        elif isinstance(value, list):
-            for inner in value:
-                yield from walk(inner, f"{path}[]")
-
-    def find(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            try:
-                out.append(list(walk(json.loads(text), "")) if text is not None else [])
-            except ValueError:
-                out.append([])
-        return pd.Series(out)
-
-    return F.pandas_udf(find, _FOUND)(F.col(record_json))
+    spark = rows.sparkSession
+    shape = F.schema_of_variant("v")
+    start = rows.select(key, F.lit("").alias("path"), F.array().cast("array<int>").alias("place"), F.try_parse_json(record).alias("v"))
+    level, found = durable(start.where(shape.startswith("OBJECT") | shape.startswith("ARRAY")), "level"), None
+    while not level.isEmpty():
+        body, by = F.try_variant_get("v", "$.body", "variant"), F.try_variant_get("v", "$.author_association", "variant")
+        fit = level.where(shape.startswith("OBJECT") & (F.schema_of_variant(body) == "STRING") & (F.schema_of_variant(by) == "STRING"))
+        here = fit.select(key, "path", "place", body.cast("string").alias("body"), by.cast("string").alias("author_association"))
+        found = here if found is None else found.unionByName(here)
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(level[key], level["path"], level["place"], F.col("pos"), F.col("key").alias("name"), F.col("value").alias("v"))
+        path = F.when(F.col("name").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(".", "path", "name"))
+        inner = inner.where(shape.startswith("OBJECT") | shape.startswith("ARRAY"))
+        level = durable(inner.select(key, path.alias("path"), F.concat("place", F.array("pos")).alias("place"), "v"), "level")
+    return spark.createDataFrame([], f"{key} {rows.schema[key].dataType.simpleString()}, path string, place array<int>, body string, author_association string") if found is None else found
 
 
 def chunk_sets(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, words: int = NAIVE_TOKENS, count: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
 from threadmill.operators import corpus, dataset
 from threadmill.plans import adapters as ad
 from threadmill.plans.adapters import CHUNKS_SQL, LANGS, SP, documents, read, strip_sql, words_sql
-from threadmill.sources import tables
+from threadmill.sources import store, tables
+from threadmill.sources.scratch import scratch
 
 QUERIES, SQL = {}, {}
 
@@ -257,6 +260,34 @@ def upsert(spark, sf_dir):
     return tables.upsert(old, new, "vec_id", ("label",))
 
 
+@query("select vec_id, case when vec_id % 50 = 7 then label + 100 else label end as label, case when vec_id % 50 = 7 and vec_id % 3 = 0 then 'new' else 'old' end as note, true as few from embeddings where vec_id % 3 <> 0 or vec_id % 50 = 7")
+def keyed_store(spark, sf_dir):
+    """A store in 64 buckets and one upsert of the rows of one place in fifty; few: no more buckets were written than keys came."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    held = store.KeyedStore(spark, f"{scratch(spark)}/store-{uuid.uuid4().hex}", "vec_id")
+    held.upsert(e.where("vec_id % 3 <> 0").withColumn("note", F.lit("old")), ("label",))
+    new = e.where("vec_id % 50 = 7").select("vec_id", (F.col("label") + 100).alias("label"), F.lit("new").alias("note"))
+    written = held.upsert(new, ("label",))
+    return held.read().withColumn("few", F.lit(written <= new.count()))
+
+
+_NESTED = """nested as (select event_id, '{"body": "' || event_type || '", "author_association": "NONE", "comments": [{"body": "first", "author_association": "OWNER", "x": {"y": [{"body": "deep", "author_association": "MEMBER", "props": ' || props || '}, 7]}}, {"body": '
+    || event_id || ', "author_association": "OWNER"}], "extra": ' || case when event_id % 3 = 0 then '[[{"author_association": "X", "body": "' || user_id || '"}]]' else props end || '}' as record from events)"""
+
+
+@query(rf"""with {_NESTED}, tree as (select event_id, t.fullkey, t.value from nested, json_tree(record::json) t where t.type = 'OBJECT')
+    select event_id, regexp_replace(regexp_replace(regexp_replace(fullkey, '\[\d+\]', '[]', 'g'), '^\$\.?', ''), '"', '', 'g') as path, value ->> '$.body' as body, value ->> '$.author_association' as author_association
+    from tree where json_type(value, '$.body') = 'VARCHAR' and json_type(value, '$.author_association') = 'VARCHAR'""")
+def comment_objects(spark, sf_dir):
+    """Objects with a text and its author's standing, in records that are nested by four levels and more."""
+    e = read(spark, sf_dir, "events")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    extra = F.when(F.col("event_id") % 3 == 0, text('[[{"author_association": "X", "body": "', F.col("user_id").cast("string"), '"}]]')).otherwise(F.col("props"))
+    record = text('{"body": "', F.col("event_type"), '", "author_association": "NONE", "comments": [{"body": "first", "author_association": "OWNER", "x": {"y": [{"body": "deep", "author_association": "MEMBER", "props": ', F.col("props"), '}, 7]}}, {"body": ',
+        F.col("event_id").cast("string"), ', "author_association": "OWNER"}], "extra": ', extra, "}")
+    return corpus.comment_objects(e.select("event_id", record.alias("record")), "event_id", "record").drop("place")
+
+
 @query("select doc_id, sha256(text) as sha256, strlen(text)::bigint as byte_len from documents")
 def content_manifest(spark, sf_dir):
     out = corpus.manifest_entries(documents(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("rst")))
