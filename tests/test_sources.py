@@ -4,6 +4,7 @@ import os
 import pytest
 
 from threadmill.sources import tables as tb
+from threadmill.sources.store import KeyedStore
 from threadmill.streaming import ingest
 
 
@@ -62,8 +63,9 @@ def test_stream_of_records(spark, tmp_path):
         with open(f"{source}/{n}.json", "w") as f:
             f.writelines(json.dumps({"source_id": s, "text": t}) + "\n" for s, t in rows)
         ingest.chunk_stream(spark, source, schema, store, state).awaitTermination()
-    latest = max(os.listdir(store), key=int)
-    assert {r["chunk_id"]: r["text"] for r in spark.read.parquet(f"{store}/{latest}").collect()} == {"doc:a:naive:0": "new text", "doc:b:naive:0": "three", "doc:c:naive:0": "four"}
+    held = KeyedStore(spark, store, "chunk_id")
+    assert held.version() == 1
+    assert {r["chunk_id"]: r["text"] for r in held.read().collect()} == {"doc:a:naive:0": "new text", "doc:b:naive:0": "three", "doc:c:naive:0": "four"}
 
 
 def test_scratch_tables(spark):

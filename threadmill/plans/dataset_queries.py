@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import corpus, dataset
+from threadmill.operators import corpus, dataset, digests
 from threadmill.plans import adapters as ad
 from threadmill.plans.adapters import CHUNKS_SQL, LANGS, SP, documents, read, strip_sql, words_sql
-from threadmill.sources import store, tables
+from threadmill.sources import lines, store, tables
 from threadmill.sources.scratch import scratch
 
 QUERIES, SQL = {}, {}
@@ -349,3 +349,20 @@ def digest_mismatches(spark, sf_dir):
     found = corpus.manifest_entries(documents(spark, sf_dir).select(F.col("doc_id").alias("path"), F.col("text").alias("rst")))
     recorded = found.where("path % 10 > 0").select("path", F.when(F.col("path") % 10 == 1, "x").otherwise(F.col("sha256")).alias("sha256"))
     return dataset.digest_mismatches(found, recorded).select("path", "recorded")
+
+
+@query("select doc_id, (row_number() over (order by doc_id) - 1)::bigint as ordinal, lang from documents")
+def numbered_lines(spark, sf_dir):
+    """Documents written as JSON lines in several files and read back: a number without gaps over all of them."""
+    path = f"{scratch(spark)}/lines-{uuid.uuid4().hex}"
+    tables.write_jsonl(documents(spark, sf_dir).select("doc_id", "lang", "text").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), path)
+    return lines.numbered_records(spark, path, "doc_id bigint, lang string").select("doc_id", "ordinal", "lang")
+
+
+@query("""select doc_id, 'changed' as change from documents where doc_id % 97 = 3 and doc_id % 101 <> 5 union all select doc_id, 'removed' from documents where doc_id % 101 = 5
+    union all select doc_id + 1000000000, 'added' from documents where doc_id % 103 = 7""")
+def table_changes(spark, sf_dir):
+    """Planted changes between two versions of the documents, found by the buckets whose digests differ."""
+    d = documents(spark, sf_dir)
+    edited = d.where("doc_id % 101 <> 5").withColumn("text", F.when(F.col("doc_id") % 97 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return digests.changes(d, edited.unionByName(d.where("doc_id % 103 = 7").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)), "doc_id")

@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threadmill.operators.corpus import naive_chunks
-from threadmill.sources.tables import exists, upsert
+from threadmill.sources.scratch import durable
+from threadmill.sources.store import KeyedStore
 
 
 def chunk_stream(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Reads JSON records as they come and merges their chunks into versions of the store, one for each batch.
+    """Reads JSON records as they come and merges their chunks into a ``KeyedStore``, a version for each batch that brings any.
 
-    A batch writes the folder of its own number, so a batch that is run again after a failure overwrites its own work; the
-    store is the folder with the highest number.
+    A batch rewrites the buckets of its chunks only. One that is run again after a failure merges the same rows again, which changes nothing.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         new = naive_chunks(batch).select(F.concat_ws(":", F.lit("doc"), "source_id", F.lit("naive"), "chunk_no").alias("chunk_id"), "text").dropDuplicates(["chunk_id"])
-        before = f"{store}/{number - 1}"
-        whole = upsert(spark.read.parquet(before), new, updated=("text",)) if exists(spark, before) else new
-        whole.write.mode("overwrite").parquet(f"{store}/{number}")
+        KeyedStore(batch.sparkSession, store, "chunk_id").upsert(durable(new, "batch"), ("text",))
 
     records = spark.readStream.schema(schema).json(source)
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
