@@ -115,3 +115,22 @@ def test_labelled_split_and_prefixes(spark):
     with pytest.raises(ValueError):
         ds.labelled_split(rows.withColumn("label_id", F.lit(1)))
     assert [r["source_id"] for r in ds.forbidden_prefixes(rows, ("provider:", "x")).collect()] == ["provider:2"]
+
+
+def test_splits_are_described_while_they_are_written(spark, tmp_path):
+    rows = [(i, "bug" if i % 3 else "docs", f"2024-01-{i % 28 + 1:02d}", "test" if i % 5 == 0 else "train") for i in range(200)]
+    df = spark.createDataFrame(rows, "issue_id long, label string, created_at string, split string")
+    out = ds.write_splits(df, str(tmp_path / "a"), labels=("bug", "docs"), splits=("train", "test", "none")).collect()
+    found = {(r["split"], r["label"]): (r["n"], r["first_at"], r["last_at"]) for r in out}
+    for s in ("train", "test", "none"):
+        for k in ("bug", "docs"):
+            own = [r[2] for r in rows if (r[1], r[3]) == (k, s)]
+            assert found[s, k] == (len(own), min(own, default=None), max(own, default=None))
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 200
+    assert sum(r["share"] for r in out) == pytest.approx(1)
+    again = ds.write_splits(df.repartition(7), str(tmp_path / "b"), labels=("bug", "docs"), splits=("train", "test", "none")).collect()
+    assert [r["digest"] for r in again] == [r["digest"] for r in out]
+    other = ds.write_splits(df.where("issue_id <> 1"), str(tmp_path / "c"), labels=("bug", "docs"), splits=("train", "test", "none")).collect()
+    assert {r["split"] for r, x in zip(out, other, strict=True) if r["digest"] != x["digest"]} == {"train"}
+    with pytest.raises(ValueError, match="unknown split or label"):
+        ds.write_splits(df, str(tmp_path / "d"), labels=("bug",), splits=("train", "test"))

@@ -146,6 +146,18 @@ def greedy_distinct(spark, sf_dir):
     return corpus.distinct_units(units, "a", "b", 100_000, "doc_id").select("doc_id", "unit_no")
 
 
+@query(f"""with {_TEMPORAL}, s as (select label, case when is_test then 'test' else 'older' end as split, count(*) as n, min(created_at) as a, max(created_at) as z from split group by all),
+    pairs as (select split, label from (values ('older'), ('test')) x(split), (select distinct event_type as label from events) union all values ('older', 'none'), ('test', 'none'))
+    select split, label, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / (select count(*) from events), 9) as share, epoch_us(a) as first_us, epoch_us(z) as last_us from pairs left join s using (split, label)""")
+def split_metadata(spark, sf_dir):
+    """What the job that writes the splits says of them; a label that does not occur is there too."""
+    rows = _split_events(spark, sf_dir).withColumn("split", F.when(F.col("is_test"), "test").otherwise("older")).drop("is_test")
+    labels = ("click", "error", "none", "purchase", "signup", "view")
+    out = dataset.write_splits(rows, f"{scratch(spark)}/splits-{uuid.uuid4().hex}", "event_id", labels=labels, splits=("older", "test"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return out.select("split", "label", "n", F.round("share", 9).alias("share"), us("first_at").alias("first_us"), us("last_at").alias("last_us"))
+
+
 @query(f"""with {_TEMPORAL}, m as (select label, count(*) as m from split where not is_test group by label), v as (select label, m, case when m > 1 then greatest(1, least(m - 1, round_even(0.25 * m, 0)::bigint)) else 0 end as val from m)
     select label, 'validation' as split, val::bigint as n from v where val > 0 union all select label, 'train', (m - val)::bigint from v""")
 def train_val_counts(spark, sf_dir):
