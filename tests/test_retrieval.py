@@ -108,3 +108,15 @@ def test_vectors(spark):
     assert (r["a"], r["b"], r["t"], r["c"]) == ([0.6, 0.8], [0.0, 0.0], "[3.00000000,4.00000000]", pytest.approx(1.0))
     random.seed(0)
     assert math.isclose(sum(x * x for x in rt.mock_vector("text")), 1.0, rel_tol=1e-5)
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1000])
+def test_any_number_of_cells_gives_the_same_ranking(spark, monkeypatch, cells):
+    rng = random.Random(cells)
+    text = lambda: " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randrange(0, 20)))
+    queries = spark.createDataFrame([(i, text(), [rng.random() for _ in range(4)]) for i in range(30)], "query_id long, query string, vector array<double>")
+    chunks = spark.createDataFrame([(f"c{i}", i, text(), [rng.random() for _ in range(4)]) for i in range(150)], "chunk_id string, ordinal long, text string, vector array<double>").repartition(3)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in df.collect())
+    expected = rows(rt.dense_top(queries, chunks, 5)), rows(rt.bm25_top(queries, chunks, 5))
+    monkeypatch.setattr(rt, "CELLS", cells)
+    assert (rows(rt.dense_top(queries, chunks, 5)), rows(rt.bm25_top(queries, chunks, 5))) == expected

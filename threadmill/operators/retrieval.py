@@ -26,6 +26,8 @@ HIT_AT, RECIPROCAL_AT = 5, 10
 WEIGHTS = ((0.25, 0.75), (0.5, 0.5), (0.75, 0.25))
 #: Bytes of query vectors and terms of queries that are sent to the tasks at once, and chunks that a task scores at once.
 QUERY_BYTES, TERMS, CHUNKS = 32 << 20, 500_000, 512
+#: Scores, and parts of scores, that a task holds at once, whatever the number of queries.
+CELLS = 4 << 20
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -82,12 +84,13 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, normalize: bool = F
                     continue
                 v = np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(float)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if normalize else v
-                scores, names, ordinals = q @ v.T, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-                for i, s in enumerate(scores):
-                    near = np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-6) if len(s) > k else np.arange(len(s))
-                    s, o, n = (np.concatenate(x) for x in zip(best[i], (s[near], ordinals[near], names[near]), strict=True))
-                    top = np.lexsort((o, -np.round(s, 6)))[:k]
-                    best[i] = s[top], o[top], n[top]
+                names, ordinals, step = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), max(1, CELLS // batch.num_rows)
+                for at in range(0, len(ids), step):
+                    for i, s in enumerate(q[at : at + step] @ v.T, at):
+                        near = np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-6) if len(s) > k else np.arange(len(s))
+                        s, o, n = (np.concatenate(x) for x in zip(best[i], (s[near], ordinals[near], names[near]), strict=True))
+                        top = np.lexsort((o, -np.round(s, 6)))[:k]
+                        best[i] = s[top], o[top], n[top]
             for name, (s, o, n) in zip(ids, best, strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(n, pa.string()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], ["query_id", "chunk_id", "ordinal", "score"])
 
@@ -176,9 +179,10 @@ class Sparse:
                 first = np.cumsum(sizes) - sizes
                 query, weight = (np.array([y[c] for x in asked for y in x]) for c in (0, 1))
                 best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))] * len(ids)
+                step = max(1, min(CHUNKS, CELLS // len(ids)))
                 for batch in batches:
-                    for at in range(0, batch.num_rows, CHUNKS):
-                        names, ordinals, texts = (batch.column(c).slice(at, CHUNKS).to_pylist() for c in range(3))
+                    for at in range(0, batch.num_rows, step):
+                        names, ordinals, texts = (batch.column(c).slice(at, step).to_pylist() for c in range(3))
                         chunk, term, tf, norm = [], [], [], []
                         for j, text in enumerate(texts):
                             found = _terms(text)
@@ -192,11 +196,15 @@ class Sparse:
                         if not chunk:
                             continue
                         chunk, term, tf, norm = np.array(chunk), np.array(term), np.array(tf, float), np.array(norm)
-                        many = sizes[term]
-                        own = np.arange(many.sum()) + np.repeat(first[term] - (np.cumsum(many) - many), many)
-                        cell = query[own] * len(texts) + np.repeat(chunk, many)
-                        scores = np.bincount(cell, weight[own] * np.repeat(tf * (K1 + 1) / (tf + norm), many), len(ids) * len(texts)).reshape(len(ids), -1)
-                        shared = np.bincount(cell, minlength=scores.size).reshape(scores.shape) > 0
+                        part, many = tf * (K1 + 1) / (tf + norm), sizes[term]
+                        scores, shared = np.zeros(len(ids) * len(texts)), np.zeros(len(ids) * len(texts), bool)
+                        edges = [*np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), CELLS))).tolist(), len(many)]
+                        for lo, hi in zip(edges[:-1], edges[1:], strict=True):  # no more than CELLS parts, and those of one posting, at once
+                            own = np.arange(many[lo:hi].sum()) + np.repeat(first[term[lo:hi]] - (np.cumsum(many[lo:hi]) - many[lo:hi]), many[lo:hi])
+                            cell = query[own] * len(texts) + np.repeat(chunk[lo:hi], many[lo:hi])
+                            np.add.at(scores, cell, weight[own] * np.repeat(part[lo:hi], many[lo:hi]))
+                            shared[cell] = True
+                        scores, shared = scores.reshape(len(ids), -1), shared.reshape(len(ids), -1)
                         names, ordinals = np.array(names, object), np.array(ordinals)
                         for i in np.flatnonzero(shared.any(1)):
                             near = np.flatnonzero(shared[i])
