@@ -117,7 +117,7 @@ def test_labelled_split_and_prefixes(spark):
     assert [r["source_id"] for r in ds.forbidden_prefixes(rows, ("provider:", "x")).collect()] == ["provider:2"]
 
 
-def test_splits_are_described_while_they_are_written(spark, tmp_path):
+def test_splits_are_described_as_they_are_written(spark, tmp_path):
     rows = [(i, "bug" if i % 3 else "docs", f"2024-01-{i % 28 + 1:02d}", "test" if i % 5 == 0 else "train") for i in range(200)]
     df = spark.createDataFrame(rows, "issue_id long, label string, created_at string, split string")
     out = ds.write_splits(df, str(tmp_path / "a"), labels=("bug", "docs"), splits=("train", "test", "none")).collect()

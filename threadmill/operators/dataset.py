@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -298,22 +298,23 @@ def missing_labels(rows: DataFrame, labels=LABELS, split: str = "split", splits=
     return wanted.join(rows.select(split, "label").distinct(), [split, "label"], "left_anti")
 
 
-def write_splits(rows: DataFrame, path: str, key: str = "issue_id", at: str = "created_at", label: str = "label", split: str = "split", labels=LABELS, splits=("train", "validation", "test")) -> DataFrame:
-    """Writes rows(key, label, at, split) by split and returns (split, label, n, share, first_at, last_at, digest): what was written, gathered while it was.
+def write_splits(rows: DataFrame, path: str, at: str = "created_at", label: str = "label", split: str = "split", labels=LABELS, splits=("train", "validation", "test")) -> DataFrame:
+    """Writes rows(label, at, split, ...) by split and returns (split, label, n, share, first_at, last_at, digest): what is written there.
 
-    The counts, bounds and digests are observed metrics of the one job that writes, so rows are read once and nothing is read back. share is of
-    all rows; the digest of a split, a sum of row hashes, does not depend on order or partitions and stands with each of its labels. Rows of another
-    split or label fail the job's caller after the write, as the metrics show them.
+    One aggregate over the written files has all counts, bounds and digests, so rows is computed once, however much work it is. (Observed
+    metrics would save the second scan, but a session that holds an ``Observation`` cannot send fitted spark.ml models to its tasks any more.) share
+    is of all rows; the digest of a split, a sum of row hashes, does not depend on order or partitions and stands with each of its
+    labels. Rows of another split or label are an error.
     """
-    seen, wanted = Observation(), [(s, k) for s in splits for k in labels]
+    wanted = [(s, k) for s in splits for k in labels]
     parts = [(F.col(split) == s) & (F.col(label) == k) for s, k in wanted]
     metrics = [F.count(F.lit(1)).alias("n")]
     for i, part in enumerate(parts):
         metrics += [F.count_if(part).alias(f"n{i}"), F.min(F.when(part, F.col(at))).alias(f"first{i}"), F.max(F.when(part, F.col(at))).alias(f"last{i}")]
     columns = [F.struct(F.col(c).isNull(), F.col(c)) for c in sorted(rows.columns)]
     metrics += [F.sum(F.when(F.col(split) == s, F.xxhash64(*columns).cast("decimal(20,0)"))).alias(f"digest_{j}") for j, s in enumerate(splits)]
-    rows.observe(seen, *metrics).write.mode("overwrite").partitionBy(split).parquet(path)
-    m = seen.get
+    rows.write.mode("overwrite").partitionBy(split).parquet(path)
+    m = rows.sparkSession.read.schema(rows.schema).parquet(path).agg(*metrics).first()
     if (known := sum(m[f"n{i}"] for i in range(len(wanted)))) != m["n"]:
         raise ValueError(f"{m['n'] - known} rows of an unknown split or label")
     kind = rows.schema[at].dataType.simpleString()

@@ -13,7 +13,7 @@ import time
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadmill.operators.dataset import LABELS, latest_per_key
@@ -23,7 +23,7 @@ from threadmill.operators.evaluation import is_success, llm_run_metrics, parse_p
 ROWS = 64
 UNREADABLE = "the answer holds no prediction"
 _CALLED = "raw string, error string, fatal boolean, tries int, latency_ms double, input_tokens long, output_tokens long"
-_KEPT = "true_label string, predicted_label string, confidence double, reason string, raw string, error string, tries int, latency_ms double, input_tokens long, output_tokens long, model string, prompt_sha256 string, attempt int"
+_KEPT = "true_label string, predicted_label string, confidence double, reason string, raw string, error string, tries int, latency_ms double, input_tokens long, output_tokens long, model string, prompt_sha256 string, attempt int, fatal boolean"
 
 
 class FatalCallError(RuntimeError):
@@ -90,7 +90,8 @@ def _attempts(spark: SparkSession, store: str) -> tuple[list[str], int]:
 def log(spark: SparkSession, store: str, key: str = "issue_id", key_type: str = "long") -> DataFrame:
     """All rows of all finished attempts."""
     done, schema = _attempts(spark, store)[0], f"{key} {key_type}, {_KEPT}"
-    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)
+    return rows.where(~F.col("fatal")).drop("fatal")
 
 
 def results(examples: DataFrame, store: str, key: str = "issue_id", labels=LABELS) -> DataFrame:
@@ -117,19 +118,19 @@ def run(
         asked, skipped = asked.join(done, "key", "left_anti"), asked.join(done, "key", "left_semi").count()
     for k in range(slices):
         number = _attempts(spark, store)[1]
-        seen = Observation()
         found = called(asked.where(F.pmod(F.xxhash64("key"), F.lit(slices)) == k), classify, tries, wait)
-        found = found.observe(seen, F.count_if(~F.col("fatal")).alias("n"), F.max(F.when(F.col("fatal"), F.col("error"))).alias("fatal"))
-        said = found.where(~F.col("fatal")).withColumn("p", parse_prediction("raw", labels))
+        said = found.withColumn("p", parse_prediction("raw", labels))
         rows = said.select(
             F.col("key").alias(key), "true_label", F.col("p.label").alias("predicted_label"), F.col("p.confidence").alias("confidence"), F.col("p.reason").alias("reason"), "raw",
             F.coalesce("error", F.when(F.col("p").isNull(), UNREADABLE)).alias("error"), "tries", "latency_ms", "input_tokens", "output_tokens",
-            F.lit(model).alias("model"), F.sha2(F.lit(template), 256).alias("prompt_sha256"), F.lit(number).alias("attempt"),
+            F.lit(model).alias("model"), F.sha2(F.lit(template), 256).alias("prompt_sha256"), F.lit(number).alias("attempt"), "fatal",
         )
         rows.write.parquet(f"{store}/attempt-{number:06d}")
-        requested += seen.get["n"] or 0
-        if seen.get["fatal"]:
-            raise FatalCallError(seen.get["fatal"])
+        written = spark.read.schema(rows.schema).parquet(f"{store}/attempt-{number:06d}")
+        r = written.agg(F.count_if(~F.col("fatal")).alias("n"), F.max(F.when(F.col("fatal"), F.col("error"))).alias("fatal")).first()
+        requested += r["n"]
+        if r["fatal"]:
+            raise FatalCallError(r["fatal"])
     return {"selected_examples": selected, "requested_this_run": requested, "resume_skipped_completed": skipped}
 
 

@@ -150,10 +150,10 @@ def greedy_distinct(spark, sf_dir):
     pairs as (select split, label from (values ('older'), ('test')) x(split), (select distinct event_type as label from events) union all values ('older', 'none'), ('test', 'none'))
     select split, label, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / (select count(*) from events), 9) as share, epoch_us(a) as first_us, epoch_us(z) as last_us from pairs left join s using (split, label)""")
 def split_metadata(spark, sf_dir):
-    """What the job that writes the splits says of them; a label that does not occur is there too."""
+    """What is in the splits that were written; a label that does not occur is there too."""
     rows = _split_events(spark, sf_dir).withColumn("split", F.when(F.col("is_test"), "test").otherwise("older")).drop("is_test")
     labels = ("click", "error", "none", "purchase", "signup", "view")
-    out = dataset.write_splits(rows, f"{scratch(spark)}/splits-{uuid.uuid4().hex}", "event_id", labels=labels, splits=("older", "test"))
+    out = dataset.write_splits(rows, f"{scratch(spark)}/splits-{uuid.uuid4().hex}", labels=labels, splits=("older", "test"))
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return out.select("split", "label", "n", F.round("share", 9).alias("share"), us("first_at").alias("first_us"), us("last_at").alias("last_us"))
 
