@@ -20,6 +20,10 @@ from threadmill.llm.tools import rename
 SIZE, GRAMS, REGULARIZED, BLOCKED = 1 << 18, (3, 4, 5), 0.08, 0.65
 # Public hosts that a training corpus takes from, as they are known.
 ORDINARY = """
+    arduino.cc raspberrypi.com adafruit.com ableton.com kodak.com nikon.com canon.com sony.com panasonic.com samsung.com bosch.com lego.com ikea.com nestle.com unilever.com
+    toyota.com honda.com ford.com bmw.com audi.com volvocars.com boeing.com airbus.com michelin.com dhl.com fedex.com ups.com maersk.com
+    worldathletics.org olympics.com usatf.org runnersworld.com fieldmuseum.org figma.com canva.com autodesk.com blender.org gimp.org inkscape.org nvidia.com intel.com
+    amd.com oracle.com salesforce.com dropbox.com zoom.us slack.com trello.com atlassian.com notion.so evernote.com cisco.com vmware.com siemens.com philips.com
     en.wikipedia.org github.com gitlab.com python.org numpy.org kernel.org gnu.org apache.org mozilla.org debian.org ubuntu.com w3.org ietf.org docs.oracle.com developer.apple.com
     learn.microsoft.com cloud.google.com aws.amazon.com ibm.com intel.com nature.com science.org pnas.org springer.com elsevier.com wiley.com plos.org acm.org ieee.org jstor.org
     mit.edu stanford.edu harvard.edu berkeley.edu princeton.edu ox.ac.uk cam.ac.uk ethz.ch uni-heidelberg.de tum.de sorbonne-universite.fr uam.es u-tokyo.ac.jp utoronto.ca
