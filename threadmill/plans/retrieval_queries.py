@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import corpus, evaluation, retrieval
+from threadmill.operators import cells, corpus, evaluation, retrieval
 from threadmill.plans import adapters as ad
 from threadmill.plans.adapters import BM25_SQL, CHUNKS_SQL, HYBRID_SQL, QUERIES_SQL, TRUTH_SQL, hybrid_sql, read
-from threadmill.sources.scratch import durable
+from threadmill.sources.scratch import durable, scratch
 
 QUERIES, SQL = {}, {}
 
@@ -62,6 +64,16 @@ def cosine_search(spark, sf_dir):
     return retrieval.dense_top(queries, known, 10, normalize=True).select("query_id", F.col("ordinal").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
+@query("""select q.vec_id as query_id, c.vec_id, (row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 6) desc, c.vec_id) - 1)::int as rank, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 5) as score
+    from embeddings q, embeddings c where q.vec_id % 20 = 0 qualify rank < 10""")
+def cosine_cells(spark, sf_dir):
+    """The store's search over all rows by way of a stored partition into cells."""
+    queries, known = _vectors(spark, sf_dir)
+    path = f"{scratch(spark)}/threadmill-cells-{uuid.uuid4().hex}"
+    cells.build(known, path)
+    return cells.search(spark, path, queries, 10).select("query_id", F.col("ordinal").alias("vec_id"), "rank", F.round("score", 5).alias("score"))
+
+
 @query("select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::double)), ',') || ']' as encoded from embeddings")
 def vector_encoding(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", retrieval.encode_vector("embedding").alias("encoded"))
