@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as tx
-from threadmill.operators import cells, corpus, evaluation, retrieval
+from threadmill.operators import cells, corpus, evaluation, retrieval, variants
 from threadmill.plans import adapters as ad
-from threadmill.plans.adapters import BM25_SQL, CHUNKS_SQL, HYBRID_SQL, QUERIES_SQL, TRUTH_SQL, hybrid_sql, read
+from threadmill.plans.adapters import BM25_SQL, CHUNKS_SQL, HYBRID_SQL, LENGTHS_SQL, QUERIES_SQL, TRUTH_SQL, hybrid_sql, read
 from threadmill.sources.scratch import durable, scratch
 
 QUERIES, SQL = {}, {}
@@ -223,5 +223,53 @@ def variant_ladder(spark, sf_dir):
     return out.select("position", "name", "hit_at_5", "mrr_at_10", "num_examples")
 
 
+def _judge(payload):
+    """A stand-in that needs no service: scores by how many of the question's words the context and the answer hold."""
+    words = lambda x: F.array_distinct(tx.words(F.lower(x)))
+    asked = words(payload["question"])
+    score = lambda x: 1 + F.floor(4 * F.size(F.array_intersect(asked, words(x))) / F.greatest(F.size(asked), F.lit(1)))
+    context, answer = score(payload["retrieved_context"]), score(payload["generated_answer"])
+    given = {"faithfulness": context, "answer_relevancy": answer, "context_usefulness": context, "completeness": answer, "refusal_quality": F.lit(5), "overall": F.least(context, answer)}
+    return F.to_json(F.struct(*(v.alias(k) for k, v in given.items()), (context >= 4).alias("pass"), F.array().cast("array<string>").alias("failure_reasons")))
+
+
+def _compared(spark, sf_dir):
+    """A row an embedder and question: the hybrid search with each of two embedders, answered and judged."""
+    known = durable(ad.chunks(spark, sf_dir), "chunks")
+    truth = durable(ad.truth(spark, sf_dir, known), "truth")
+    texts = ad.documents(spark, sf_dir).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
+    specs = variants.embedding_comparison(ad.EMBEDDERS, "naive_fixed")
+    return variants.evaluate(specs, ad.questions(spark, sf_dir), {"naive_fixed": known}, texts, {"naive_fixed": truth}, ad.EMBEDDERS, lambda question, context: evaluation.mock_answer(context), _judge)
+
+
+_COMMON = f"""{hybrid_sql()}, {TRUTH_SQL}, firsts as (select q.query_id, min(rank) filter (where t.chunk_id is not null) as f from queries q left join hybrid h on h.query_id = q.query_id left join truth t on t.query_id = h.query_id and t.chunk_id = h.chunk_id group by all),
+    places as (select query_id, parent_id, min(rank) as first_rank from hybrid join chunks using (chunk_id) where rank < 5 group by all),
+    contexts as (select query_id, string_agg(parent_id, ',' order by first_rank) as parents, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by first_rank) as context from places join (select 'doc:' || doc_id as parent_id, text from documents) using (parent_id) group by query_id),
+    shown as (select query_id, string_agg(chunk_id, ',' order by rank) filter (where rank < 5) as chunk_ids from hybrid group by query_id),
+    true_ids as (select query_id, string_agg(chunk_id, ',' order by chunk_id) as truth_ids from truth group by query_id),
+    answers as (select q.query_id, f, coalesce(chunk_ids, '') as chunk_ids, coalesce(parents, '') as parents, coalesce(truth_ids, '') as truth_ids, list_distinct({ad.words_sql('lower(query)')}) as asked,
+        list_distinct({ad.words_sql("lower(coalesce(context, ''))")}) as held, list_distinct({ad.words_sql("lower('Based on the retrieved context: ' || left(coalesce(context, ''), 200))")}) as said
+        from queries q join firsts using (query_id) left join contexts using (query_id) left join shown using (query_id) left join true_ids using (query_id)),
+    scored as (select *, 1 + (4 * len(list_intersect(asked, held))) // greatest(len(asked), 1) as c, 1 + (4 * len(list_intersect(asked, said))) // greatest(len(asked), 1) as a from answers)"""
+
+
+def _both(select: str) -> str:
+    return " union all ".join(f"(with {base}, {_COMMON} select {n} as position, 'hybrid_{name}' as name, {select})" for n, (name, base) in enumerate((("lengths", LENGTHS_SQL), ("letters", HYBRID_SQL))))
+
+
+@query(_both(f"{_METRICS}, count(*) as num_examples, round(avg(c), 6) as faithfulness, round(avg(a), 6) as answer_relevancy, round(avg(least(a, c)), 6) as overall, round(avg((c >= 4)::int), 6) as pass_rate from scored"))
+def embedding_comparison(spark, sf_dir):
+    """Two embedders under the same hybrid search, by retrieval and by judged answers."""
+    found = variants.report(_compared(spark, sf_dir))
+    return found.select("position", "name", "num_examples", *(F.round(c, 6).alias(c) for c in ("hit_at_5", "mrr_at_10", "faithfulness", "answer_relevancy", "overall", "pass_rate")))
+
+
+@query(_both("query_id, chunk_ids, parents, truth_ids, c as faithfulness, a as answer_relevancy, c >= 4 as passed from scored"))
+def variant_answers(spark, sf_dir):
+    """What each variant found for each question, the parents of its context, the true chunks, and the verdict."""
+    listed = lambda c: F.array_join(c, ",")
+    return _compared(spark, sf_dir).select("position", "name", "query_id", listed("chunk_ids").alias("chunk_ids"), listed("context_parent_ids").alias("parents"), listed("truth_ids").alias("truth_ids"), F.col("verdict.faithfulness").cast("long").alias("faithfulness"), F.col("verdict.answer_relevancy").cast("long").alias("answer_relevancy"), F.col("verdict.pass").alias("passed"))
+
+
 def entry(spark, sf_dir):
     return hybrid_topk(spark, sf_dir).where(F.col("rank") < 5)
