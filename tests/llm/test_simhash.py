@@ -74,6 +74,47 @@ def test_windows_are_stretches_of_the_fingerprint(spark):
     assert [f"{v % 2**64:064b}" for v in row] == [((bits + bits)[at : at + simhash.KEY]).ljust(64, "0") for at in range(0, len(bits), simhash.STEP)]
 
 
+def test_tries_of_an_even_table_do_not_grow_with_it():
+    for rows in (0, 1, 1 << 22, (1 << 22) + (1 << 10), 10**8, 10**10, 10**12):
+        assert rows >> simhash.agreed(rows) <= simhash.TILE, rows
+    assert [simhash.agreed(r) for r in (0, 5 << 20, 9 << 20, 10**10)] == [10, 11, 12, 22]
+    assert [len(simhash.windows(a)) for a in (10, 11, 22)] == [29, 36, 210]
+    assert simhash.KEY + simhash.agreed(10**12) - simhash.AGREE <= 64
+
+
+@pytest.mark.parametrize("agree", [10, 14, 18])
+def test_more_agreeing_bits_lose_no_more_pairs(spark, agree):
+    """Pairs of fingerprints as texts of similarity 0.8 have them: each bit differs with probability 0.1515."""
+    rng, words, pairs = np.random.default_rng(agree), simhash.lengths(agree), 600
+    one = rng.integers(0, 2, (pairs, 64 * words), np.uint8)
+    two = one ^ (rng.random(one.shape) < 0.1515)
+    prints = np.packbits(np.stack([one, two], 1).reshape(2 * pairs, -1), axis=1).view(">i8").astype(np.int64)
+    units = spark.createDataFrame([(i, *p) for i, p in enumerate(prints.tolist())], "uid long, " + ", ".join(f"w{k} long" for k in range(words)))
+    close = {i for i in range(pairs) if int((one[i, :128] != two[i, :128]).sum()) <= simhash.APART}
+    found = simhash.links(units, simhash.windows(agree), simhash.BUDGET, ("w0", "w1"), simhash.APART).distinct().collect()
+    joined = {r["a"] // 2 for r in found if r["a"] // 2 == r["b"] // 2 and r["a"] != r["b"]}
+    assert joined <= close and len(joined) >= 0.96 * pairs, len(joined) / pairs
+
+
+def test_a_table_that_asks_for_more_agreeing_bits(table, monkeypatch):
+    """The whole operator with longer fingerprints finds the same classes as with the usual ones."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):
+        base = [f"t{i}w{rng.randrange(1000)}" for _ in range(300)]
+        for change in (None, 20, 250):
+            words = list(base)
+            if change is not None:
+                words[change] = "new"
+            texts.append(" ".join(words))
+    docs = table(list(enumerate(texts)))
+    classes = lambda: {r["id"]: r["root"] for r in simhash.similar_texts(docs).collect()}
+    usual = classes()
+    monkeypatch.setattr(simhash, "agreed", lambda rows: 13)
+    longer = classes()
+    assert len(set(usual.values())) == 40 and usual == longer
+
+
 def test_local_components_take_links_in_parts():
     a, b = np.array([5, 4, 7]), np.array([4, 3, 8])
     once = graph.local_components(9, a, b)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,10 @@ LEAF, CELLS = 256, 1 << 19
 HELD, TILE, USUAL = 100_000, 4096, 1024
 #: Of ``dedup``: words of a fingerprint, bits of a key and of them those that must agree, the budget for the others, bits
 #: from one key to the next, and how many of the first 128 bits may differ. Pairs of similarity 0.8 are found in 98 of 100 cases.
+#: The first three are those of tables of up to ``TILE << AGREE`` texts; for larger ones see ``agreed``.
 WORDS, KEY, AGREE, BUDGET, STEP, APART = 8, 32, 10, 4, 18, 30
+#: So many times as many keys make up for one more bit that must agree: a bit of texts of similarity 0.8 differs with probability 0.15.
+GROWTH = 1.18
 #: Sets of up to so many shingles meet by their lowest shingles too.
 FEW = 32
 
@@ -192,14 +196,28 @@ def agreeing(word: str, budget: int, rows: int) -> list[tuple[str, int]]:
     return keys
 
 
-def windows() -> list[tuple[str, int]]:
-    """(key, depth): stretches of KEY bits of WORDS words, STEP bits apart, the last of them going on with the first word."""
-    keys = []
-    for at in range(0, 64 * WORDS, STEP):
+def agreed(rows: int) -> int:
+    """How many bits of a stretch must agree so that an even table of so many texts has tries of at most ``TILE``."""
+    return next(bits for bits in range(AGREE, 64) if rows >> bits <= TILE)
+
+
+def lengths(agree: int) -> int:
+    """Words of a fingerprint whose stretches find as many pairs with so many bits that must agree as those of ``WORDS`` words with ``AGREE``."""
+    return ceil(WORDS * GROWTH ** (agree - AGREE))
+
+
+def windows(agree: int = AGREE) -> list[tuple[str, int]]:
+    """(key, depth): stretches of KEY bits, or more by what agree is above AGREE, STEP bits apart, the last of them going on with the first word.
+
+    With the table, both the bits that must agree and the number of stretches grow: a table of twice the size has 1.18 times as many keys,
+    and its tries stay as they are.
+    """
+    keys, size, words = [], KEY + agree - AGREE, lengths(agree)
+    for at in range(0, 64 * words, STEP):
         word, first = divmod(at, 64)
-        here = min(KEY, 64 - first)
-        runs = [(f"w{word}", first, here)] + ([(f"w{(word + 1) % WORDS}", 0, KEY - here)] if here < KEY else [])
-        keys.append((_arranged(runs), AGREE))
+        here = min(size, 64 - first)
+        runs = [(f"w{word}", first, here)] + ([(f"w{(word + 1) % words}", 0, size - here)] if here < size else [])
+        keys.append((_arranged(runs), agree))
     return keys
 
 
@@ -275,20 +293,21 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blank texts are equal to each other and like no other text; equal sets are one unit from the start.
     """
     texts = rename(with_row_id(docs, free_name(docs, "rid")), rid=free_name(docs, "rid"), id=id_col, text=text_col)
-    words = [f"w{k}" for k in range(WORDS)]
+    agree = agreed(texts.count())
+    words = [f"w{k}" for k in range(lengths(agree))]
 
     def named(batch):
         sets = [jaccard.shingles(t, shingle) for t in text_bytes(batch.column(2))]
-        prints = np.array([majority(x, WORDS) for x in sets], np.uint64).reshape(-1, WORDS)
+        prints = np.array([majority(x, len(words)) for x in sets], np.uint64).reshape(-1, len(words))
         nodes = pa.array([jaccard.node(x) for x in sets], pa.int64())
         heads = pa.array([lowest(x, percent) for x in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *(pa.array(prints[:, k].view(np.int64)) for k in range(WORDS)), heads], ["rid", "id", "uid", *words, "heads"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes, *(pa.array(prints[:, k].view(np.int64)) for k in range(len(words))), heads], ["rid", "id", "uid", *words, "heads"])
 
     rows = durable(arrow_map(texts, "rid long, id long, uid long, " + ", ".join(f"{w} long" for w in words) + ", heads array<bigint>", named), "fingerprints")
     units = durable(rows.groupBy("uid").agg(F.min("rid").alias("rid"), *(F.first(w).alias(w) for w in [*words, "heads"])), "units")
     heads = units.select("uid", F.explode("heads").alias("head"))
     stars = heads.join(heads.groupBy("head").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "head")
-    near = links(units, windows(), BUDGET, ("w0", "w1"), APART).union(stars.where("uid <> centre").select("uid", "centre"))
+    near = links(units, windows(agree), BUDGET, ("w0", "w1"), APART).union(stars.where("uid <> centre").select("uid", "centre"))
     edges = durable(near.distinct(), "candidates")
     roots = jaccard.verified(edges, units.select("uid", "rid"), texts.select("rid", "text"), shingle, percent)
     return rows.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("rid", "id", F.coalesce("root", "uid").alias("root"))
