@@ -199,4 +199,4 @@ def digest(scanned: DataFrame) -> DataFrame:
     """The counts of the fixed shapes, a hash of their spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return scanned.select(*(c for c in scanned.columns if c != "spans"), *map(count, range(4)), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return scanned.select(*(c for c in scanned.columns if c != "spans"), *map(count, range(3)), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), count(3))
