@@ -99,3 +99,21 @@ def test_known_keeps_every_column(table):
     kept = langid.known(docs, langid.fit(docs))
     assert kept.columns == docs.columns
     assert [tuple(r) for r in kept.collect()] == [(1, "the cat and the dog", 42.0, "a", "en")]
+
+
+def test_the_sample_in_all_is_bounded(table, monkeypatch):
+    """Each language has its share of the texts in all, and the vectors that are sent equal those that are counted."""
+    rng = random.Random(3)
+    rows = [(k * 100 + j, made(rng, letters, 30), f"l{k}") for k, letters in enumerate(("abcdef", "klmnop", "uvwxyz")) for j in range(60)]
+    docs = table(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "SAMPLED", 30)
+    model = langid.fit(docs)
+    seen = np.exp(model.idf - 1)  # (1 + texts) / (1 + texts with the n-gram)
+    assert seen.max() == pytest.approx(31)
+    assert sum(model.predict(text.encode())[0] == lang for _, text, lang in rows) >= 0.98 * len(rows)
+    monkeypatch.setattr(langid, "SAMPLED", 10_000)
+    model = langid.fit(docs)
+    df = np.zeros(langid.SIZE)
+    for _, text, _ in rows:
+        df[langid.counts(text.encode())[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 1)

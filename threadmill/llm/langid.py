@@ -20,8 +20,9 @@ from pyspark.sql import types as T
 from threadmill.llm.tools import arrow_map, rename, text_bytes
 
 GRAM, SIZE = 3, 1 << 13
-#: Bounds of the fit: labelled texts per language and in all, centroids per language and in all, rounds of k-means.
-SAMPLE, SAMPLED, CENTROIDS, CENTRES, ROUNDS = 400, 80_000, 4, 2000, 8
+#: Bounds of the fit: labelled texts per language and in all, centroids per language and in all, rounds of k-means. A text sends
+#: at most 6 * SIZE bytes to the driver, so all of them 500 MB, however long they are.
+SAMPLE, SAMPLED, CENTROIDS, CENTRES, ROUNDS = 400, 10_000, 4, 2000, 8
 #: A text is rejected when its cosine is under this share of the sample's lowest hundredth for texts as long, or so low at all.
 REJECT, LEAST_COSINE = 0.5, 0.05
 _CHUNK = 1 << 20
@@ -104,7 +105,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Null labels and texts without letters teach nothing; rows with a null id or an id of others teach like any; of rows that
     agree in id and text one counts. With many languages each has fewer texts and centroids; more than
-    CENTRES languages are an error. What reaches the driver is the sample's sparse vectors.
+    CENTRES languages are an error. What reaches the driver is the sample's sparse vectors, two bytes a column and four a count.
     """
     named = rename(labelled, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null").withColumn("h", F.xxhash64("id", "text"))
     # Sketches of the number of different rows of a language: with hashes below a bound that about four times the sample has, no frequent language meets in one task.
@@ -119,25 +120,27 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def work(batch):
         found = [counts(t) for t in text_bytes(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["lang", "columns", "n"])
+        columns, n = [f[0].astype("<u2").tobytes() for f in found], [f[1].astype("<u4").tobytes() for f in found]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns, pa.binary()), pa.array(n, pa.binary())], ["lang", "columns", "n"])
 
     texts = named.join(F.broadcast(chosen), ["h", "lang"], "left_semi").dropDuplicates(["h", "lang"])
-    rows = [r for r in arrow_map(texts.select("lang", "text"), "lang string, columns array<bigint>, n array<double>", work).collect() if r["columns"]]
-    labels = sorted({r["lang"] for r in rows})
+    sent = arrow_map(texts.select("lang", "text"), "lang string, columns binary, n binary", work).where("octet_length(columns) > 0")
+    rows = [(r["lang"], np.frombuffer(r["columns"], "<u2"), np.frombuffer(r["n"], "<u4")) for r in sent.collect()]
+    labels = sorted({lang for lang, _, _ in rows})
     df = np.zeros(SIZE)
-    for r in rows:
-        df[r["columns"]] += 1
+    for _, columns, _ in rows:
+        df[columns] += 1
     model = Model(labels, np.zeros(0, np.int64), np.zeros((SIZE, 0)), np.log((1 + len(rows)) / (1 + df)) + 1, np.zeros(65))
     parts, of, seen = [], [], []
     for k, label in enumerate(labels):
-        own = [r for r in rows if r["lang"] == label]
+        own = [r[1:] for r in rows if r[0] == label]
         x = np.zeros((len(own), SIZE))
-        for i, r in enumerate(own):
-            x[i, r["columns"]] = model.vector(np.array(r["columns"]), np.array(r["n"]))
+        for i, (columns, n) in enumerate(own):
+            x[i, columns] = model.vector(columns, n)
         c = _kmeans(x, centroids)
         parts.append(c)
         of += [k] * len(c)
-        seen += list(zip((int(sum(r["n"])).bit_length() for r in own), (x @ c.T).max(1), strict=True))
+        seen += list(zip((int(n.sum()).bit_length() for _, n in own), (x @ c.T).max(1), strict=True))
     if parts:
         model.centroids, model.of = np.concatenate(parts).T.copy(), np.array(of)
         for bits in range(65):  # texts without equals of their length have the floor of the next shorter ones
