@@ -20,7 +20,8 @@ def test_article():
 @pytest.mark.parametrize(("page", "text"), [
     ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<script>x", ""), ("<!-- open", ""), ("<p>a<script>if (a<b) '</p>'</script>b</p>", "ab"), ("a<br>b", "a b"),
     ("<main><p>x</p></main><p>y</p>", "x"), ("<div id=content><p>x</p></div><p>y</p>", "x"), ("<div><span class='ad'>no <span>no</span></span>yes</div>", "yes"), ("<p title=\"a>b\">x</p>", "x"), ("</div><p>x</p></div>y", "x\ny"),
-    ("<article><header><h1>h</h1></header><p>x</p></article>", "x"), ("<article><p hidden>h</p><p>x</p></article>", "x"), ("<ARTICLE><P>x</P></ARTICLE><FOOTER>y</FOOTER>", "x"),
+    ("<header><h1>site</h1></header><article><header><h1>h</h1><nav>menu</nav></header><p>x</p><footer>f</footer></article>", "h\nx"), ("<article><header class=banner>b</header><p>x</p></article>", "x"),
+    ("<main><header><h1>site</h1></header><p>x</p></main>", "x"), ("<header><article><p>teaser</p></article></header><p>x</p>", "x"), ("<article><p hidden>h</p><p>x</p></article>", "x"), ("<ARTICLE><P>x</P></ARTICLE><FOOTER>y</FOOTER>", "x"),
 ])
 def test_small_pages(page, text):
     assert htmltext.main_text(htmltext.blocks(page), set()) == text

@@ -7,7 +7,8 @@ start of its path, the lines of the two are aligned by their longest common subs
 the site's template. Shared lines
 are deleted from everything that the page does not itself mark as its article: an article's own lines stay even
 when another page repeats them, since copies of articles are common and are not template. In a page that marks
-an article, all else is template.
+an article, all else is template. A page's header goes; a header inside an article holds that article's headings
+and stays, unless its class, id or role names something that goes.
 """
 
 from __future__ import annotations
@@ -51,15 +52,15 @@ _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _zone(tag: str, attributes: str) -> str:
-    """drop, article, main, content or nothing: what an element says of its contents."""
+def _zone(tag: str, attributes: str, around: str = "") -> str:
+    """drop, article, main, content or nothing: what an element says of its contents. A header inside an article is that article's own."""
     marks, roles = set(), set()
     if attributes:
         for name, value in _MARK.findall(attributes):
             (roles if name.lower() == "role" else marks).update(_WORD.findall(value.lower()))
     if tag in ("html", "body"):
         return ""
-    if tag in DROPPED or roles & ROLES or (marks & READERS if tag in ("article", "main") else marks & NAMED) or re.search(r"\shidden(?=[\s=/]|$)", attributes):
+    if tag in DROPPED and not (tag == "header" and around == "article") or roles & ROLES or (marks & READERS if tag in ("article", "main") else marks & NAMED) or re.search(r"\shidden(?=[\s=/]|$)", attributes):
         return "drop"
     if tag == "article" or "article" in roles:
         return "article"
@@ -119,7 +120,8 @@ def blocks(page: str) -> list[tuple[str, str]]:
         else:
             if tag == "body":
                 stack = [s for s in stack if s[0] != "head"]
-            stack.append((tag, max(_zone(tag, m[3]), stack[-1][1] if stack else "", key=rank.get)))
+            around = stack[-1][1] if stack else ""
+            stack.append((tag, max(_zone(tag, m[3], around), around, key=rank.get)))
     if at < len(page):
         part.append(page[at:])
     close()
