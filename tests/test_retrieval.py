@@ -120,3 +120,9 @@ def test_any_number_of_cells_gives_the_same_ranking(spark, monkeypatch, cells):
     expected = rows(rt.dense_top(queries, chunks, 5)), rows(rt.bm25_top(queries, chunks, 5))
     monkeypatch.setattr(rt, "CELLS", cells)
     assert (rows(rt.dense_top(queries, chunks, 5)), rows(rt.bm25_top(queries, chunks, 5))) == expected
+
+
+def test_encoding_rounds_the_exact_value_and_ties_to_even(spark):
+    values = [2.0**-9, -3 * 2.0**-9, 0.123456785, 5e-9, -0.0, None]
+    r = spark.createDataFrame([(values,), ([],), (None,)], "v array<double>").select(rt.encode_vector("v").alias("t")).collect()
+    assert [x["t"] for x in r] == ["[0.00195312,-0.00585938,0.12345678,0.00000001,-0.00000000]", "[]", None]

@@ -384,5 +384,10 @@ def mock_embed(text: Column | str) -> Column:
 
 
 def encode_vector(v: Column | str) -> Column:
-    """A vector as text with eight decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(tx.col(v), lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+    """A vector as text with eight decimals, each rounded from the exact binary value, ties to even, as C and Python do; Java's formatter rounds the shortest decimals half up."""
+
+    @F.arrow_udf("string")
+    def encoded(vectors: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else "[" + ",".join(["%.8f" % y for y in x if y is not None]) + "]" for x in vectors.to_pylist()], pa.string())
+
+    return encoded(tx.col(v).cast("array<double>"))
