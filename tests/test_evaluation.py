@@ -1,5 +1,6 @@
 import json
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,13 @@ def test_comparison(spark):
     rows = spark.createDataFrame([("x", 0.5, 0.4, 1.0, 2_161_404, 370, None), ("y", 0.6, 0.6, 2.0, None, 40, "balanced"), ("z", None, None, None, None, 0, "full")], "name string, accuracy double, macro_f1 double, latency_ms_per_example double, size_bytes long, num_examples long, sampling_mode string")
     out = [(r["name"], r["rank"], r["size_mb"], r["scope"]) for r in ev.comparison(rows).orderBy("rank").collect()]
     assert out == [("y", 1, None, "balanced sample of 40 rows"), ("x", 2, 2.16, "all 370 rows"), ("z", 3, None, "all 0 rows")]
+
+
+def test_many_entities_of_a_text_take_no_square_of_time(spark):
+    words = [f"W{i}" for i in range(3000)]
+    text = " ".join(words)
+    raw = F.transform(F.array(*[F.split(F.lit(text), " ")] * 2), lambda a: F.transform(a, lambda w, i: F.struct(F.lit("B-PER").alias("entity_group"), F.lit(None).cast("string").alias("entity"), F.lit(0.5).alias("score"), w.alias("word"), i.alias("start"), (i + 1).alias("end"))))
+    started = time.monotonic()
+    out = spark.range(1).select(ev.entities(F.flatten(raw), F.lit(text), 5000).alias("e")).first()["e"]
+    assert [(x["start"], x["end"]) for x in out] == [(i, i + 1) for i in range(len(words))]
+    assert time.monotonic() - started < 30  # each pair compared, and cleaned again for it, takes minutes

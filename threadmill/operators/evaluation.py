@@ -184,9 +184,14 @@ def entities(raw: Column | str, source: Column | str, most: int = 100) -> Column
         F.coalesce(F.nullif(tx.strip(F.substring(source, e["start"] + 1, e["end"] - e["start"])), F.lit("")), tx.strip(F.coalesce(e["word"], F.lit("")))).alias("text"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(e["score"], F.lit(0.0)))).alias("confidence"),
     ))
-    numbered = F.transform(F.filter(clean, lambda e: e["text"] != ""), lambda e, i: F.struct(e["start"].alias("start"), e["type"].alias("type"), i.alias("i"), e["end"].alias("end"), e["text"].alias("text"), e["confidence"].alias("confidence")))
-    first = F.filter(numbered, lambda e: ~F.exists(numbered, lambda o: (o["i"] < e["i"]) & (o["start"] == e["start"]) & (o["end"] == e["end"]) & (o["type"] == e["type"]) & (o["text"] == e["text"])))
-    return F.transform(F.slice(F.array_sort(first), 1, most), lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), e["start"].alias("start"), e["end"].alias("end"), e["confidence"].alias("confidence")))
+    fields = lambda e, i, *names: F.struct(*(i.alias("i") if c == "i" else e[c].alias(c) for c in names))
+    key = ("start", "type", "end", "text")
+    numbered = F.sort_array(F.transform(F.filter(clean, lambda e: e["text"] != ""), lambda e, i: fields(e, i, *key, "i", "confidence")))
+    # Sorted, repeats are neighbours. An expression that a lambda names is evaluated for each element, so the array is bound first.
+    same = lambda e, before: F.coalesce(reduce(lambda a, c: a & (e[c] == before[c]), key[1:], e["start"] == before["start"]), F.lit(False))
+    first = tx.let(numbered, lambda rows: F.filter(rows, lambda e, j: (j == 0) | ~same(e, F.get(rows, j - 1))))
+    in_order = F.sort_array(F.transform(first, lambda e: fields(e, e["i"], "start", "type", "i", "end", "text", "confidence")))
+    return F.transform(F.slice(in_order, 1, most), lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), e["start"].alias("start"), e["end"].alias("end"), e["confidence"].alias("confidence")))
 
 
 def entity_counts(found: DataFrame, cleaned: str = "entities", by: tuple[str, ...] = ()) -> DataFrame:
