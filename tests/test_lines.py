@@ -44,3 +44,15 @@ def test_errors_name_file_and_line(spark, tmp_path):
     assert sorted((r["line"], r["ordinal"], r["k"]) for r in kept) == [(1, 0, 1), (3, 5, None), (4, 2, 2)]
     write(f"{tmp_path}/none", {"x.jsonl": ""})
     assert lines.numbered_records(spark, f"{tmp_path}/none", "k int").count() == 0
+
+
+def test_files_grow_in_number_and_not_in_size(spark, monkeypatch):
+    from threadmill.plans import dataset_queries
+
+    written, write = [], dataset_queries.tables.write_jsonl
+    monkeypatch.setattr(dataset_queries, "_FILE_BYTES", 20_000)
+    monkeypatch.setattr(dataset_queries.tables, "write_jsonl", lambda df, path: (written.append(df.rdd.getNumPartitions()), write(df, path)))
+    out = dataset_queries.numbered_lines(spark, "/root/testdata/sf0.001").collect()
+    size = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("sum(octet_length(text))").first()[0]
+    assert written == [size // 20_000] and written[0] > 5
+    assert [r["ordinal"] for r in sorted(out, key=lambda r: r["doc_id"])] == list(range(len(out)))

@@ -363,11 +363,16 @@ def digest_mismatches(spark, sf_dir):
     return dataset.digest_mismatches(found, recorded).select("path", "recorded")
 
 
+#: Bytes of texts in a file.
+_FILE_BYTES = 32 << 20
+
+
 @query("select doc_id, (row_number() over (order by doc_id) - 1)::bigint as ordinal, lang from documents")
 def numbered_lines(spark, sf_dir):
     """Documents written as JSON lines in several files and read back: a number without gaps over all of them."""
-    path = f"{scratch(spark)}/lines-{uuid.uuid4().hex}"
-    tables.write_jsonl(documents(spark, sf_dir).select("doc_id", "lang", "text").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), path)
+    path, rows = f"{scratch(spark)}/lines-{uuid.uuid4().hex}", documents(spark, sf_dir).select("doc_id", "lang", "text")
+    files = max(5, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // _FILE_BYTES)  # so that a task's share stays as it is when the table grows
+    tables.write_jsonl(rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id"), path)
     return lines.numbered_records(spark, path, "doc_id bigint, lang string").select("doc_id", "ordinal", "lang")
 
 
