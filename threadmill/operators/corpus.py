@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threadmill.functions import text as tx
 from threadmill.operators import greedy, segments
@@ -17,6 +18,8 @@ from threadmill.sources.scratch import durable
 MIN_COMMENT_CHARS = 20
 #: Tokens of a child chunk and of the overlap of neighbours, words of a fixed-size chunk.
 CHILD_TOKENS, OVERLAP_TOKENS, NAIVE_TOKENS = 500, 64, 400
+#: Texts that a task holds as strings of Python at once, whatever the size of a batch.
+AT_ONCE = 256
 CHUNK_SCHEMA = "source_id string, level string, chunk_id string, parent_id string, parent_index int, child_index int, section_path array<string>, text string"
 
 
@@ -215,10 +218,20 @@ def normalize_rst(text: str) -> str:
     return re.sub("\n\n\n+", "\n\n", whole).strip() + "\n"
 
 
+def normalized(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, each with ``normalize_rst`` of a column behind it, so that a task holds few texts as strings of Python."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            piece = batch.slice(at, AT_ONCE)
+            texts = pa.array([None if x is None else normalize_rst(x) for x in piece.column(column).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*piece.columns, texts], [*piece.schema.names, "text"])
+
+
 def normalize_docs(docs: DataFrame, rst: str = "rst") -> DataFrame:
     """docs with text, the normalized rst column; null stays null."""
-    norm = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else normalize_rst(x)), "string")
-    return docs.withColumn("text", norm(F.col(rst)))
+    kept = docs.drop("text") if rst != "text" else docs.withColumnRenamed("text", "__rst")
+    column = kept.columns.index("__rst" if rst == "text" else rst)
+    return kept.mapInArrow(lambda batches: normalized(batches, column), T.StructType([*kept.schema.fields, T.StructField("text", T.StringType())])).drop("__rst")
 
 
 def doc_records(manifest: DataFrame, files: DataFrame) -> DataFrame:
