@@ -1,9 +1,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
 from tests import plain_chunks as plain
+from threadmill.functions import text as tx
 from threadmill.operators import corpus as c
 from threadmill.operators import segments
 
@@ -240,3 +242,33 @@ def test_pieces_by_any_counter(seed):
 ])
 def test_rst_rules(rst, plain):
     assert c.normalize_rst(rst) == plain
+
+
+def test_a_task_normalizes_few_texts_at_once():
+    texts = ["a *b*", None, "Title\n====="] * 1000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["n", "rst"])
+    out = list(c.normalized([batch], 1))
+    assert max(b.num_rows for b in out) <= c.AT_ONCE and out[0].schema.names == ["n", "rst", "text"]
+    assert [x for b in out for x in b.column(2).to_pylist()] == [None if t is None else c.normalize_rst(t) for t in texts]
+    assert [x for b in out for x in b.column(0).to_pylist()] == list(range(len(texts)))
+
+
+def test_larger_tables_are_cut_by_more_tasks(spark, monkeypatch):
+    from threadmill.operators import segments
+
+    rows = [("docs", f"d{i}", f"intro {i}\n# A\n\none two\n```\ncode\n```\n## B\n" + "word " * (i * 7), None, None) for i in range(60)]
+    records = spark.createDataFrame(rows, "source_type string, source_id string, text string, github_issue_id long, github_comment_id long")
+    read = lambda: sorted(map(tuple, c.parent_child_chunks(records, 50, 10).select("chunk_id", "parent_id", "level", "text").collect()), key=repr)
+    expected = read()
+    monkeypatch.setattr(segments, "SHARE", 500)
+    asked = []
+    monkeypatch.setattr(segments, "_dealt", lambda rows, parts, *keys: asked.append(parts) or rows.repartition(parts, *keys))
+    assert read() == expected
+    assert set(asked) == {sum(len(r[2].encode()) for r in rows) // 500}
+
+
+def test_words_of_python_are_words_of_columns(spark):
+    text = " a ".join(map(chr, [*range(0x800), *range(0x1600, 0x1900), *range(0x2000, 0x2100), 0x3000, 0xFEFF]))
+    df = spark.createDataFrame([("d", text), ("e", None), ("f", " \x85\u3000")], "source_id string, text string")
+    assert df.select(tx.words("text").alias("w")).first()["w"] == text.split()
+    assert [(r["source_id"], r["chunk_no"]) for r in c.naive_chunks(df, 1000).collect()] == [("d", i) for i in range((len(text.split()) + 999) // 1000)]

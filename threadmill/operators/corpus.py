@@ -98,12 +98,13 @@ def parent_child_chunks(records: DataFrame, most: int = CHILD_TOKENS, overlap: i
     )
     named = durable(named, "records")  # numbers that stay, whatever task is run again
     whole = named.where("not docs").select("rid", F.lit(0).alias("p"), F.array().cast("array<string>").alias("section_path"), F.col("text").alias("body"))
-    units = segments.sections(named.where("docs").select("rid", "text")).unionByName(whole)
-    units = durable(named.drop("text").join(units, "rid").withColumn("parent", F.concat("name", F.lit(":parent:"), F.col("p").cast("string"))), "parents")
-    children = segments.packed(segments.blocks(units), most, overlap, count=count)
+    parts = segments.shares(named.agg(F.sum(F.octet_length("text"))).first()[0])
+    units = segments.sections(named.where("docs").select("rid", "text"), parts).unionByName(whole)
+    units = durable(named.drop("text").repartition(parts, "rid").join(units.repartition(parts, "rid"), "rid").withColumn("parent", F.concat("name", F.lit(":parent:"), F.col("p").cast("string"))), "parents")
+    children = segments.packed(segments.blocks(units, parts), most, overlap, count=count)
     parents = units.select("source_id", F.lit("parent").alias("level"), F.col("parent").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.col("p").alias("parent_index"), F.lit(None).cast("int").alias("child_index"), "section_path", F.col("body").alias("text"))
     stem = F.concat(F.when(F.col("docs"), F.col("parent")).otherwise(F.col("name")), F.lit(":child:"), F.col("c").cast("string"))
-    below = children.join(units.drop("body"), ["rid", "p"]).select("source_id", F.lit("child").alias("level"), stem.alias("chunk_id"), F.col("parent").alias("parent_id"), F.col("p").alias("parent_index"), F.col("c").alias("child_index"), "section_path", "text")
+    below = children.join(units.drop("body").repartition(parts, "rid", "p"), ["rid", "p"]).select("source_id", F.lit("child").alias("level"), stem.alias("chunk_id"), F.col("parent").alias("parent_id"), F.col("p").alias("parent_index"), F.col("c").alias("child_index"), "section_path", "text")
     return parents.unionByName(below)
 
 

@@ -19,6 +19,17 @@ from pyspark.sql import types as T
 from threadmill.functions import text as tx
 
 FENCE = "```"
+#: Bytes of text that a task holds as lines, and the least number of tasks.
+SHARE, LEAST_SHARES = 8 << 20, 8
+
+
+def shares(size: int | None) -> int:
+    """Over how many tasks texts of so many bytes are dealt, so that a task's share does not grow with the table."""
+    return max(LEAST_SHARES, (size or 0) // SHARE)
+
+
+def _dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return rows.repartition(parts, *keys) if parts else rows
 
 
 def _lines(text: Column) -> Column:
@@ -30,16 +41,16 @@ def _joined(name: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda x: x[name]), "\n")
 
 
-def sections(texts: DataFrame) -> DataFrame:
+def sections(texts: DataFrame, parts: int | None = None) -> DataFrame:
     """(rid, p, section_path, body) of texts(rid, text), rid unique: from each heading line to the next, p from 0 in order.
 
     A heading is number signs, white space and a title; its path are the titles of the headings above it, each of a higher level
     than all that follow it, and its own. What precedes the first heading has no path. Blank sections are left out.
-    Fences make no difference: a heading in code is a heading.
+    Fences make no difference: a heading in code is a heading. parts: over how many tasks texts are dealt, if not Spark's number.
     """
     level = F.length(F.regexp_extract("line", f"^(#+){tx.SPACE}", 1))
     by_line = Window.partitionBy("rid").orderBy("pos")
-    lines = texts.select("rid", _lines(F.col("text"))).withColumn("level", level)
+    lines = _dealt(texts, parts, "rid").select("rid", _lines(F.col("text"))).withColumn("level", level)
     lines = lines.withColumn("sec", F.count(F.when(F.col("level") > 0, 1)).over(by_line))
     head = F.max(F.when(F.col("level") > 0, F.struct("level", tx.strip(F.expr("substring(line, level + 1)")).alias("title"))))
     found = lines.groupBy("rid", "sec").agg(tx.strip(_joined("line")).alias("body"), head.alias("head"))
@@ -52,15 +63,15 @@ def sections(texts: DataFrame) -> DataFrame:
         return tx.let(above, lambda above: F.struct(above.alias("above"), F.concat(state["paths"], F.array(F.struct(h["sec"].alias("sec"), F.transform(above, lambda a: a["title"]).alias("path")))).alias("paths")))
 
     paths = heads.select("rid", F.explode(F.aggregate("heads", none, step)["paths"]).alias("x")).select("rid", "x.sec", "x.path")
-    kept = found.where("body <> ''").join(paths, ["rid", "sec"], "left")
+    kept = _dealt(_dealt(found.where("body <> ''"), parts, "rid", "sec").join(_dealt(paths, parts, "rid", "sec"), ["rid", "sec"], "left"), parts, "rid")
     number = F.row_number().over(Window.partitionBy("rid").orderBy("sec")) - 1
     return kept.select("rid", number.alias("p"), F.coalesce("path", F.array().cast("array<string>")).alias("section_path"), "body")
 
 
-def blocks(units: DataFrame) -> DataFrame:
+def blocks(units: DataFrame, parts: int | None = None) -> DataFrame:
     """(rid, p, block, text) of units(rid, p, body): paragraphs, and fenced code as one block each, fences included; an open fence ends with the text."""
     by_line = Window.partitionBy("rid", "p").orderBy("pos")
-    lines = units.select("rid", "p", _lines(F.col("body"))).withColumn("bare", tx.strip("line"))
+    lines = _dealt(units.select("rid", "p", "body"), parts, "rid", "p").select("rid", "p", _lines(F.col("body"))).withColumn("bare", tx.strip("line"))
     lines = lines.withColumn("fence", F.startswith("bare", F.lit(FENCE)))
     before = F.count(F.when(F.col("fence"), 1)).over(by_line.rowsBetween(Window.unboundedPreceding, -1))
     lines = lines.withColumn("fenced", before % 2 == 1)
