@@ -1,12 +1,15 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from threadmill.functions import text as tx
 from threadmill.operators import retrieval as rt
+from threadmill.plans import adapters as ad
 
 TEXTS = ["alpha beta gamma", "beta beta delta", "epsilon the zeta", "the the alpha", "", "gamma delta epsilon beta"]
 
@@ -126,3 +129,30 @@ def test_encoding_rounds_the_exact_value_and_ties_to_even(spark):
     values = [2.0**-9, -3 * 2.0**-9, 0.123456785, 5e-9, -0.0, None]
     r = spark.createDataFrame([(values,), ([],), (None,)], "v array<double>").select(rt.encode_vector("v").alias("t")).collect()
     assert [x["t"] for x in r] == ["[0.00195312,-0.00585938,0.12345678,0.00000001,-0.00000000]", "[]", None]
+
+
+@pytest.mark.parametrize("text", ["Kelvin \u212a, \u0130stanbul, don't; A1-b2 \u00c5\u00e9z zz", "", " \u3000", "ABC abc" * 50])
+def test_tokens_and_letters_of_python_are_those_of_columns(spark, text):
+    low = text.lower()
+    assert [t.decode() for t in rt.tokens(text)] == spark.createDataFrame([(text,)], "t string").select(tx.search_tokens("t").alias("t")).first()["t"]
+    r = spark.createDataFrame([(text,), (None,)], "t string").select(rt.letter_vector("t").alias("a"), ad.length_vector("t").alias("b")).collect()
+    unit = lambda v: [x / math.sqrt(sum(y * y for y in v)) if any(v) else x for x in v]
+    sizes = [len(w) for w in re.findall("[a-z]+", low)]
+    assert r[0]["a"] == unit([low.count(c) for c in "abcdefghijklmnopqrstuvwxyz"]) and r[1]["a"] is None
+    assert r[0]["b"] == unit([sizes.count(k) for k in range(1, 17)]) and r[1]["b"] is None
+
+
+def test_variants_share_what_they_have_in_common(spark, monkeypatch):
+    counted, asked = [], []
+    statistics, top = rt.statistics, rt.Sparse._top
+    monkeypatch.setattr(rt, "statistics", lambda chunks: counted.append(1) or statistics(chunks))
+    monkeypatch.setattr(rt.Sparse, "_top", lambda self, k: asked.append(k) or top(self, k))
+    queries = spark.createDataFrame([(0, "alpha beta"), (1, "gamma delta")], "query_id long, query string")
+    chunks = spark.createDataFrame([(f"c{i}", i, f"p{i}", t) for i, t in enumerate(TEXTS)], "chunk_id string, ordinal long, parent_id string, text string")
+    searches = rt.Searches(queries, chunks)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 6)) for r in df.collect())
+    for embed in (rt.letter_vector, ad.length_vector):
+        for config in rt.LADDER:
+            assert rows(rt.run_variant(config, queries, chunks, embed, searches=searches)) == rows(rt.run_variant(config, queries, chunks, embed))
+    alone = 2 * sum(bool(x.get("hybrid")) for x in rt.LADDER)
+    assert (len(counted), len(asked)) == (alone + 1, alone + 2)  # with rewrites and without

@@ -77,9 +77,20 @@ def chunk_sets(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVER
 
 def naive_chunks(records: DataFrame, words: int = NAIVE_TOKENS, source: str = "source_id") -> DataFrame:
     """(source_id, chunk_no, text) of windows of so many words; texts without words give none."""
-    split = records.select(F.col(source).alias("source_id"), tx.words("text").alias("w")).where(F.size("w") > 0)
-    numbered = split.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int"))))
-    return numbered.select("source_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.array_join(F.slice("w", F.col("chunk_no") * words + 1, words), " ").alias("text"))
+
+    def work(batches):
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
+            rows, numbers, texts = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                split = (text or "").split()  # white space as in tx.words
+                for k, at in enumerate(range(0, len(split), words)):
+                    rows.append(i)
+                    numbers.append(k)
+                    texts.append(" ".join(split[at : at + words]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int64()), pa.array(texts, pa.string())], ["source_id", "chunk_no", "text"])
+
+    kept = records.select(F.col(source).alias("source_id"), "text")
+    return kept.mapInArrow(work, f"source_id {kept.schema['source_id'].dataType.simpleString()}, chunk_no long, text string")
 
 
 def parent_child_chunks(records: DataFrame, most: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS, count: Callable[[str], int] | None = None) -> DataFrame:

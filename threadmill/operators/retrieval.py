@@ -7,9 +7,9 @@ which floats are added never decides.
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +44,19 @@ def unit(v: Column | str) -> Column:
     return tx.let(F.transform(tx.col(v), lambda x: x.cast("double")), lambda v: tx.let(F.sqrt(dot(v, v)), lambda n: scaled(v, n)))
 
 
+def counted_vector(text: Column | str, count: Callable[[bytes], np.ndarray]) -> Column:
+    """The unit vector of what count finds in the lower-case UTF-8 of a text; null stays null."""
+
+    @F.arrow_udf("array<double>")
+    def counts(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else count(t.lower().encode()).tolist() for t in texts.to_pylist()], pa.list_(pa.float64()))
+
+    return unit(counts(tx.col(text)))
+
+
 def letter_vector(text: Column | str) -> Column:
     """The unit vector of a-z counts: a stand-in for an embedding that any engine can compute. It has no meaning."""
-    letters = F.array(*(F.lit(c) for c in "abcdefghijklmnopqrstuvwxyz"))
-    return unit(tx.let(F.lower(tx.col(text)), lambda low: F.transform(letters, lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))).cast("double"))))
+    return counted_vector(text, lambda low: np.bincount(np.frombuffer(low, np.uint8), minlength=256)[97:123])
 
 
 def ranked(scored: DataFrame, k: int, order: list[Column] | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -104,28 +113,43 @@ def dense_top(queries: DataFrame, chunks: DataFrame, k: int, normalize: bool = F
 
 # --- BM25 -----------------------------------------------------------------------------------------------------------
 
-_TOKEN = re.compile("[a-z0-9]+")
+#: Bytes of the search tokens, in lower case, as themselves, all others as blanks.
+_TOKEN_BYTES = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 
 
-def _terms(text: str | None) -> Counter:
-    return Counter(_TOKEN.findall((text or "").lower()))
+def tokens(text: str | None) -> list[bytes]:
+    """``tx.search_tokens`` of one text."""
+    return (text or "").lower().encode().translate(_TOKEN_BYTES).split()
 
 
-def corpus_size(chunks: DataFrame) -> tuple[int, float]:
-    """(chunks, their mean number of tokens)."""
-    r = chunks.select(F.count(F.lit(1)).alias("n"), F.avg(F.size(tx.search_tokens(F.coalesce("text", F.lit(""))))).alias("mean")).first()
-    return r["n"], r["mean"] or 0.0
+def statistics(chunks: DataFrame) -> DataFrame:
+    """(term, n, size), written out: how many chunks hold each term, and in the row without a term how many chunks and how many tokens there are.
 
-
-def document_frequencies(chunks: DataFrame) -> DataFrame:
-    """(term, df). A task adds the chunks of a batch up, so a frequent term is a row a batch and not a row a chunk."""
+    A task adds the chunks of a batch up, so a frequent term is a row a batch and not a row a chunk.
+    """
 
     def work(batches):
         for batch in batches:
-            found = Counter(t for text in batch.column(0).to_pylist() for t in _terms(text))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["term", "n"])
+            found, size = Counter(), 0
+            for text in batch.column(0).to_pylist():
+                words = tokens(text)
+                size += len(words)
+                found.update(set(words))
+            terms, n = [None, *(t.decode() for t in found)], [batch.num_rows, *found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int64()), pa.array([size] + [0] * len(found), pa.int64())], ["term", "n", "size"])
+
+    return durable(chunks.select("text").mapInArrow(work, "term string, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")), "statistics")
 
-    return chunks.select("text").mapInArrow(work, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+def corpus_size(counted: DataFrame) -> tuple[int, float]:
+    """(chunks, their mean number of tokens) of ``statistics``."""
+    r = counted.where("term is null").first()
+    return (r["n"], r["size"] / r["n"]) if r and r["n"] else (0, 0.0)
+
+
+def document_frequencies(counted: DataFrame) -> DataFrame:
+    """(term, df) of ``statistics``."""
+    return counted.where("term is not null").select("term", F.col("n").alias("df"))
 
 
 def term_weights(frequencies: DataFrame, n: int) -> DataFrame:
@@ -147,11 +171,13 @@ class Sparse:
     is shuffled: a task scores its own chunks and passes on its k best for each query.
     """
 
-    def __init__(self, queries: DataFrame, chunks: DataFrame):
-        self.chunks, self.kind = chunks, queries.schema["query_id"].dataType.simpleString()
-        self.n, mean = corpus_size(chunks)
+    def __init__(self, queries: DataFrame, chunks: DataFrame, counted: DataFrame | None = None):
+        """counted: the ``statistics`` of the chunks, where they are known."""
+        self.chunks, self.kind, self._tops = chunks, queries.schema["query_id"].dataType.simpleString(), {}
+        counted = statistics(chunks) if counted is None else counted
+        self.n, mean = corpus_size(counted)
         self.mean = mean or 1.0
-        weights = term_weights(document_frequencies(chunks), self.n)
+        weights = term_weights(document_frequencies(counted), self.n)
         self.terms = durable(query_terms(queries).join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "query-terms")
 
     def _blocks(self):
@@ -165,10 +191,15 @@ class Sparse:
             for r in rows:
                 by_term[r["term"]].append((number[r["query_id"]], r["weight"]))
             if rows:
-                yield ids, {t: k for k, t in enumerate(by_term)}, list(by_term.values())
+                yield ids, {t.encode(): k for k, t in enumerate(by_term)}, list(by_term.values())
 
     def top(self, k: int) -> DataFrame:
-        """(query_id, chunk_id, ordinal, score) of each query's k best chunks among those that share a term with it, and maybe some more."""
+        """(query_id, chunk_id, ordinal, score) of each query's k best chunks among those that share a term with it, and maybe some more; found once for each k."""
+        if k not in self._tops:
+            self._tops[k] = self._top(k)
+        return self._tops[k]
+
+    def _top(self, k: int) -> DataFrame:
         spark, mean, out = self.chunks.sparkSession, self.mean, None
         for content in self._blocks():
             sent = spark.sparkContext.broadcast(content)
@@ -179,23 +210,20 @@ class Sparse:
                 first = np.cumsum(sizes) - sizes
                 query, weight = (np.array([y[c] for x in asked for y in x]) for c in (0, 1))
                 best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object))] * len(ids)
+                worst = np.full(len(ids), -np.inf)  # of the k best so far
                 step = max(1, min(CHUNKS, CELLS // len(ids)))
                 for batch in batches:
                     for at in range(0, batch.num_rows, step):
                         names, ordinals, texts = (batch.column(c).slice(at, step).to_pylist() for c in range(3))
-                        chunk, term, tf, norm = [], [], [], []
-                        for j, text in enumerate(texts):
-                            found = _terms(text)
-                            size = K1 * (1 - B + B * found.total() / mean)
-                            for t, n in found.items():
-                                if (p := places.get(t)) is not None:
-                                    chunk.append(j)
-                                    term.append(p)
-                                    tf.append(n)
-                                    norm.append(size)
-                        if not chunk:
+                        found = [tokens(t) for t in texts]
+                        asked_for = [[places[t] for t in x if t in places] for x in found]
+                        codes = np.fromiter(chain.from_iterable(asked_for), np.int64)
+                        if not len(codes):
                             continue
-                        chunk, term, tf, norm = np.array(chunk), np.array(term), np.array(tf, float), np.array(norm)
+                        norms = K1 * (1 - B + B * np.array([len(x) for x in found]) / mean)
+                        cells, tf = np.unique(np.repeat(np.arange(len(texts)), [len(x) for x in asked_for]) * len(asked) + codes, return_counts=True)
+                        chunk, term = np.divmod(cells, len(asked))
+                        norm = norms[chunk]
                         part, many = tf * (K1 + 1) / (tf + norm), sizes[term]
                         scores, shared = np.zeros(len(ids) * len(texts)), np.zeros(len(ids) * len(texts), bool)
                         edges = [*np.unique(np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), CELLS))).tolist(), len(many)]
@@ -206,13 +234,15 @@ class Sparse:
                             shared[cell] = True
                         scores, shared = scores.reshape(len(ids), -1), shared.reshape(len(ids), -1)
                         names, ordinals = np.array(names, object), np.array(ordinals)
-                        for i in np.flatnonzero(shared.any(1)):
-                            near = np.flatnonzero(shared[i])
+                        near_best = shared & (scores >= worst[:, None] - 1e-6)  # ranks go by rounded scores
+                        for i in np.flatnonzero(near_best.any(1)):
+                            near = np.flatnonzero(near_best[i])
                             s, o, n = (np.concatenate(x) for x in zip(best[i], (scores[i, near], ordinals[near], names[near]), strict=True))
                             if len(s) > k:
                                 keep = np.lexsort((o, -np.round(s, 6)))[:k]
                                 s, o, n = s[keep], o[keep], n[keep]
                             best[i] = s, o, n
+                            worst[i] = s.min() if len(s) >= k else -np.inf
                 for name, (s, o, n) in zip(ids, best, strict=True):
                     if len(s):
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(s)), pa.array(n, pa.string()), pa.array(o, pa.int64()), pa.array(s, pa.float64())], ["query_id", "chunk_id", "ordinal", "score"])
@@ -249,12 +279,13 @@ def padded(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) ->
 # --- hybrid ---------------------------------------------------------------------------------------------------------
 
 
-def hybrid_candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def hybrid_candidates(queries: DataFrame, chunks: DataFrame, model: Sparse | None = None) -> DataFrame:
     """(query_id, chunk_id, ordinal, dense, sparse, dense_norm, sparse_norm): the 20 best of either kind with both scores, each brought to 0..1 over a query's candidates.
 
     Equal scores all become 0. Candidates are at most 40 a query; their scores are taken from their own texts and vectors.
+    model: the ``Sparse`` of the queries over chunks of the same texts, where there is one.
     """
-    model = Sparse(queries, chunks)
+    model = model or Sparse(queries, chunks)
     by_sparse = ranked(padded(model.top(SPARSE_TOP), queries, chunks, SPARSE_TOP), SPARSE_TOP).select("query_id", "chunk_id", "ordinal")
     by_dense = dense_top(queries, chunks, DENSE_TOP).select("query_id", "chunk_id", "ordinal")
     pool = durable(by_sparse.union(by_dense).distinct(), "pool")
@@ -344,24 +375,64 @@ def mock_rewrites(query: Column | str, n: int) -> Column:
     return F.array(*(F.concat(tx.col(query), F.lit(f" variant {i}")) for i in range(n)))
 
 
-def run_variant(config: dict, queries: DataFrame, chunks: DataFrame | dict[str, DataFrame], embed: Callable[[Column], Column] = letter_vector, rewrite: Callable[[Column, int], Column] = mock_rewrites, scorer=overlap_score) -> DataFrame:
+class Searches:
+    """What variants of searches for the same questions have in common, each part found once: chunks with vectors, statistics of terms, rankings.
+
+    chunks(chunk_id, ordinal, parent_id, text), or a table for each kind of chunking. embed and rewrite are told apart by identity.
+    """
+
+    def __init__(self, queries: DataFrame, chunks: DataFrame | dict[str, DataFrame]):
+        self.queries, self.chunks, self._found = queries.select("query_id", "query"), chunks, {}
+
+    def _once(self, key: tuple, make: Callable):
+        if key not in self._found:
+            self._found[key] = make()
+        return self._found[key]
+
+    def of_kind(self, kind: str | None) -> DataFrame:
+        return self.chunks[kind] if isinstance(self.chunks, dict) else self.chunks
+
+    def known(self, kind: str | None, embed: Callable) -> DataFrame:
+        return self._once(("known", kind, embed), lambda: durable(self.of_kind(kind).withColumn("vector", embed(F.col("text"))), "known"))
+
+    def asked(self, n: int, rewrite: Callable) -> DataFrame:
+        """(of, query_id, query): each question with n rewrites under ids of their own."""
+
+        def make():
+            variants = tx.expand_queries("query", rewrite(F.col("query"), n)) if n else F.array("query")
+            each = self.queries.select(F.col("query_id").alias("of"), F.posexplode(variants).alias("n", "query"))
+            return durable(each.select("of", F.concat_ws("#", F.col("of").cast("string"), "n").alias("query_id"), "query"), "asked")  # rewrites may come from a model
+
+        return self._once(("asked", n, rewrite if n else None), make)
+
+    def dense(self, kind: str | None, embed: Callable, n: int, rewrite: Callable) -> DataFrame:
+        return dense_top(self.asked(n, rewrite).withColumn("vector", embed(F.col("query"))), self.known(kind, embed), HYBRID_TOP)
+
+    def candidates(self, kind: str | None, embed: Callable, n: int, rewrite: Callable) -> DataFrame:
+        """``hybrid_candidates``; embedders share the sparse ranking."""
+        asked, known = self.asked(n, rewrite), self.known(kind, embed)
+
+        def sparse():
+            return Sparse(asked, known, self._once(("statistics", kind), lambda: statistics(known)))
+
+        model = self._once(("sparse", kind, n, rewrite if n else None), sparse)
+        return self._once(("candidates", kind, embed, n, rewrite if n else None), lambda: durable(hybrid_candidates(asked.withColumn("vector", embed(F.col("query"))), known, model), "candidates"))
+
+
+def run_variant(config: dict, queries: DataFrame, chunks: DataFrame | dict[str, DataFrame], embed: Callable[[Column], Column] = letter_vector, rewrite: Callable[[Column, int], Column] = mock_rewrites, scorer=overlap_score, searches: Searches | None = None) -> DataFrame:
     """ranked results of one variant for all queries(query_id, query) at once.
 
-    chunks(chunk_id, ordinal, parent_id, text), or a table for each kind of chunking, of which config names one.
+    chunks(chunk_id, ordinal, parent_id, text), or a table for each kind of chunking, of which config names one. Variants over the same
+    queries and chunks share their common parts where they are given the same searches.
     """
-    chunks = chunks[config["chunking"]] if isinstance(chunks, dict) else chunks
-    asked = queries.select("query_id", "query").withColumn("variants", F.array("query"))
-    if config.get("multi_query"):
-        asked = asked.withColumn("variants", tx.expand_queries("query", rewrite(F.col("query"), config["multi_query"])))
-    each = asked.select(F.col("query_id").alias("of"), F.posexplode("variants").alias("n", "query")).withColumn("query_id", F.concat_ws("#", F.col("of").cast("string"), "n"))
-    each, known = each.withColumn("vector", embed(F.col("query"))), durable(chunks.withColumn("vector", embed(F.col("text"))), "known")
+    searches, kind, n = searches or Searches(queries, chunks), config.get("chunking"), config.get("multi_query") or 0
     if config.get("hybrid"):
-        results = hybrid_top(hybrid_candidates(each, known), pipeline_weight(config.get("dense_weight")), pipeline_weight(config.get("sparse_weight")))
+        results = hybrid_top(searches.candidates(kind, embed, n, rewrite), pipeline_weight(config.get("dense_weight")), pipeline_weight(config.get("sparse_weight")))
     else:
-        results = dense_top(each, known, HYBRID_TOP)
-    results = results.join(each.select("query_id", F.col("of")), "query_id").drop("query_id").withColumnRenamed("of", "query_id")
-    results = fuse(results) if config.get("multi_query") else results
-    return rerank(results, queries, chunks, scorer, config.get("rerank_top_k") or RERANK_TOP) if config.get("rerank") else results
+        results = searches.dense(kind, embed, n, rewrite)
+    results = results.join(searches.asked(n, rewrite).select("query_id", "of"), "query_id").drop("query_id").withColumnRenamed("of", "query_id")
+    results = fuse(results) if n else results
+    return rerank(results, queries, searches.of_kind(kind), scorer, config.get("rerank_top_k") or RERANK_TOP) if config.get("rerank") else results
 
 
 def snapshots(results: DataFrame, most: int = 50) -> DataFrame:

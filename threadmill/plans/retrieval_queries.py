@@ -101,9 +101,9 @@ def _hybrid(spark, sf_dir):
 
 @query(f"with {CHUNKS_SQL}, {QUERIES_SQL}, {BM25_SQL} select (select n from sizes) as chunks, round((select mean from sizes), 6) as mean_size, count(*) as terms, sum(df)::bigint as postings, round(avg(idf), 6) as mean_idf, count_if(raw < 0)::bigint as floored from dfs join idfs using (term, df)")
 def bm25_stats(spark, sf_dir):
-    known = ad.chunks(spark, sf_dir)
-    n, mean = retrieval.corpus_size(known)
-    weights = retrieval.term_weights(retrieval.document_frequencies(known), n)
+    counted = retrieval.statistics(ad.chunks(spark, sf_dir))
+    n, mean = retrieval.corpus_size(counted)
+    weights = retrieval.term_weights(retrieval.document_frequencies(counted), n)
     return weights.agg(F.lit(n).cast("long").alias("chunks"), F.round(F.lit(mean), 6).alias("mean_size"), F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"), F.round(F.avg("idf"), 6).alias("mean_idf"), F.count_if(F.col("df") > F.lit(n / 2)).alias("floored"))
 
 
