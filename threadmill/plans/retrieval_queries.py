@@ -215,9 +215,9 @@ def _ladder(spark, sf_dir):
 def variant_ladder(spark, sf_dir):
     """All five variants over the questions, each over the chunks that its configuration names."""
     asked, known = _ladder(spark, sf_dir)
-    truth, out = {k: durable(ad.truth(spark, sf_dir, v), "truth") for k, v in known.items()}, None
+    truth, out, searches = {k: durable(ad.truth(spark, sf_dir, v), "truth") for k, v in known.items()}, None, retrieval.Searches(asked, known)
     for n, config in enumerate(retrieval.LADDER):
-        found = retrieval.run_variant(config, asked, known)
+        found = durable(retrieval.run_variant(config, asked, known, searches=searches), "variant")
         m = retrieval.retrieval_metrics(retrieval.hits(found, truth[config["chunking"]], asked)).withColumns({"position": F.lit(n), "name": F.lit(config["name"])})
         out = m if out is None else out.unionByName(m)
     return out.select("position", "name", "hit_at_5", "mrr_at_10", "num_examples")
