@@ -155,3 +155,24 @@ def test_many_entities_of_a_text_take_no_square_of_time(spark):
     out = spark.range(1).select(ev.entities(F.flatten(raw), F.lit(text), 5000).alias("e")).first()["e"]
     assert [(x["start"], x["end"]) for x in out] == [(i, i + 1) for i in range(len(words))]
     assert time.monotonic() - started < 30  # each pair compared, and cleaned again for it, takes minutes
+
+
+@pytest.mark.parametrize("texts", [1, 500])
+def test_terms_are_counted_as_spark_counts_them(spark, monkeypatch, texts):
+    from pyspark.ml.feature import CountVectorizer
+
+    monkeypatch.setattr(models, "TEXTS", texts)
+    rows = spark.createDataFrame([("Red apple, red pear",), ("a red apple x",), ("",), ("pear \u00e9t\u00e9 pear pear",)], "text string")
+    found = {r["term"]: (r["n"], r["df"]) for r in models.term_counts(rows, "text").collect()}
+    assert found["red"] == (3, 2) and found["red apple"] == (2, 2) and found["pear"] == (4, 2) and found["pear pear"] == (1, 1)
+    terms = models._terms(rows, "text")
+    assert {t for t, (_, df) in found.items() if df >= 2} == set(CountVectorizer(inputCol="__terms", outputCol="c", minDF=2).fit(terms).vocabulary)
+
+
+def test_training_keeps_no_words_of_all_texts(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    held, cache = [], DataFrame.cache
+    monkeypatch.setattr(DataFrame, "cache", lambda self: held.append(self.columns) or cache(self))
+    models.train(spark.createDataFrame([("crash stack", "bug"), ("crash dump", "bug"), ("add this", "feature"), ("add that", "feature")], "text string, label string"), vocabulary=10, rounds=5)
+    assert held == [["features", "__y", "weight"]]

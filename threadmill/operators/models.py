@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Size of the vocabulary, the documents that a term must be in, rounds of the fit.
 VOCABULARY, LEAST_DOCUMENTS, ROUNDS = 50_000, 2, 1000
+#: Texts whose terms a task adds up at once.
+TEXTS = 500
 
 
 def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -25,13 +29,35 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.join(F.broadcast(weights), label)  # one row a class
 
 
+def _words(rows: DataFrame, text: str) -> DataFrame:
+    """rows with words of two characters or more in lower case."""
+    return RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(rows)
+
+
 def _terms(rows: DataFrame, text: str) -> DataFrame:
-    """rows with terms: words of two characters or more in lower case, and pairs of neighbours."""
-    words = RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\b\w\w+\b", gaps=False).transform(rows)
-    pairs = NGram(inputCol="__words", outputCol="__pairs", n=2).transform(words)
+    """rows with terms: words, and pairs of neighbours."""
+    pairs = NGram(inputCol="__words", outputCol="__pairs", n=2).transform(_words(rows, text))
     return pairs.withColumn("__terms", F.concat("__words", "__pairs")).drop("__words", "__pairs")
 
 
+def term_counts(rows: DataFrame, text: str) -> DataFrame:
+    """(term, n, df): how often a term occurs and in how many texts. A task adds some texts up, so a frequent term is a row for these and not a row a text."""
+
+    def work(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                n, df = Counter(), Counter()
+                for words in batch.column(0).slice(at, TEXTS).to_pylist():
+                    words = words.split()
+                    terms = [*words, *(f"{a} {b}" for a, b in pairwise(words))]
+                    n.update(terms)
+                    df.update(set(terms))
+                yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([df[t] for t in n], pa.int64())], ["term", "n", "df"])
+
+    joined = _words(rows, text).select(F.array_join("__words", " ").alias("words"))
+    return joined.mapInArrow(work, "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
 def _weigh(idf):
     """Counts as unit vectors of (1 + ln count) idf; idf is as long as the vocabulary, which is bounded."""
 
@@ -63,15 +89,14 @@ class Classifier:
 def train(rows: DataFrame, text: str = "text", label: str = "label", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Classifier:
     """Learns from rows(text, label): balanced weights, idf ln((1 + n) / (1 + df)) + 1, an L2 penalty of one over the summed weights."""
     weighted = class_weights(rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()), label).withColumnRenamed(text, "__text")
-    labels = [r[0] for r in weighted.select(label).distinct().orderBy(label).collect()]
+    classes = sorted(weighted.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect(), key=lambda r: r[0])
+    labels, n, whole = [r[0] for r in classes], sum(r["n"] for r in classes), sum(r["w"] for r in classes)
     index = F.create_map(*(F.lit(x) for kv in ((k, float(i)) for i, k in enumerate(labels)) for x in kv))
-    terms = _terms(weighted, "__text").withColumn("__y", index[F.col(label)]).select("__terms", "__y", "weight").cache()
-    vectorizer = CountVectorizer(inputCol="__terms", outputCol="__counts", minDF=LEAST_DOCUMENTS, vocabSize=vocabulary).fit(terms)
-    counted = vectorizer.transform(terms)
-    r = counted.agg(F.count(F.lit(1)).alias("n"), Summarizer.numNonZeros(F.col("__counts")).alias("df"), F.sum("weight").alias("w")).first()
-    idf = np.log((1 + r["n"]) / (1 + r["df"].toArray())) + 1
-    features = counted.withColumn("features", _weigh(rows.sparkSession.sparkContext.broadcast(idf))("__counts")).select("features", "__y", "weight").cache()
-    model = LogisticRegression(labelCol="__y", weightCol="weight", regParam=1.0 / r["w"], standardization=False, maxIter=rounds).fit(features)
-    terms.unpersist()
+    terms = _terms(weighted, "__text").withColumn("__y", index[F.col(label)]).select("__terms", "__y", "weight")
+    kept = term_counts(weighted, "__text").where(F.col("df") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "term").limit(vocabulary).collect()
+    vectorizer = CountVectorizerModel.from_vocabulary([r["term"] for r in kept], "__terms", "__counts")
+    idf = np.log((1 + n) / (1 + np.array([r["df"] for r in kept]))) + 1
+    features = vectorizer.transform(terms).withColumn("features", _weigh(rows.sparkSession.sparkContext.broadcast(idf))("__counts")).select("features", "__y", "weight").cache()
+    model = LogisticRegression(labelCol="__y", weightCol="weight", regParam=1.0 / whole, standardization=False, maxIter=rounds).fit(features)
     features.unpersist()
     return Classifier(labels, vectorizer, idf, model)
